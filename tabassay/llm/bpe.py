@@ -1,37 +1,58 @@
-"""Public tokenizers applied to whole texts through a bounded memo of blank-delimited pieces.
+"""Public tokenizers applied to whole texts through a bounded memo.
 
-The vocabulary drops white space and never joins across it, so a blank, tab or line break is a safe
-boundary: the ids of a text are the ids of its pieces, one after another. Only pieces that the memo
-lacks reach the library, in batches of about equal bytes.
+A text is split at boundaries that its vocabulary never joins across, and the ids of the text are the
+ids of its pieces, one after another. Only pieces that the memo lacks reach the library, in batches of
+about equal size. Where the vocabulary lower-cases and splits by the word pattern below, texts in
+Latin-1 are split into the very words that the library would make; all other texts are split at
+blanks, tabs and line breaks only, and the library does the rest.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 
-PIECE_CHARS = 1 << 20
-BATCH_CHARS = 1 << 18
-MEMO_PIECES = 300_000
-MEMO_CHARS = 256
+import numpy as np
 
-_loaded: dict[str, object] = {}
+BATCH_CHARS = 1 << 16
+MEMO_PIECES = 400_000
+MEMO_CHARS = 64
+
+# The word pattern of the vocabulary, and the same within Latin-1.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER, _NUMBER, _SPACE = "a-zA-Z\xaa\xba\xb5\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\x0b\x0c\r\x85\xa0"
+_WORDS = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+
+_loaded: dict[str, tuple] = {}
 
 
 def load(path: str):
-    """The library's tokenizer for a ``tokenizers`` .json file, once per worker process."""
+    """The library's tokenizer for a ``tokenizers`` .json file."""
+    return _load(path)[0]
+
+
+def _load(path: str) -> tuple:
+    """It and, for a vocabulary of the known kind, one that encodes ready-made words; once per worker process."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _loaded[path] = tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        whole = Tokenizer.from_file(path)
+        whole.no_truncation()
+        whole.no_padding()
+        made = json.loads(whole.to_str())
+        steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])], [p["type"] for p in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        words = None
+        if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and made["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": WORD_PATTERN} and all(t["content"].startswith("<|") for t in made["added_tokens"]):
+            words = Tokenizer(whole.model)
+            words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        _loaded[path] = whole, words
     return _loaded[path]
 
 
-def pieces(text: str) -> list[str]:
+def blank_pieces(text: str) -> list[str]:
     """Split at blanks, tabs and line breaks only; other white space stays for the library to treat."""
     for c in "\n\t\r":
         if c in text:
@@ -47,33 +68,63 @@ def balanced(words: Iterable[str], chars: int = BATCH_CHARS) -> Iterable[list[st
             yield batch
             batch, held = [], 0
         batch.append(w)
-        held += len(w) + 8
+        held += len(w) + 1
     if batch:
         yield batch
 
 
-class Memo(dict):
-    """piece -> what ``make`` derives from its encoding, kept for frequent use and emptied when full."""
-
-    def __init__(self, path: str, make, limit: int = MEMO_PIECES):
-        super().__init__()
-        self.tokenizer, self.make, self.limit = load(path), make, limit
-        self[""] = make(self.tokenizer.encode("", add_special_tokens=False))
-
-    def of(self, words: list[str]) -> list:
-        """The values for the pieces of one text, in order."""
-        distinct = set(words)
-        new = distinct.difference(self)
-        if not new:
-            return list(map(self.__getitem__, words))
-        if len(self) + len(new) > self.limit:
-            kept = self[""]
-            self.clear()
-            self[""] = kept
-            new = distinct.difference(self)
-        found = {}
+def id_bytes(ids: np.ndarray) -> bytes:
+    return ids.astype("<u4").tobytes()
+
+
+class Memo:
+    """piece -> what ``make`` derives from its ids, kept for further use and emptied when full."""
+
+    def __init__(self, path: str, make: Callable[[np.ndarray], object], limit: int = MEMO_PIECES):
+        self.whole, self.ready = _load(path)
+        self.make, self.limit = make, limit
+        self.words: dict[str, object] = {}
+        self.others: dict[str, object] = {}
+
+    def _encode_words(self, new: Iterable[str]) -> dict[str, object]:
+        out, make = {}, self.make
+        for batch in balanced(new):
+            e = self.ready.encode(" ".join(batch), add_special_tokens=False)
+            ids, ends = np.asarray(e.ids, np.uint32), np.cumsum(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(batch)))
+            at = 0
+            for word, end in zip(batch, ends.tolist(), strict=True):
+                out[word] = make(ids[at:end])
+                at = end
+        return out
+
+    def _encode_others(self, new: Iterable[str]) -> dict[str, object]:
+        out, make = {}, self.make
         for batch in balanced(new):
-            found.update(zip(batch, map(self.make, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)), strict=True))
-        self.update((w, v) for w, v in found.items() if len(w) <= MEMO_CHARS)
-        found_get, own = found.get, self.get
-        return [own(w) if w in self else found_get(w) for w in words]
+            for piece, e in zip(batch, self.whole.encode_batch_fast(batch, add_special_tokens=False), strict=True):
+                out[piece] = make(np.asarray(e.ids, np.uint32))
+        return out
+
+    def _values(self, memo: dict, pieces: list[str], encode: Callable) -> list:
+        new = set(pieces).difference(memo)
+        if new:
+            if len(memo) + len(new) > self.limit:
+                memo.clear()
+                new = set(pieces)
+            found = encode(new)
+            memo.update(found)
+            out = list(map(memo.__getitem__, pieces))
+            for long in [p for p in found if len(p) > MEMO_CHARS]:
+                del memo[long]
+            return out
+        return list(map(memo.__getitem__, pieces))
+
+    def of(self, text: str) -> list:
+        """The values of the pieces of a whole text, in order."""
+        if self.ready is not None and "<|" not in text:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return self._values(self.words, _WORDS.findall(text.lower()), self._encode_words)
+        return self._values(self.others, blank_pieces(text), self._encode_others)

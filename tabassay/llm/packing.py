@@ -28,20 +28,17 @@ DEALS = 1 << 16
 _memos: dict[str, bpe.Memo] = {}
 
 
-def id_bytes(encoding) -> bytes:
-    return np.asarray(encoding.ids, "<u4").tobytes()
-
 
 def cut_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, separator: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     memo = _memos.get(path)
     if memo is None:
-        memo = _memos[path] = bpe.Memo(path, id_bytes)
+        memo = _memos[path] = bpe.Memo(path, bpe.id_bytes)
     end = np.uint32(separator).tobytes()
     deal, step = 0, 4 * capacity
     for batch in batches:
         rows, piece, start, length, crc, dealt, ids = [], [], [], [], [], [], []
         for row, text in enumerate(batch.column(1).to_pylist()):
-            data = b"".join(memo.of(bpe.pieces(text or ""))) + end
+            data = b"".join(memo.of(text or "")) + end
             for k, at in enumerate(range(0, len(data), step)):
                 part = data[at : at + step]
                 rows.append(row)

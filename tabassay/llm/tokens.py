@@ -13,7 +13,7 @@ from tabassay.llm.common import small_batches
 _memos: dict[str, bpe.Memo] = {}
 
 
-def count_batches(batches: Iterator[pa.RecordBatch], path: str, key: pa.DataType) -> Iterator[pa.RecordBatch]:
+def count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     memo = _memos.get(path)
     if memo is None:
         memo = _memos[path] = bpe.Memo(path, len)
@@ -22,7 +22,7 @@ def count_batches(batches: Iterator[pa.RecordBatch], path: str, key: pa.DataType
         for text in batch.column(1).to_pylist():
             text = text or ""
             n_bytes.append(len(text.encode()))
-            n_tokens.append(sum(memo.of(bpe.pieces(text))))
+            n_tokens.append(sum(memo.of(text)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=["key", "n_bytes", "n_tokens"])
 
 
@@ -35,5 +35,5 @@ def count_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    counted = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(lambda it: count_batches(it, path, None), f"key {kind}, n_bytes bigint, n_tokens bigint")
+    counted = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(lambda it: count_batches(it, path), f"key {kind}, n_bytes bigint, n_tokens bigint")
     return counted.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
