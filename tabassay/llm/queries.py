@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from tabassay.llm import ann, media, mixing, packing, quality, secrets, simhash, tokens, toxicity
+from tabassay.llm import ann, media, mixing, packing, quality, rnn, secrets, simhash, tokens, toxicity
 from tabassay.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -41,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rnn.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_recurrent_scores": op8_recurrent_scores,
     "op9_webp_media": op9_webp_media,
     "op10_additive_neighbours": op10_additive_neighbours,
 }
