@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: ``[^\x20\x09-\x0D]+``: a word is a run of anything but blanks, tabs and line breaks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,3 +31,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+#: A side of a join with so many narrow rows at most is broadcast; beyond it Spark shuffles both sides.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, written and counted, with a broadcast hint only if its size allows it."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

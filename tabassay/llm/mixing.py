@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabassay.llm.common import WORD, checkpointed
+from tabassay.llm.common import WORD, checkpointed, small_side
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -56,6 +56,21 @@ def mix_sources(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sou
     return joined.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def take_mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix_sources`` takes it, all its columns kept.
+
+    Only sums per source are joined back, so texts stay where they are.
+    """
+    size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("bigint")
+    totals = docs.select(F.col(source).cast("string").alias("source"), size.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = targets(totals, weights, share, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goal = small_side(goal.select(F.col("source").alias("__of"), rate.alias("__rate")))
+    joined = docs.join(goal, docs[source].cast("string").eqNullSafe(goal["__of"]), "left")
+    copies = F.floor("__rate").cast("int") + (unit(docs[key], seed) < F.col("__rate") - F.floor("__rate")).cast("int")
+    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+
+
 SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tabassay.llm.common import checkpointed, small_batches
+from tabassay.llm.common import checkpointed, small_batches, small_side
 
 SEED = 42
 RADIUS = 3
@@ -193,8 +193,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component, that with the smallest key. Rows without a key can't be told apart and stay."""
-    found = near_duplicates(docs, key=key, text=text, radius=radius)
-    leaders = found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__leader")).distinct()
-    known = docs.filter(F.col(key).isNotNull())
-    kept = known.join(leaders, known[key] == leaders["__leader"], "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.filter(F.col(key).isNull()))
+    found = checkpointed(near_duplicates(docs, key=key, text=text, radius=radius).filter(F.col(key).isNotNull()))
+    losers = small_side(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("__key")).distinct())
+    repeated = small_side(found.groupBy(F.col(key).alias("__key")).count().filter("count > 1").select("__key"))
+    kept = docs.join(losers, docs[key] == losers["__key"], "left_anti")
+    once = kept.join(repeated, kept[key] == repeated["__key"], "left_anti")
+    return once.unionByName(kept.join(repeated, kept[key] == repeated["__key"], "left_semi").dropDuplicates([key]))

@@ -331,3 +331,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
     kind = docs.schema[key].dataType.simpleString()
     scored = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(lambda it: score_batches(it, model), f"key {kind}, score double")
     return scored.select(F.col("key").alias(key), held_out(F.col("key"), FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_batches(batches: Iterator[pa.RecordBatch], model, column: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    scorer = Scorer(*model.value)
+    for batch in batches:
+        yield batch.filter(pa.array([scorer.score(t) < threshold for t in batch.column(column).to_pylist()], pa.bool_()))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """``docs`` without the rows that ``score_toxicity`` would mark; all columns kept, in one narrow pass after the fit."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key=key, text=text, label=label, sample=sample))
+    column = docs.columns.index(text)
+    return docs.mapInArrow(lambda it: keep_batches(it, model, column, threshold), docs.schema)
