@@ -1,7 +1,7 @@
 """LM scoring with a gated recurrent language model in numpy.
 
 Words are counted over all training documents. The most frequent (the head) are predicted one by one, all
-others through their band of equal length: the output softmax is factored into classes, of which head
+others through their band of equal length in bytes: the output softmax is factored into classes, of which head
 classes hold sixteen words with a softmax of their own and bands share out their probability by counts,
 each with one part for a word never seen. Weights are trained by backpropagation truncated to windows,
 with the state carried on through the document: every partition trains on its own documents from common
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabassay.llm.common import checkpointed, small_batches
 
 FOLDS, FOLD = 7, 2
-HIDDEN, WINDOW, GROUP, RUN_TOKENS = 12, 24, 512, 1 << 22
+HIDDEN, WINDOW, GROUP, RUN_TOKENS = 8, 24, 1024, 1 << 22
 CLASS, CLASSES, BANDS = 16, 16, 16
 HEAD = CLASS * CLASSES  # the end of a document is word 0
 START = HEAD + BANDS
@@ -30,12 +31,16 @@ OUTPUTS = CLASSES + BANDS
 RATE, ROUNDS = 0.01, (8, 1)
 #: Counts of so many frequent words are broadcast; all others are joined.
 KNOWN = 200_000
-END = ""
+END = b""
 
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-cased (A-Z) words; bytes are split, since their white space is just what ends a word."""
-    return [w.decode() for w in (text or "").encode().lower().split()]
+def words_of(text: bytes | None) -> list[bytes]:
+    """Lower-cased (A-Z) words of UTF-8; for bytes, white space is just what ends a word."""
+    return (text or b"").lower().split()
+
+
+def texts_of(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
 
 
 # ---- the network ----
@@ -83,8 +88,9 @@ def recur(p: dict, h: np.ndarray, inputs: np.ndarray, keep: bool) -> tuple[np.nd
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    """Logits stay far below where exp overflows; the sum as a product is the quickest."""
+    x = np.minimum(x, 60)
+    return x - np.log(np.exp(x) @ np.ones((x.shape[1], 1), x.dtype))
 
 
 def output(p: dict, states: np.ndarray, target: np.ndarray, mask: tuple, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -212,15 +218,15 @@ def document_scores(weights: np.ndarray, n_head: int, flat: np.ndarray, lengths:
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of words; an end for every document."""
-    sums: Counter[str] = Counter()
+    sums: Counter[bytes] = Counter()
 
     def flush() -> pa.RecordBatch:
-        words, n = list(sums), list(sums.values())
+        words, n = [w.decode() for w in sums], list(sums.values())
         sums.clear()
         return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in texts_of(batch.column(0)):
             sums.update(words_of(text))
             sums[END] += 1
         if len(sums) > 500_000:
@@ -231,7 +237,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 class Lexicon:
     """Places of the frequent words: head first, and what the network sees of each."""
 
-    def __init__(self, words: list[str], counts: list[int]):
+    def __init__(self, words: list[bytes], counts: list[int]):
         self.place = {w: k for k, w in enumerate(words)}
         self.log_count = np.log10(np.array([*counts, 0], np.float64) + 1)
         lengths = np.array([*map(len, words), 0])
@@ -239,11 +245,10 @@ class Lexicon:
         self.seen_as = np.where(np.arange(len(lengths)) < HEAD, np.arange(len(lengths)), HEAD + self.band).astype(np.int16)
         self.n_head = min(len(words), HEAD)
 
-    def places(self, words: list[str]) -> np.ndarray:
-        get = self.place.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+    def places(self, words: list[bytes]) -> np.ndarray:
+        return np.array(list(map(self.place.get, words, repeat(-1))), np.int64)
 
-    def ids(self, words: list[str], places: np.ndarray) -> np.ndarray:
+    def ids(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
         """What the network sees of the words of a document, its end last."""
         out = np.zeros(len(words) + 1, np.int16)
         out[:-1] = self.seen_as[places]
@@ -263,7 +268,7 @@ def train_batches(batches: Iterator[pa.RecordBatch], lexicon, weights) -> Iterat
             trainer.run(np.concatenate(flat), np.array(lengths))
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in texts_of(batch.column(0)):
             own = words_of(text)
             flat.append(words.ids(own, words.places(own)))
             lengths.append(len(own) + 1)
@@ -320,14 +325,14 @@ def score_batches(batches: Iterator[pa.RecordBatch], lexicon, weights, sums) ->
 
     for batch in batches:
         keys.append(batch.column(0))
-        for text in batch.column(1).to_pylist():
+        for text in texts_of(batch.column(1)):
             own = words_of(text)
             places = words.places(own)
             known = places[places >= 0]
             inside = known[beyond_head[known]]
             far = Counter(own[k] for k in np.flatnonzero(places < 0).tolist())
             model = float(words.log_count[inside].sum() - band_log[words.band[inside]].sum())
-            rows.append((row, len(own), len(known), float(words.log_count[known].sum()), model, sum(far.values()), list(far), list(far.values())))
+            rows.append((row, len(own), len(known), float(words.log_count[known].sum()), model, sum(far.values()), [w.decode() for w in far], list(far.values())))
             row += 1
             flat.append(words.ids(own, places))
             lengths.append(len(own) + 1)
@@ -339,6 +344,22 @@ def score_batches(batches: Iterator[pa.RecordBatch], lexicon, weights, sums) ->
         yield from pa.Table.from_batches([run()]).to_batches(512)
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """(word, count), the most frequent first: all words above a count that ``most`` at most reach, and the end of documents.
+
+    Counts fall into sixteen classes to the doubling, so the cut is found from at most about a thousand sums.
+    """
+    level = F.floor(F.log2("n") * 16).cast("int")
+    cut, reached = 1 << 30, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        reached += r["count"]
+        if reached > most - 1:
+            break
+        cut = r["level"]
+    rows = counts.filter((level >= cut) | (F.col("word") == "")).toPandas()
+    return sorted(((w.encode(), int(n)) for w, n in zip(rows["word"], rows["n"], strict=True)), key=lambda r: (-r[1], r[0]))
+
+
 def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", known: int = KNOWN) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row of ``docs``.
 
@@ -357,13 +378,14 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     counts = checkpointed(learning.mapInArrow(count_batches, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(known - 1).toPandas()
-    ends = counts.filter(F.col("word") == END).select("n").collect()
-    lexicon = Lexicon([END, *frequent["word"].tolist()], [ends[0]["n"] if ends else 0, *frequent["n"].tolist()])
+    frequent = most_frequent(counts, known)
+    ends = [n for w, n in frequent if w == END]
+    frequent = [(w, n) for w, n in frequent if w != END]
+    lexicon = Lexicon([END, *(w for w, _ in frequent)], [*(ends or [0]), *(n for _, n in frequent)])
     if not total:
         lexicon = Lexicon([END], [0])
-    head = list(lexicon.place)[:HEAD]
-    band = F.least(F.length("word"), F.lit(BANDS)) - 1
+    head = [w.decode() for w in list(lexicon.place)[:HEAD]]
+    band = F.least(F.octet_length("word"), F.lit(BANDS)) - 1
     sums = [0.0] * BANDS
     for r in counts.filter(~F.col("word").isin(head)).groupBy(band.alias("band")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
         sums[r["band"]] = float(r["n"])
@@ -375,7 +397,7 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     small_batches(spark, 10_000)
     each = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     joined = each.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    log_sum = F.element_at(F.array(*[F.lit(float(np.log10(s + 1))) for s in sums]), F.least(F.length("word"), F.lit(BANDS)))
+    log_sum = F.element_at(F.array(*[F.lit(float(np.log10(s + 1))) for s in sums]), F.least(F.octet_length("word"), F.lit(BANDS)))
     far = joined.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("far_known"),
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("far_log"),
