@@ -36,6 +36,13 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def complete(table: DataFrame) -> DataFrame:
+    """Rows without null or NaN in any column, whatever the columns' names."""
+    for n, t in table.dtypes:
+        table = table.filter(quoted(n).isNotNull() & ~F.isnan(quoted(n)) if t in ("double", "float") else quoted(n).isNotNull())
+    return table
+
+
 def norm_text(c: Column) -> Column:
     return F.lower(F.trim(c.cast("string")))
 
@@ -120,12 +127,12 @@ class Caster:
 
     def transform(self, table: DataFrame, side: str = "synthetic") -> CastTable:
         self.schema.require(table.columns, side)
-        rows = table.select(*map(quoted, self.schema.columns)).na.drop()
+        rows = complete(table.select(*map(quoted, self.schema.columns)))
         for name, kept in self.frequent.items():
             if kept is not None:
                 rows = rows.join(kept, norm_text(rows[name]) == kept[f"__kept_{name}"], "left")
         cat, num = projection(self.schema, self.frequent, dict(table.dtypes))
-        frame = rows.select(*[e.alias(n) for n, e in {**cat, **num}.items()]).na.drop()
+        frame = complete(rows.select(*[e.alias(n) for n, e in {**cat, **num}.items()]))
         return CastTable(frame, sorted(cat), sorted(num))
 
 

@@ -12,7 +12,7 @@ from itertools import combinations, product
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabassay.operators.caster import quoted
+from tabassay.operators.caster import complete, quoted
 from tabassay.operators.frames import cumulative, flag, stacked
 
 LEAST_ROWS = 10
@@ -97,7 +97,7 @@ def distance_correlation(x: np.ndarray, y: np.ndarray) -> float | None:
 def sampled(frame: DataFrame, columns: Sequence[str], most: int, seed: int = 42) -> np.ndarray:
     """At most ``most`` rows in the order of a hash of their values: the same rows on every run; drawn without a full sort."""
     picks = [quoted(c).cast("double").alias(c) for c in columns]
-    rows = frame.select(*picks).na.drop().orderBy(F.xxhash64(*[quoted(c) for c in columns], F.lit(seed)), *[quoted(c) for c in columns]).limit(most)
+    rows = complete(frame.select(*picks)).orderBy(F.xxhash64(*[quoted(c) for c in columns], F.lit(seed)), *[quoted(c) for c in columns]).limit(most)
     return rows.toPandas().to_numpy(np.float64).reshape(-1, len(columns))
 
 
