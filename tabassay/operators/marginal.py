@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabassay.operators.frames import at_rank, cumulative, flag, long_numbers, long_texts, value_counts
+from tabassay.plans.storage import checkpointed
 
 BINS = 50
 FEW_DISTINCT = 20
@@ -25,6 +26,7 @@ MOMENTS = ("delta_mean", "cohens_d")
 QUANTILES = ("delta_median", "delta_iqr")
 DISTRIBUTION = ("ks", "wasserstein", "anderson_darling", "gini_delta")
 COVERAGE = ("tvd", "js", "kl", "psi", "entropy_delta")
+GROUPS = (QUANTILES, DISTRIBUTION, ("delta_mad",), ("delta_exceedance",), ("hellinger",), ("kde_ise",))
 
 
 def enough(c: Column, nr: Column, ns: Column) -> Column:
@@ -59,11 +61,14 @@ def quantile_gaps(cum: DataFrame) -> DataFrame:
     return q.select("column", enough(over(F.abs(F.col("rq2") - F.col("sq2")), iqr_r), nr, ns).alias("delta_median"), enough(over(F.abs(iqr_r - iqr_s), iqr_r), nr, ns).alias("delta_iqr"))
 
 
-def mad_gap(long: DataFrame, cum: DataFrame) -> DataFrame:
-    """column, delta_mad: medians, then exact medians of the distances to them (a few rows are joined back)."""
+def mad_gap(counts: DataFrame, cum: DataFrame) -> DataFrame:
+    """column, delta_mad: medians, then exact medians of the distances of counted values to them (a few rows are joined back)."""
     medians = cum.groupBy("column").agg(at_rank(0.5, "cr", "tr").alias("mr"), at_rank(0.5, "cs", "ts").alias("ms"))
-    apart = long.join(F.broadcast(medians), "column").select("column", "is_real", F.abs(F.col("value") - F.when(F.col("is_real"), F.col("mr")).otherwise(F.col("ms"))).alias("value"))
-    m = cumulative(value_counts(apart)).groupBy("column").agg(at_rank(0.5, "cr", "tr").alias("r"), at_rank(0.5, "cs", "ts").alias("s"), F.max("tr").alias("nr"), F.max("ts").alias("ns"))
+    none = F.lit(0).cast("bigint")
+    side = lambda m, nr, ns: F.struct(F.abs(F.col("value") - F.col(m)).alias("value"), nr.alias("nr"), ns.alias("ns"))
+    both = counts.join(F.broadcast(medians), "column").select("column", F.explode(F.array(side("mr", F.col("nr"), none), side("ms", none, F.col("ns")))).alias("p")).select("column", "p.*")
+    apart = both.filter((F.col("nr") > 0) | (F.col("ns") > 0)).groupBy("column", "value").agg(F.sum("nr").alias("nr"), F.sum("ns").alias("ns"))
+    m = cumulative(apart).groupBy("column").agg(at_rank(0.5, "cr", "tr").alias("r"), at_rank(0.5, "cs", "ts").alias("s"), F.max("tr").alias("nr"), F.max("ts").alias("ns"))
     return m.select("column", enough(over(F.abs(F.col("r") - F.col("s")), F.col("r")), F.col("nr"), F.col("ns")).alias("delta_mad"))
 
 
@@ -212,17 +217,24 @@ def kde_ise(counts: DataFrame) -> DataFrame:
 
 
 def numeric_metrics(real: DataFrame, synth: DataFrame, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """``metric, column, raw`` for the numeric metrics asked for; frames they share are planned once."""
+    """``metric, column, raw`` for the numeric metrics asked for.
+
+    Where several groups are wanted, the cumulative counts they all use are written once to the checkpoint
+    folder, so the tables are scanned for them once and not for every group.
+    """
     long = long_numbers(real, synth, columns)
     counts = value_counts(long)
     cum = cumulative(counts)
+    if len({g for g in GROUPS if set(g) & set(names)}) > 1:
+        cum = checkpointed(cum)
+        counts = cum.select("column", "value", "nr", "ns")
     made = {}
     if set(names) & set(MOMENTS):
         made[MOMENTS] = moments(long)
     if set(names) & set(QUANTILES):
         made[QUANTILES] = quantile_gaps(cum)
     if "delta_mad" in names:
-        made["delta_mad",] = mad_gap(long, cum)
+        made["delta_mad",] = mad_gap(counts, cum)
     if set(names) & set(DISTRIBUTION):
         made[DISTRIBUTION] = distribution(cum)
     if "delta_exceedance" in names:

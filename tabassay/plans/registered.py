@@ -9,8 +9,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabassay.operators import marginal, pairs, privacy, whole
-from tabassay.operators.caster import CastTable, prepare
+import tabassay.generators.models  # noqa: F401  registers
+from tabassay.functions.aggregate import AGGREGATORS, aggregate_column
+from tabassay.functions.normalize import column_scores
+from tabassay.functions.ranktests import mean_ranks
+from tabassay.generators.simple import uniform_noise
+from tabassay.operators import learning, marginal, pairs, privacy, whole
+from tabassay.operators.caster import CastTable, Caster, prepare
+from tabassay.plans.benchmark import score_table
+from tabassay.plans.evaluate import marginal_report, redacted_counts, univariate
+from tabassay.plans.registry import GENERATORS
 from tabassay.schema import TableSchema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -277,14 +285,130 @@ tc AS (SELECT x.col, x.g, sum(abs(cw.q - coalesce(cg.p, 0))) / 2 AS t FROM (SELE
 t AS (SELECT * FROM tn UNION ALL SELECT * FROM tc), q AS (SELECT col, max(t) AS t_max, avg(CASE WHEN t > 0.2 THEN 1.0 ELSE 0 END) AS above FROM t GROUP BY col) SELECT col AS "column", round(t_max, 6) AS t_max, round(above, 6) AS above, round((1 - t_max) * (1 - above), 6) AS score FROM q""",
 }
 
+def marginal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship report: every column metric as one plan."""
+    return rounded(marginal_report(*lineitem_halves(spark, sf_dir)))
+
+
+def normalized_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw distances of one metric of each rule, normalised."""
+    real, synth = lineitem_halves(spark, sf_dir)
+    rows = marginal.numeric_metrics(real.frame, synth.frame, real.numeric, ["ks", "wasserstein", "delta_mean"])
+    return rounded(column_scores(rows).drop("raw"))
+
+
+def aggregated_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every aggregator over the Kolmogorov-Smirnov similarities of the columns."""
+    real, synth = lineitem_halves(spark, sf_dir)
+    rows = column_scores(marginal.universal_metrics(real.frame, synth.frame, real.numeric, real.categorical, ["tvd"]))
+    return rounded(rows.agg(*[aggregate_column(n, F.col("score")).alias(n) for n in AGGREGATORS]))
+
+
+def univariate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, synth = lineitem_halves(spark, sf_dir)
+    return rounded(univariate(real.frame, synth.frame, real.numeric).drop("skew", "kurtosis"))
+
+
+def cast_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders cast by their declared types, counted by what came out."""
+    schema = TableSchema.of({"o_totalprice": "continuous", "o_orderdate": "datetime", "o_orderpriority": {"type": "ordinal", "levels": ORDER_LEVELS}, "o_orderstatus": "boolean", "o_custkey": {"type": "discrete", "ranges": [[0, 50], [51, 500], [501, 10_000_000]]}})
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "O", " YES ").when(F.col("o_orderstatus") == "F", "no"))
+    cast = prepare(orders, orders, schema)[0].frame
+    return rounded(cast.groupBy("o_orderpriority", "o_orderpriority__ord", "o_orderstatus", "o_custkey").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("price"), F.max("o_orderdate__ts").alias("latest")))
+
+
+def frequent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part types kept among the forty most frequent, all others merged."""
+    parts = table(spark, sf_dir, "part").select("p_type")
+    cast = Caster(TableSchema.of({"p_type": "text"}), top_texts=40).fit(parts).transform(parts)
+    return cast.frame.groupBy("p_type").agg(F.count("*").alias("n"))
+
+
+def redacted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted_counts(table(spark, sf_dir, "part"), "p_brand", least=5, top=10)
+
+
+def generator_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean ranks of suppliers' nations over regions of balance, as of generators over seeds."""
+    scores = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("generator"), (F.col("c_custkey") % 5).cast("int").alias("seed")).agg(F.round(F.avg("c_acctbal"), 2).alias("score"))
+    return rounded(mean_ranks(scores))
+
+
+def benchmark_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("generator"), (F.col("c_custkey") % 3).cast("int").alias("seed"), F.lit("composite").alias("name"), F.col("c_acctbal").alias("value"))
+    return rounded(score_table(rows))
+
+
+def small_halves(spark: SparkSession, sf_dir: str) -> tuple[CastTable, CastTable]:
+    """A few hundred rows with a learnable target, for queries that train models."""
+    r, s = customer_halves(spark, sf_dir)
+    schema = TableSchema.of({"c_acctbal": "continuous", "c_nationkey": "continuous", "c_load": "continuous", "c_mktsegment": "categorical", "c_large": "categorical"})
+    large = lambda t: t.filter("c_custkey <= 1500").withColumn("c_large", F.when(F.col("c_acctbal") > 4500, "y").otherwise("n")).drop("c_custkey")
+    return prepare(large(r), large(s), schema)
+
+
+def privacy_mia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = learning.membership_attack(*small_halves(spark, sf_dir))
+    return spark.createDataFrame([(out["score"], out["accuracy"])], "score double, accuracy double")
+
+
+def privacy_inference_attack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = learning.inference_attack(*small_halves(spark, sf_dir), trees=20)
+    return spark.createDataFrame([(c["column"], c["score"]) for c in out["columns"]], "column string, score double")
+
+
+def utility_ml_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four strategies, from which every utility metric follows."""
+    out = learning.efficiency(*small_halves(spark, sf_dir), "c_large")
+    return spark.createDataFrame([("ttr", out["ttr"]), *out["strategies"].items(), ("ml_efficiency", out["score"])], "strategy string, value double")
+
+
+def calibration_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, _ = small_halves(spark, sf_dir)
+    return uniform_noise(real, 7).frame
+
+
+def generator_query(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        real, _ = small_halves(spark, sf_dir)
+        return GENERATORS[name](seed=3, **({"target": "c_large"} if name == "smotenc" else {"sweeps": 1} if name == "cart" else {})).fit_generate(real, 200).frame
+
+    return run
+
+
+ORDER_LEVELS = ["1-urgent", "2-high", "3-medium", "4-not specified", "5-low"]
+_TVD = COVERAGE_SQL["tvd"].replace("round(0.5 * sum(abs(p - q)), 6) AS raw", "1 - 0.5 * sum(abs(p - q)) AS v")
+_NOISE = ["uniform_noise", "bootstrap", "delete_zero", "delete_mean", "smotenc", "gaussian_copula", "bayesian_network", "cart", "real_data"]
+
 QUERIES: dict[str, Query] = {
+    **{f.__name__: f for f in (marginal_scores, normalized_columns, aggregated_columns, univariate_statistics, cast_table, frequent_texts, redacted_values, generator_ranks, benchmark_scores, privacy_mia, privacy_inference_attack, utility_ml_efficiency, calibration_noise)},
+    **{f"generator_{n}": generator_query(n) for n in _NOISE},
     **{f"fidelity_{n}": numeric_query(n) for n in NUMERIC_SQL},
     **{f"fidelity_{n}": coverage_query(n) for n in COVERAGE_SQL},
     **{f"fidelity_{n}": pair_query(n) for n in PAIR_SQL},
     **{f"fidelity_{f.__name__}": f for f in (correlation_matrix, mmd, energy_distance, outliers_coverage)},
     **{f"privacy_{f.__name__}": f for f in (dcr, nnaa, record_linkage, k_anonymity, l_diversity, t_closeness)},
 }
+MORE_SQL = {
+    "normalized_columns": NUMBERS + """, raw AS (SELECT 'fidelity.ks' AS metric, col, max(abs(cr / tr - cs / ts)) AS v FROM cum GROUP BY col UNION ALL SELECT 'fidelity.wasserstein', col, sum(abs(cr / tr - cs / ts) * coalesce(nxt - value, 0)) FROM cum GROUP BY col
+UNION ALL SELECT 'fidelity.delta_mean', col, CASE WHEN sqrt(vr) > 1e-10 THEN abs(mr - ms) / sqrt(vr) ELSE abs(mr - ms) END FROM quant), span AS (SELECT metric, quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.95) AS b FROM raw GROUP BY metric)
+SELECT metric, col AS "column", round(CASE metric WHEN 'fidelity.ks' THEN 1 - v WHEN 'fidelity.delta_mean' THEN 1 / (1 + v) ELSE 1 - least(1, greatest(0, (v - a) / (b - a))) END, 6) AS score FROM raw JOIN span USING (metric)""",
+    "aggregated_columns": f"""WITH t AS ({_TVD}), r AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM t),
+a AS (SELECT avg(v) AS m, min(v) AS least_v FROM t), s AS (SELECT -ln(avg(exp(-5 * v))) / 5 AS e FROM t)
+SELECT round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(min(v), 6) AS min, round(max(v), 6) AS max, round(quantile_cont(v, 0.25), 6) AS percentile_25, round(quantile_cont(v, 0.75), 6) AS percentile_75,
+round(avg(v) FILTER (i > floor(n * 0.1) AND i <= n - floor(n * 0.1)), 6) AS trimmed_mean_10, round(avg(v) FILTER (i > floor(n * 0.2) AND i <= n - floor(n * 0.2)), 6) AS trimmed_mean_20, round(exp(avg(ln(v))), 6) AS geometric_mean, round(count(*) / sum(1 / v), 6) AS harmonic_mean, round(least(1, avg(v)), 6) AS fsd,
+(SELECT round(least(1, least(greatest(e, least_v), m)), 6) FROM a, s) AS ssd FROM r""",
+    "univariate_statistics": NUMBERS + " SELECT is_real, col AS \"column\", round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(median(value), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75 FROM numbers GROUP BY is_real, col",
+    "cast_table": """WITH c AS (SELECT lower(trim(o_orderpriority)) AS o_orderpriority, (list_position(['1-urgent', '2-high', '3-medium', '4-not specified', '5-low'], lower(trim(o_orderpriority))) - 1) / 4.0 AS o_orderpriority__ord, CASE o_orderstatus WHEN 'O' THEN 'yes' WHEN 'F' THEN 'no' END AS o_orderstatus,
+CASE WHEN o_custkey BETWEEN 0 AND 50 THEN 0.0 WHEN o_custkey BETWEEN 51 AND 500 THEN 0.5 WHEN o_custkey BETWEEN 501 AND 10000000 THEN 1.0 END AS o_custkey, o_totalprice, epoch_us(o_orderdate) / 1e6 AS ts FROM orders)
+SELECT o_orderpriority, round(o_orderpriority__ord, 6) AS o_orderpriority__ord, o_orderstatus, CAST(o_custkey AS DOUBLE) AS o_custkey, count(*) AS n, round(avg(o_totalprice), 6) AS price, round(max(ts), 6) AS latest FROM c WHERE o_orderstatus IS NOT NULL AND o_orderpriority__ord IS NOT NULL AND o_custkey IS NOT NULL AND o_totalprice IS NOT NULL AND ts IS NOT NULL GROUP BY ALL""",
+    "frequent_texts": "WITH k AS (SELECT lower(trim(p_type)) AS t, count(*) AS n FROM part WHERE p_type IS NOT NULL GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, t) AS i, count(*) OVER () AS k FROM k) SELECT CASE WHEN k <= 40 OR i <= 40 THEN t ELSE 'OTHER' END AS p_type, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1",
+    "redacted_values": "WITH k AS (SELECT p_brand AS v, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY n >= 5 ORDER BY n DESC, v) AS i FROM k) SELECT CASE WHEN n < 5 THEN '__redacted__' WHEN i > 10 THEN '__other__' ELSE v END AS value, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1",
+    "generator_ranks": "WITH s AS (SELECT c_mktsegment AS g, c_custkey % 5 AS seed, round(avg(c_acctbal), 2) AS score FROM customer GROUP BY 1, 2), r AS (SELECT g, rank() OVER (PARTITION BY seed ORDER BY score DESC) + (count(*) OVER (PARTITION BY seed, score) - 1) / 2.0 AS rk FROM s) SELECT g AS generator, round(avg(rk), 6) AS mean_rank FROM r GROUP BY g",
+    "benchmark_scores": "SELECT c_mktsegment AS generator, 'composite' AS name, round(avg(c_acctbal), 6) AS mean, round(coalesce(stddev_samp(c_acctbal), 0), 6) AS std, round(median(c_acctbal), 6) AS median, round(quantile_cont(c_acctbal, 0.25), 6) AS q25, round(quantile_cont(c_acctbal, 0.75), 6) AS q75, round(quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25), 6) AS iqr FROM customer GROUP BY 1",
+}
 ORACLES: dict[str, str] = {
+    **MORE_SQL,
     **{f"fidelity_{n}": s for n, s in (NUMERIC_SQL | COVERAGE_SQL | PAIR_SQL).items()},
     **{(f"fidelity_{n}" if f"fidelity_{n}" in QUERIES else f"privacy_{n}"): s for n, s in OTHER_SQL.items()},
 }
