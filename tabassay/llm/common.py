@@ -37,7 +37,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """``df``, written and counted, with a broadcast hint only if its size allows it."""
+def small_side(df: DataFrame, none: bool = False) -> DataFrame | None:
+    """``df``, written and counted, with a broadcast hint only if its size allows it. With ``none``, None if it is empty."""
     df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    n = df.count()
+    return None if none and not n else F.broadcast(df) if n <= BROADCAST_ROWS else df

@@ -195,7 +195,9 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius
     """``docs`` with one row of each component, that with the smallest key. Rows without a key can't be told apart and stay."""
     found = checkpointed(near_duplicates(docs, key=key, text=text, radius=radius).filter(F.col(key).isNotNull()))
     losers = small_side(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("__key")).distinct())
-    repeated = small_side(found.groupBy(F.col(key).alias("__key")).count().filter("count > 1").select("__key"))
+    repeated = small_side(found.groupBy(F.col(key).alias("__key")).count().filter("count > 1").select("__key"), none=True)
     kept = docs.join(losers, docs[key] == losers["__key"], "left_anti")
+    if repeated is None:
+        return kept
     once = kept.join(repeated, kept[key] == repeated["__key"], "left_anti")
     return once.unionByName(kept.join(repeated, kept[key] == repeated["__key"], "left_semi").dropDuplicates([key]))
