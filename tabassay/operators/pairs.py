@@ -29,8 +29,16 @@ def mixed_pairs(numeric: Sequence[str], categorical: Sequence[str]) -> list[tupl
     return list(product(sorted(numeric), sorted(categorical)))
 
 
-def result(sides: DataFrame, metric: str) -> DataFrame:
+def named(sides: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """Numbers of columns, which are cheaper to group by, back to their names."""
+    at = lambda names, c: F.element_at(F.array(*map(F.lit, names)), F.col(c) + 1)
+    return sides.withColumns({"c1": at(left, "c1"), "c2": at(right, "c2")})
+
+
+def result(sides: DataFrame, metric: str, left: Sequence[str] | None = None, right: Sequence[str] | None = None) -> DataFrame:
     """``is_real, c1, c2, value`` -> a row per pair with both values."""
+    if left is not None:
+        sides = named(sides, left, right)
     wide = sides.groupBy("c1", "c2").agg(F.max(F.when(F.col("is_real"), F.col("value"))).alias("real_value"), F.max(F.when(~F.col("is_real"), F.col("value"))).alias("synth_value"))
     return wide.select(F.lit(f"fidelity.{metric}").alias("metric"), "c1", "c2", "real_value", "synth_value", F.abs(F.col("real_value") - F.col("synth_value")).alias("delta"))
 
@@ -73,13 +81,14 @@ def mutual_information(real: DataFrame, synth: DataFrame, columns: Sequence[str]
     x = both.join(F.broadcast(span), "is_real")
     width = lambda k: (F.col(f"high{k}") - F.col(f"low{k}")) / MI_BINS
     cell = {c: F.when(width(k) > 0, F.greatest(F.least(F.ceil((quoted(c) - F.col(f"low{k}")) / width(k)), F.lit(MI_BINS)), F.lit(1)).cast("int")) for k, c in enumerate(columns)}
-    cells = x.select("is_real", F.explode(F.array(*[F.struct(F.lit(a).alias("c1"), F.lit(b).alias("c2"), cell[a].alias("x"), cell[b].alias("y")) for a, b in pairs])).alias("p")).select("is_real", "p.*").na.drop()
+    place = {c: k for k, c in enumerate(columns)}
+    cells = x.select("is_real", F.explode(F.array(*[F.struct(F.lit(place[a]).alias("c1"), F.lit(place[b]).alias("c2"), cell[a].alias("x"), cell[b].alias("y")) for a, b in pairs])).alias("p")).select("is_real", "p.*").na.drop()
     counts = cells.groupBy("is_real", "c1", "c2", "x", "y").agg(F.count("*").alias("n"))
     key = ["is_real", "c1", "c2"]
     total, px, py = (F.sum("n").over(Window.partitionBy(*key, *more)) for more in ([], ["x"], ["y"]))
     with_sums = counts.select(*key, "n", total.alias("t"), px.alias("nx"), py.alias("ny"))
     value = F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny"))))
-    return result(with_sums.groupBy(*key).agg(F.when(F.max("t") >= LEAST_ROWS, F.greatest(value, F.lit(0.0))).alias("value")), "mi")
+    return result(with_sums.groupBy(*key).agg(F.when(F.max("t") >= LEAST_ROWS, F.greatest(value, F.lit(0.0))).alias("value")), "mi", columns, columns)
 
 
 def distance_correlation(x: np.ndarray, y: np.ndarray) -> float | None:
@@ -115,10 +124,10 @@ def dcor(real: DataFrame, synth: DataFrame, columns: Sequence[str], most: int =
 
 
 def grouped(real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """``is_real, c1, c2, value, group``: every numeric value beside every category of its row."""
+    """``is_real, c1, c2, value, group``: every numeric value beside every category of its row; columns by their numbers."""
     both = stacked(real, synth, [*numeric, *categorical])
-    pairs = mixed_pairs(numeric, categorical)
-    return both.select("is_real", F.explode(F.array(*[F.struct(F.lit(a).alias("c1"), F.lit(b).alias("c2"), quoted(a).cast("double").alias("value"), quoted(b).cast("string").alias("group")) for a, b in pairs])).alias("p")).select("is_real", "p.*").na.drop()
+    pairs, left, right = mixed_pairs(numeric, categorical), list(numeric), list(categorical)
+    return both.select("is_real", F.explode(F.array(*[F.struct(F.lit(left.index(a)).alias("c1"), F.lit(right.index(b)).alias("c2"), quoted(a).cast("double").alias("value"), quoted(b).cast("string").alias("group")) for a, b in pairs])).alias("p")).select("is_real", "p.*").na.drop()
 
 
 KEY = ("is_real", "c1", "c2")
@@ -132,7 +141,7 @@ def eta_squared(real: DataFrame, synth: DataFrame, numeric: Sequence[str], categ
     between = F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2)
     within = F.sum(F.col("n") * F.col("v"))
     value = F.when((F.max("groups") >= 2) & (F.max("total") >= LEAST_ROWS) & (between + within > 0), between / (between + within))
-    return result(x.groupBy(*KEY).agg(value.alias("value")), "eta_squared")
+    return result(x.groupBy(*KEY).agg(value.alias("value")), "eta_squared", numeric, categorical)
 
 
 def point_biserial(real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
@@ -149,7 +158,7 @@ def point_biserial(real: DataFrame, synth: DataFrame, numeric: Sequence[str], ca
     na, nb = F.col("a.n"), F.col("b.n")
     between = na * nb / F.col("t") * (F.col("a.m") - F.col("b.m")) ** 2
     value = F.when((F.col("k") == 2) & (F.col("t") >= LEAST_ROWS) & (between + F.col("within") > 0), F.sqrt(between / (between + F.col("within"))))
-    return result(two.select(*KEY, value.alias("value")), "point_biserial")
+    return result(two.select(*KEY, value.alias("value")), "point_biserial", numeric, categorical)
 
 
 def kruskal_epsilon(real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
@@ -173,7 +182,7 @@ def kruskal_epsilon(real: DataFrame, synth: DataFrame, numeric: Sequence[str], c
         return F.when((F.col(f"g{s}") >= 2) & (F.col(everyone) >= LEAST_ROWS) & (fix > 0), raw / fix / (F.col(everyone) - 1))
 
     sides = x.select("c1", "c2", F.explode(F.array(F.struct(F.lit(True).alias("is_real"), epsilon("r", "ar").alias("value")), F.struct(F.lit(False).alias("is_real"), epsilon("s", "as_").alias("value")))).alias("p")).select("p.is_real", "c1", "c2", "p.value")
-    return result(sides, "kruskal_epsilon")
+    return result(sides, "kruskal_epsilon", numeric, categorical)
 
 
 def contingency(real: DataFrame, synth: DataFrame, categorical: Sequence[str]) -> DataFrame:

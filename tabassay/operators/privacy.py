@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabassay.operators import knn
 from tabassay.operators.caster import quoted
 from tabassay.operators.frames import RANGES, at_rank, cumulative
+from tabassay.plans.storage import checkpointed
 
 K_TARGET, L_TARGET, T_THRESHOLD, QUASI = 5, 3, 0.2, 5
 COPY = 0.1
@@ -124,30 +125,25 @@ def number_distances(table: DataFrame, numeric: Sequence[str]) -> DataFrame:
 
     Between two neighbouring values of a class its distribution function is level, say at h. The whole's function F rises, so
     the area of |F - h| there follows from the integral of F at both ends and at the place where F passes h.
+    Counts, areas and steps are used more than once and are written to the checkpoint folder.
     """
     long = table.select("g", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("value")) for c in numeric])).alias("p")).select("g", "p.column", "p.value").filter(F.col("value").isNotNull())
-    cells = long.groupBy("column", "g", "value").agg(F.count("*").alias("n"))
+    cells = checkpointed(long.groupBy("column", "g", "value").agg(F.count("*").alias("n")))
     whole = cells.groupBy("column", "value").agg(F.sum("n").alias("nr"), F.lit(0).cast("bigint").alias("ns"))
-    cum = cumulative(whole).select("column", "value", "cr", "tr", "next")
-    area = with_areas(cum)
-    ends = cum.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    area = checkpointed(with_areas(cumulative(whole).select("column", "value", "cr", "tr", "next")))
+    ends = area.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     inner = Window.partitionBy("column", "g").orderBy("value")
     levels = cells.withColumns({"c": F.sum("n").over(inner.rowsBetween(Window.unboundedPreceding, 0)), "size": F.sum("n").over(Window.partitionBy("column", "g")), "to": F.lead("value").over(inner), "at": F.row_number().over(inner)})
     x = levels.join(F.broadcast(ends), "column").withColumns({"h": F.col("c") / F.col("size"), "to": F.coalesce("to", "high")})
     first = x.filter("at = 1").select("column", "g", F.lit(0.0).alias("h"), F.col("low").alias("a"), F.col("value").alias("b"))
     steps = x.select("column", "g", "h", F.col("value").alias("a"), F.col("to").alias("b")).unionByName(first).filter("b > a")
     at = lambda name: area.select("column", F.col("value").alias(name), F.col("area").alias(f"area_{name}"), F.col("f").alias(f"f_{name}"))
-    placed = steps.join(at("a"), ["column", "a"]).join(at("b"), ["column", "b"])
+    placed = checkpointed(steps.join(at("a"), ["column", "a"]).join(at("b"), ["column", "b"]))
     settled, crossing = F.col("h") <= F.col("f_a"), F.col("h") > F.col("f_a")
     straight = F.col("area_b") - F.col("area_a") - F.col("h") * (F.col("b") - F.col("a"))
     down = placed.filter(settled).select("column", "g", straight.alias("w"))
     top = placed.filter(crossing)
-    # The place where F passes h: the first value whose cumulative share reaches it, found by rank in its range.
-    marks = area.select("column", F.col("value").alias("m"), "area", F.col("f"), F.lag("f", 1, 0.0).over(Window.partitionBy("column", "part").orderBy("value")).alias("g_before"), "part", "f_first")
-    wanted = top.select("column", "h").distinct()
-    cuts = area.groupBy("column", "part").agg(F.max("f").alias("f_last"))
-    ranged = wanted.join(F.broadcast(cuts), "column").filter(F.col("f_last") >= F.col("h")).groupBy("column", "h").agg(F.min("part").alias("part"))
-    place = ranged.join(marks, ["column", "part"]).filter(F.col("f") >= F.col("h")).groupBy("column", "h").agg(F.min(F.struct("m", "area")).alias("p")).select("column", "h", F.col("p.m").alias("m"), F.col("p.area").alias("area_m"))
+    place = first_reaching(area, top.select("column", "h").distinct())
     met = top.join(place, ["column", "h"])
     mid = F.least(F.col("m"), F.col("b"))
     area_mid = F.when(F.col("m") <= F.col("b"), F.col("area_m")).otherwise(F.col("area_b"))
@@ -159,15 +155,32 @@ def number_distances(table: DataFrame, numeric: Sequence[str]) -> DataFrame:
     return everyone.select("column", "g", F.when(width > 0, F.least(F.coalesce("w", F.lit(0.0)) / width, F.lit(1.0))).otherwise(0.0).alias("t"))
 
 
+def first_reaching(area: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``column, h, m, area_m``: the first value at which the whole's distribution function reaches h.
+
+    Both are sorted together inside ranges of the share; where a range holds no later value, the first of a higher range serves.
+    """
+    marks = area.select("column", F.col("f").alias("key"), F.struct(F.col("value").alias("m"), F.col("area").alias("area_m")).alias("mark"), F.lit(0).alias("kind"))
+    both = marks.unionByName(wanted.select("column", F.col("h").alias("key"), F.lit(1).alias("kind")), allowMissingColumns=True)
+    both = both.withColumn("range", F.least(F.floor(F.col("key") * RANGES), F.lit(RANGES - 1)).cast("int"))
+    downward = Window.partitionBy("column", "range").orderBy(F.desc("key"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("near", F.last("mark", ignorenulls=True).over(downward)).filter("kind = 1")
+    firsts = both.groupBy("column", "range").agg(F.min(F.when(F.col("kind") == 0, F.struct("key", "mark"))).alias("first"))
+    higher = Window.partitionBy("column").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    after = firsts.select("column", "range", F.last("first", ignorenulls=True).over(higher)["mark"].alias("after"))
+    found = near.join(F.broadcast(after), ["column", "range"]).withColumn("p", F.coalesce("near", "after"))
+    return found.select("column", F.col("key").alias("h"), F.col("p.m").alias("m"), F.col("p.area_m").alias("area_m"))
+
+
 def with_areas(cum: DataFrame) -> DataFrame:
     """The whole's distribution function ``f`` and its integral ``area`` up to each value, in ranges like ``cumulative``."""
     cuts = cum.groupBy("column").agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))
     x = cum.join(F.broadcast(cuts), "column").select("column", "value", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("part"), (F.col("cr") / F.col("tr")).alias("f"), F.coalesce(F.col("cr") / F.col("tr") * (F.col("next") - F.col("value")), F.lit(0.0)).alias("step"))
-    parts = x.groupBy("column", "part").agg(F.sum("step").alias("sum"), F.min("f").alias("f_first"))
-    offsets = parts.select("column", "part", "f_first", F.coalesce(F.sum("sum").over(Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    parts = x.groupBy("column", "part").agg(F.sum("step").alias("sum"))
+    offsets = parts.select("column", "part", F.coalesce(F.sum("sum").over(Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
     inside = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     y = x.withColumn("inner", F.coalesce(F.sum("step").over(inside), F.lit(0.0))).join(F.broadcast(offsets), ["column", "part"])
-    return y.select("column", "value", "part", "f", "f_first", (F.col("inner") + F.col("before")).alias("area"))
+    return y.select("column", "value", "part", "f", (F.col("inner") + F.col("before")).alias("area"))
 
 
 def t_closeness(synth: DataFrame, quasi: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], threshold: float = T_THRESHOLD) -> DataFrame:

@@ -204,3 +204,17 @@ def test_stream_monitor(spark, tmp_path):
     seen = []
     monitor(stream, table(spark, 5), lambda df, n: seen.extend(df.collect()), ["age"], ["city"], checkpoint=str(tmp_path / "cp")).awaitTermination(120)
     assert {(r["metric"], r["column"]) for r in seen} == {("fidelity.ks", "age"), ("fidelity.psi", "age"), ("fidelity.psi", "city")}
+
+
+def test_store_folds_and_division(spark):
+    from pyspark.sql import functions as F
+
+    from tabassay.plans.cache import StatsStore, folds, key_of, safe_divide
+
+    store = StatsStore(2)
+    assert [store.get(k, lambda k=k: k.upper()) for k in ("a", "b", "a", "c", "b")] == ["A", "B", "A", "C", "B"]
+    assert store.statistics() == {"size": 2, "hits": 1, "misses": 4, "hit_rate": 0.2} and key_of("univariate", "real", "age") == "univariate:real:age"
+    t = table(spark, 5)
+    parts = list(folds(t, 4))
+    assert sum(test.count() for _, test in parts) == t.count() and all(a.count() + b.count() == t.count() for a, b in parts)
+    assert [r[0] for r in spark.createDataFrame([(1.0, 0.0), (1.0, 2.0), (None, 1.0)], "a double, b double").select(safe_divide(F.col("a"), F.col("b"))).collect()] == [0.0, 0.5, 0.0]
