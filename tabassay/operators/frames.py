@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabassay.operators.caster import CastTable, quoted
+from tabassay.operators.caster import quoted
 
 RANGES = 64
 
@@ -33,6 +33,19 @@ def long_texts(real: DataFrame, synth: DataFrame, columns: Sequence[str]) -> Dat
     return both.select("is_real", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in columns])).alias("p")).select("p.column", "p.value", "is_real").filter(F.col("value").isNotNull())
 
 
+def hash_sample(frame: DataFrame, columns: Sequence[str], most: int, seed: int = 42) -> DataFrame:
+    """At most ``most`` rows, the first by a hash of ``columns``: the same rows on every run.
+
+    Where there are many more, a threshold on the hash leaves about four times as many before they are
+    ordered, so no task or driver takes ``most`` rows from every partition.
+    """
+    u = F.pmod(F.xxhash64(*map(quoted, columns), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    marked, n = frame.withColumn("__u", u), frame.count()
+    if n > 8 * most:
+        marked = marked.filter(F.col("__u") < 4 * most / n)
+    return marked.orderBy("__u", *map(quoted, columns)).limit(most).drop("__u")
+
+
 def flag(name: str = "is_real") -> Column:
     return F.col(name).cast("bigint")
 
@@ -76,7 +89,3 @@ def at_rank(q: float, cum: str, total: str) -> Column:
     high = F.min(F.when(F.col(cum) > F.ceil(place), F.col("value")))
     share = F.max(place - F.floor(place))
     return low + (high - low) * share
-
-
-def views(real: CastTable, synth: CastTable) -> tuple[DataFrame, DataFrame]:
-    return real.frame, synth.frame
