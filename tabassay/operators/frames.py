@@ -13,7 +13,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabassay.operators.caster import quoted
 
-RANGES = 64
+RANGES, MOST_RANGES = 64, 512
+
+
+def ranges_of(frame: DataFrame) -> int:
+    """How many ranges a column is dealt to: more where the session shuffles to more partitions."""
+    return max(RANGES, min(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4, MOST_RANGES))
 
 
 def stacked(real: DataFrame, synth: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,7 +67,8 @@ def cumulative(counts: DataFrame, keys: Sequence[str] = ("column",)) -> DataFram
     is split, never a result.
     """
     keys = list(keys)
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))
+    n = ranges_of(counts)
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("value", [k / n for k in range(1, n)], 16 * n).alias("cuts"))
     dealt = counts.join(F.broadcast(cuts), keys).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     parts = dealt.groupBy(*keys, "part").agg(F.sum("nr").alias("pr"), F.sum("ns").alias("ps"), F.min("value").alias("first"))
     order, every = Window.partitionBy(*keys).orderBy("part"), Window.partitionBy(*keys)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabassay.operators import knn
 from tabassay.operators.caster import quoted
-from tabassay.operators.frames import RANGES, at_rank, cumulative
+from tabassay.operators.frames import at_rank, cumulative, ranges_of
 from tabassay.plans.storage import checkpointed
 
 K_TARGET, L_TARGET, T_THRESHOLD, QUASI = 5, 3, 0.2, 5
@@ -160,9 +160,10 @@ def first_reaching(area: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Both are sorted together inside ranges of the share; where a range holds no later value, the first of a higher range serves.
     """
+    n = ranges_of(area)
     marks = area.select("column", F.col("f").alias("key"), F.struct(F.col("value").alias("m"), F.col("area").alias("area_m")).alias("mark"), F.lit(0).alias("kind"))
     both = marks.unionByName(wanted.select("column", F.col("h").alias("key"), F.lit(1).alias("kind")), allowMissingColumns=True)
-    both = both.withColumn("range", F.least(F.floor(F.col("key") * RANGES), F.lit(RANGES - 1)).cast("int"))
+    both = both.withColumn("range", F.least(F.floor(F.col("key") * n), F.lit(n - 1)).cast("int"))
     downward = Window.partitionBy("column", "range").orderBy(F.desc("key"), "kind").rowsBetween(Window.unboundedPreceding, 0)
     near = both.withColumn("near", F.last("mark", ignorenulls=True).over(downward)).filter("kind = 1")
     firsts = both.groupBy("column", "range").agg(F.min(F.when(F.col("kind") == 0, F.struct("key", "mark"))).alias("first"))
@@ -174,7 +175,8 @@ def first_reaching(area: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def with_areas(cum: DataFrame) -> DataFrame:
     """The whole's distribution function ``f`` and its integral ``area`` up to each value, in ranges like ``cumulative``."""
-    cuts = cum.groupBy("column").agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))
+    n = ranges_of(cum)
+    cuts = cum.groupBy("column").agg(F.percentile_approx("value", [k / n for k in range(1, n)], 16 * n).alias("cuts"))
     x = cum.join(F.broadcast(cuts), "column").select("column", "value", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("part"), (F.col("cr") / F.col("tr")).alias("f"), F.coalesce(F.col("cr") / F.col("tr") * (F.col("next") - F.col("value")), F.lit(0.0)).alias("step"))
     parts = x.groupBy("column", "part").agg(F.sum("step").alias("sum"))
     offsets = parts.select("column", "part", F.coalesce(F.sum("sum").over(Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
