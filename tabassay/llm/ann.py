@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabassay.llm.common import checkpointed, small_batches
+from tabassay.operators.frames import hash_sample
 
 #: Vectors that the codebooks are fitted on at most, in the order of a hash of their ids.
 SAMPLE = 8192
@@ -178,7 +179,7 @@ def nearest(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding
     spark = vectors.sparkSession
     kind = "f8" if dict(vectors.dtypes)[vector] == "array<double>" else "f4"
     rows = usable(vectors.withColumn(vector, F.col(vector).cast("array<double>" if kind == "f8" else "array<float>")), key, vector)
-    drawn = rows.orderBy(F.xxhash64("key"), "key").limit(sample).toPandas()
+    drawn = hash_sample(rows, ["key"], sample).toPandas()
     if drawn.empty:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     books = spark.sparkContext.broadcast(fit_books(unit(np.stack(drawn["vector"].to_numpy())).astype(np.float32)))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabassay.llm.common import small_batches
+from tabassay.operators.frames import hash_sample
 
 #: Labelled rows that the classifier is fitted on at most, taken in the order of a hash of their ids.
 SAMPLE = 4000
@@ -133,7 +134,7 @@ def held_out(key: Column, folds: int = 5, fold: int = 0) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, test: Column, *, key: str, text: str, sample: int) -> DataFrame:
     """``text, label`` of at most ``sample`` labelled rows outside the held-out fold; that bound is also the broadcast's."""
     drawn = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~test).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
-    drawn = drawn.orderBy(F.md5(F.col("key").cast("string")), "key").limit(sample)
+    drawn = hash_sample(drawn, ["key"], sample)
     found = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "key")
     return found
 
