@@ -148,12 +148,12 @@ CUSTOMER_NUMERIC = ["c_acctbal", "c_load", "c_nationkey"]
 
 
 def customer_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Halves of up to two thousand customers, small enough for every pair of rows."""
-    rows = table(spark, sf_dir, "customer").filter("c_custkey <= 4000").select("c_custkey", F.col("c_acctbal").cast("double"), F.col("c_nationkey").cast("double"), (F.col("c_custkey") * 37 % 101).cast("double").alias("c_load"), F.lower("c_mktsegment").alias("c_mktsegment"))
+    """Halves of all customers, a table small enough for metrics of every pair of rows."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double"), F.col("c_nationkey").cast("double"), (F.col("c_custkey") * 37 % 101).cast("double").alias("c_load"), F.lower("c_mktsegment").alias("c_mktsegment"))
     return rows.filter("c_custkey % 2 = 0"), rows.filter("c_custkey % 2 = 1").withColumn("c_acctbal", F.col("c_acctbal") * 0.9 + 250)
 
 
-CUSTOMERS = """WITH base AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal, CAST(c_nationkey AS DOUBLE) AS c_nationkey, CAST(c_custkey * 37 % 101 AS DOUBLE) AS c_load, lower(c_mktsegment) AS c_mktsegment FROM customer WHERE c_custkey <= 4000),
+CUSTOMERS = """WITH base AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal, CAST(c_nationkey AS DOUBLE) AS c_nationkey, CAST(c_custkey * 37 % 101 AS DOUBLE) AS c_load, lower(c_mktsegment) AS c_mktsegment FROM customer),
 real AS (SELECT * FROM base WHERE c_custkey % 2 = 0), synth AS (SELECT c_custkey, c_acctbal * 0.9 + 250 AS c_acctbal, c_nationkey, c_load, c_mktsegment FROM base WHERE c_custkey % 2 = 1),
 scale AS (SELECT avg(c_acctbal) AS m0, stddev_pop(c_acctbal) AS s0, avg(c_load) AS m1, stddev_pop(c_load) AS s1, avg(c_nationkey) AS m2, stddev_pop(c_nationkey) AS s2 FROM real),
 r AS (SELECT c_custkey AS id, (c_acctbal - m0) / s0 AS a, (c_load - m1) / s1 AS b, (c_nationkey - m2) / s2 AS c FROM real CROSS JOIN scale),
@@ -340,10 +340,10 @@ def benchmark_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_halves(spark: SparkSession, sf_dir: str) -> tuple[CastTable, CastTable]:
-    """A few hundred rows with a learnable target, for queries that train models."""
+    """Customers with a learnable target, for queries that train models."""
     r, s = customer_halves(spark, sf_dir)
     schema = TableSchema.of({"c_acctbal": "continuous", "c_nationkey": "continuous", "c_load": "continuous", "c_mktsegment": "categorical", "c_large": "categorical"})
-    large = lambda t: t.filter("c_custkey <= 1500").withColumn("c_large", F.when(F.col("c_acctbal") > 4500, "y").otherwise("n")).drop("c_custkey")
+    large = lambda t: t.withColumn("c_large", F.when(F.col("c_acctbal") > 4500, "y").otherwise("n")).drop("c_custkey")
     return prepare(large(r), large(s), schema)
 
 
@@ -371,7 +371,7 @@ def calibration_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generator_query(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         real, _ = small_halves(spark, sf_dir)
-        return GENERATORS[name](seed=3, **({"target": "c_large"} if name == "smotenc" else {"sweeps": 1} if name == "cart" else {})).fit_generate(real, 200).frame
+        return GENERATORS[name](seed=3, **({"target": "c_large"} if name == "smotenc" else {})).fit_generate(real).frame
 
     return run
 
