@@ -26,7 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with secrets lose them, and n_chars follows; all other documents stay as they are."""
     masked = secrets.redact_secrets(docs.withColumn("__before", F.col("text")))
-    n_chars = F.when(F.col("text") == F.col("__before"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    n_chars = F.when(F.col("text").eqNullSafe(F.col("__before")), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return masked.withColumn("n_chars", n_chars).select(*docs.columns)
 
 

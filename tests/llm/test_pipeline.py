@@ -41,3 +41,24 @@ def test_registration():
     names = list(entry.queries())
     assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")].__len__() == 10 and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf_dir):
+    from helpers import docs, odd_texts
+
+    texts = [*odd_texts(20_000), "token=abcdefgh1 here", "a b c d e", "a b c d e"]
+    ids = [None, None, *range(len(texts) - 2)]
+    odd = docs(spark, texts, ids, [None, "s", *["t"] * (len(texts) - 2)], clash=True)
+    n_in = odd.count()
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (odd, odd.limit(0)):
+            out = stage(spark, table, sf_dir)
+            n = out.count()
+            assert out.columns == odd.columns or name == "best_fit_packing"
+            assert (n > 0) == (table is odd)
+            if name in ("toxicity", "secret_scans") and table is odd:
+                assert n == n_in
+    masked = {(r["doc_id"], r["n_chars"], r["text"]) for r in corpus_pipeline.mask_secrets(spark, odd, sf_dir).collect() if "[secret]" in (r["text"] or "")}
+    assert all(n == len(t) for _, n, t in masked) and len(masked) == 2
+    same = docs(spark, [None, "x"], [1, 2]).withColumn("n_chars", __import__("pyspark").sql.functions.lit(7).cast("bigint"))
+    assert [r["n_chars"] for r in corpus_pipeline.mask_secrets(spark, same, sf_dir).collect()] == [7, 7]

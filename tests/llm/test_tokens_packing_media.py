@@ -122,3 +122,33 @@ def test_media_columns(spark, clash):
     same = [k for k, t in enumerate(texts) if t == "same text here"]
     assert len({tuple(v for n, v in got[k].items() if n != "doc_id") for k in same}) == 1
     assert rows(media.media_columns(docs(spark, []))) == []
+
+
+def test_meta_prefix_codes():
+    """Two groups of codes by blocks of four pixels, written by hand."""
+    rng = np.random.default_rng(7)
+    width = height = 8
+    argb = rng.integers(0, 1 << 32, width * height, dtype=np.uint64).astype(np.uint32)
+    group = [0, 1, 1, 0]
+    of = [group[(k // width // 4) * 2 + k % width // 4] for k in range(len(argb))]
+    w = webp.Writer()
+    webp.header(w, width, height)
+    w.bits(0, 1)  # no transform
+    w.bits(0, 1)  # no cache
+    w.bits(1, 1)
+    w.bits(0, 3)
+    webp.write_image(w, np.array([g << 8 for g in group], np.uint32), 2, False)
+    codes = []
+    for g in (0, 1):
+        own = [int(p) for p, o in zip(argb, of, strict=True) if o == g]
+        codes.append([])
+        for n, shift in zip(webp.ALPHABETS, (8, 16, 0, 24, None), strict=True):
+            counts = [0] * n
+            for p in own if shift is not None else []:
+                counts[p >> shift & 255] += 1
+            codes[g].append(webp.write_code(w, webp.code_lengths(counts)))
+    for p, g in zip(argb.tolist(), of, strict=True):
+        for code, shift in zip(codes[g], (8, 16, 0, 24), strict=False):
+            w.bits(*code[p >> shift & 255])
+    back = webp.decode_stream(w.bytes())
+    assert np.array_equal(back.reshape(-1, 4), webp.planes(argb)[:, [1, 2, 3, 0]])
