@@ -11,10 +11,10 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabassay.errors import ConfigError
-from tabassay.functions.aggregate import AVERSION, aggregate, certainty_equivalent, finite, hypervolume
+from tabassay.functions.aggregate import AVERSION, aggregate, aggregate_column, certainty_equivalent, finite, hypervolume
 from tabassay.functions.normalize import apply_rule, column_scores, rule_of
 from tabassay.operators import learning, marginal, pairs, privacy, whole
 from tabassay.operators.caster import CastTable, prepare, validate
@@ -281,3 +281,23 @@ def redacted_counts(table: DataFrame, column: str, least: int = 5, top: int = 50
     named = counts.join(kept, F.col("value") == F.col("kept"), "left")
     label = F.when(F.col("count") < least, "__redacted__").when(F.col("kept").isNull(), "__other__").otherwise(F.col("value"))
     return named.groupBy(label.alias("value")).agg(F.sum("count").alias("n"))
+
+
+def hierarchy_frame(results: DataFrame, layers: tuple[str, str] = ("median", "ssd")) -> DataFrame:
+    """``family, category, subcategory, score, count`` of a frame of results (``RunSummary.frame``), by one rollup.
+
+    Families take the second aggregator, all below the first; values that are not finite are left out.
+    """
+    at = [F.create_map(*[F.lit(x) for m, p in PLACES.items() for x in (m, p[k])]) for k in range(3)]
+    value = F.when(F.abs("value") < float("inf"), F.col("value"))
+    placed = results.select(*[F.coalesce(a[F.col("id")], F.lit("other")).alias(n) for a, n in zip(at, ("family", "category", "subcategory"), strict=True)], value.alias("value")).filter("value is not null")
+    first, second = (aggregate_column(name, F.col("value")) for name in layers)
+    rolled = placed.rollup("family", "category", "subcategory").agg(first.alias("__first"), second.alias("__second"), F.count("*").alias("count"), F.grouping("category").alias("__whole"))
+    score = F.when(F.col("__whole") == 1, F.col("__second")).otherwise(F.col("__first"))
+    return rolled.filter("family is not null").select("family", "category", "subcategory", score.alias("score"), "count")
+
+
+def worst_columns(scored: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` lowest scores of each metric, ties by name; ``scored``: metric, column, score."""
+    w = Window.partitionBy("metric").orderBy("score", "column")
+    return scored.filter("score is not null").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -218,3 +218,20 @@ def test_store_folds_and_division(spark):
     parts = list(folds(t, 4))
     assert sum(test.count() for _, test in parts) == t.count() and all(a.count() + b.count() == t.count() for a, b in parts)
     assert [r[0] for r in spark.createDataFrame([(1.0, 0.0), (1.0, 2.0), (None, 1.0)], "a double, b double").select(safe_divide(F.col("a"), F.col("b"))).collect()] == [0.0, 0.5, 0.0]
+
+
+def test_hierarchy_frame_equals_the_tree(spark):
+    from tabassay.plans.evaluate import RunSummary, hierarchy_frame, worst_columns
+
+    values = {"fidelity.ks": 0.8, "fidelity.wasserstein": 0.6, "fidelity.psi": 0.5, "fidelity.mmd": math.nan, "fidelity.pearson": 0.9, "privacy.dcr": 0.7}
+    results = [MetricResult(k, v, k.split(".")[0]) for k, v in values.items()]
+    tree = roll_up(results)["hierarchy"]
+    got = {(r["family"], r["category"], r["subcategory"]): r["score"] for r in hierarchy_frame(RunSummary(EvalPlan(["ks"]), results, {}).frame(spark)).collect()}
+    for f, t in tree.items():
+        assert got[f, None, None] == pytest.approx(t["score"])
+        for c, x in t["categories"].items():
+            assert got[f, c, None] == pytest.approx(x["score"])
+            for s, y in x["subcategories"].items():
+                assert got[f, c, s] == pytest.approx(y["score"])
+    scored = spark.createDataFrame([("m", "a", 0.5), ("m", "b", 0.1), ("m", "c", None), ("n", "a", 0.2)], "metric string, column string, score double")
+    assert {(r["metric"], r["column"]) for r in worst_columns(scored, 1).collect()} == {("m", "b"), ("n", "a")}
