@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabassay.llm.common import checkpointed, small_batches
 
 FOLDS, FOLD = 7, 2
-HIDDEN, WINDOW, GROUP, RUN_TOKENS = 8, 24, 1024, 1 << 22
+HIDDEN, WINDOW, GROUP, RUN_TOKENS = 12, 24, 1024, 1 << 22
 CLASS, CLASSES, BANDS = 16, 16, 16
 HEAD = CLASS * CLASSES  # the end of a document is word 0
 START = HEAD + BANDS

@@ -220,3 +220,7 @@ def test_unusable_vectors_take_no_part(spark):
     assert rows(ann.nearest(vectors(spark, []))) == []
     repeated = rows(ann.nearest(vectors(spark, [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [0.0, 1.0]], [0, 0, 5, 5])))
     assert [(r["query_id"], r["vec_id"]) for r in repeated] == [(0, 5)]
+
+
+def test_size_of_the_network():
+    assert rnn.HIDDEN >= 12 and rnn.views(rnn.first_weights())["u"].shape == (rnn.HIDDEN, 3 * rnn.HIDDEN)
