@@ -22,7 +22,7 @@ from tabassay.errors import PreparationError
 from tabassay.generators.base import Generator
 from tabassay.generators.simple import Bootstrap
 from tabassay.operators.caster import CastTable, quoted
-from tabassay.operators.frames import hash_sample
+from tabassay.operators.frames import row_sample
 from tabassay.plans.registry import GENERATORS
 from tabassay.plans.storage import checkpointed
 
@@ -42,7 +42,7 @@ class Sampled(Generator):
 
     def fit(self, real: CastTable) -> Generator:
         super().fit(real)
-        rows = hash_sample(real.frame, real.columns, self.sample, self.seed).toPandas()
+        rows = row_sample(real.frame.select(*map(quoted, real.columns)), self.sample, self.seed).toPandas()
         if rows.empty:
             raise PreparationError("there is no row to learn from")
         self.learn(rows)

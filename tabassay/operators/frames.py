@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabassay.operators.caster import quoted
 
 RANGES, MOST_RANGES = 64, 512
+COPIES = 10_000
 
 
 def ranges_of(frame: DataFrame) -> int:
@@ -51,6 +52,27 @@ def hash_sample(frame: DataFrame, columns: Sequence[str], most: int, seed: int =
     return marked.orderBy("__u", *map(quoted, columns)).limit(most).drop("__u")
 
 
+def row_sample(frame: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """At most ``most`` rows, the first by a hash of the row and its number among equal rows: the same rows on every run.
+
+    Equal rows are drawn one by one, so a frequent row has its share of the sample. The threshold is that of
+    ``hash_sample``; where it leaves too few rows it is dropped.
+    """
+    names = [quoted(c) for c in frame.columns]
+    counts = frame.groupBy(*names).agg(F.count("*").alias("__n"))
+    # Two steps, so that no array has an entry for every copy.
+    high = counts.select(*names, "__n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / COPIES))).alias("__high"))
+    low = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(COPIES).cast("bigint"), F.col("__n") - F.col("__high") * COPIES) - 1)
+    each = high.select(*names, "__high", F.explode(low).alias("__low"))
+    copy = F.col("__high") * COPIES + F.col("__low")
+    u = F.pmod(F.xxhash64(*names, copy, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    marked, n = each.select(*names, copy.alias("__copy"), u.alias("__u")), frame.count()
+    if n > 8 * most:
+        few = marked.filter(F.col("__u") < 4 * most / n)
+        marked = few if few.count() >= most else marked
+    return marked.orderBy("__u", *names, "__copy").limit(most).select(*names)
+
+
 def flag(name: str = "is_real") -> Column:
     return F.col(name).cast("bigint")
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tabassay.operators.caster import quoted
-from tabassay.operators.frames import hash_sample
+from tabassay.operators.frames import row_sample
 from tabassay.plans.storage import checkpointed
 
 BLOCK = 4096
@@ -77,5 +77,5 @@ def numbered(frame: DataFrame, columns: Sequence[str], offset: int = 0, most: in
     """Numeric columns with an ``id``; written down, since ids must not change between uses."""
     rows = frame.select(*[quoted(c) for c in columns])
     if most is not None:
-        rows = hash_sample(rows, columns, most, seed)
+        rows = row_sample(rows, most, seed)
     return checkpointed(rows.withColumn("id", F.monotonically_increasing_id() + F.lit(offset)))

@@ -17,7 +17,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from tabassay.operators.caster import CastTable, quoted
-from tabassay.operators.frames import hash_sample
+from tabassay.operators.frames import row_sample
 
 TREES, DEPTH, MIA_ROWS, FEW = 100, 10, 1000, 20
 TEST_SHARE, ATTACK_SHARE = 0.2, 0.3
@@ -37,7 +37,7 @@ def split(frame: DataFrame, share: float, seed: int) -> tuple[DataFrame, DataFra
 
 
 def subsample(frame: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    return hash_sample(frame, frame.columns, most, seed)
+    return row_sample(frame, most, seed)
 
 
 def balance(a: DataFrame, b: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:

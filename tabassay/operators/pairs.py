@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabassay.operators.caster import complete, quoted
-from tabassay.operators.frames import cumulative, flag, hash_sample, stacked
+from tabassay.operators.frames import cumulative, flag, row_sample, stacked
 
 LEAST_ROWS = 10
 MI_BINS = 10
@@ -104,9 +104,9 @@ def distance_correlation(x: np.ndarray, y: np.ndarray) -> float | None:
 
 
 def sampled(frame: DataFrame, columns: Sequence[str], most: int, seed: int = 42) -> np.ndarray:
-    """At most ``most`` rows in the order of a hash of their values: the same rows on every run."""
+    """At most ``most`` rows in the order of a hash of row and copy: the same rows on every run."""
     picks = [quoted(c).cast("double").alias(c) for c in columns]
-    rows = hash_sample(complete(frame.select(*picks)), columns, most, seed)
+    rows = row_sample(complete(frame.select(*picks)), most, seed)
     return rows.toPandas().to_numpy(np.float64).reshape(-1, len(columns))
 
 

@@ -169,3 +169,16 @@ def test_inference_and_filling(spark):
     assert caster.fill_missing(df, "mode").filter("b is null").count() == 0
     assert caster.compare_schemas(df, df.drop("b"))["missing"] == ["b"]
     assert isinstance(prepare(df, df, TableSchema.of({"a": "continuous"}))[0], CastTable)
+
+
+def test_samples_draw_rows_not_values(spark):
+    """A third of the rows are equal; few distinct rows fill a sample as well as many."""
+    from tabassay.operators.frames import row_sample
+
+    hot = spark.range(30_000).selectExpr("IF(id % 3 = 0, -1, id) AS x")
+    got = [r["x"] for r in row_sample(hot, 300).collect()]
+    assert len(got) == 300 and 60 <= got.count(-1) <= 140
+    assert got == [r["x"] for r in row_sample(hot.repartition(3), 300).collect()]
+    few = spark.range(25_000).selectExpr("CAST(id % 5 AS DOUBLE) AS x", "CAST(id % 5 AS DOUBLE) AS y")
+    assert len(pairs.sampled(few, ["x", "y"], 1000)) == 1000
+    assert row_sample(hot, 40_000).groupBy("x").count().filter("x = -1").first()["count"] == 10_000
