@@ -96,11 +96,29 @@ def high_entropy(word: Column) -> Column:
     return F.when(word.rlike(HEX_ONLY), hexadecimal).otherwise(best_entropy(word, ALPHABET) >= LEAST_OTHER)
 
 
-def scan_secrets(docs: DataFrame, *, text: str = "text", out: str = "secrets") -> DataFrame:
+def pieces(candidate: Column, base: Column) -> Column:
+    """What base spans leave of a candidate, in pieces of at least WINDOW characters; the whole of one that none touches.
+
+    Base spans of different kinds may overlap, so the cut goes on from the furthest end so far.
+    """
+    ends = F.struct(candidate["end"].alias("start"), candidate["end"].alias("end"))
+    touching = F.transform(F.filter(base, lambda b: (b["start"] < candidate["end"]) & (candidate["start"] < b["end"])), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
+    state = F.struct(candidate["start"].alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,hit:string>>").alias("found"))
+
+    def step(s: Column, b: Column) -> Column:
+        hit = F.substring(candidate["hit"], s["at"] - candidate["start"] + 1, F.greatest(b["start"] - s["at"], F.lit(0)))
+        one = F.struct(s["at"].alias("start"), candidate["rank"].alias("rank"), b["start"].alias("end"), candidate["kind"].alias("kind"), hit.alias("hit"))
+        return F.struct(F.greatest(s["at"], b["end"]).alias("at"), F.when(b["start"] - s["at"] >= WINDOW, F.concat(s["found"], F.array(one))).otherwise(s["found"]).alias("found"))
+
+    return F.aggregate(F.concat(F.sort_array(touching), F.array(ends)), state, step, lambda s: s["found"])
+
+
+def scan_secrets(docs: DataFrame, *, text: str = "text", out: str = "secrets", rest: bool = False) -> DataFrame:
     """``docs`` with ``out``: array<struct<start, rank, end, kind>>, by start and then kind; an existing column of that name is replaced.
 
     Base spans come from the fixed patterns, 'entropy' spans from the window; the latter never touch a
-    base span. Null and empty texts have none. Rows are scanned one by one without a shuffle, so repeated
+    base span. With ``rest``, what base spans leave of a candidate is measured too, piece by piece; without it (as in
+    ``SQL``) such a candidate is passed over. Null and empty texts have none. Rows are scanned one by one without a shuffle, so repeated
     rows, null keys and empty tables need no rule; offsets count code points, the end is exclusive.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -110,16 +128,17 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", out: str = "secrets") -
         spans(body, ACCESS, "access"),
         spans(body, HEX, "hex"),
     )
-    found = docs.withColumn("__base", base).withColumn("__candidates", F.filter(spans(body, CANDIDATE, "entropy"), lambda s: ~allowed(s["hit"])))
+    found = docs.withColumn("__base", base).withColumn("__candidates", spans(body, CANDIDATE, "entropy") if rest else F.filter(spans(body, CANDIDATE, "entropy"), lambda s: ~allowed(s["hit"])))
     clear = lambda c: ~F.exists(F.col("__base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    extra = F.filter(F.filter(F.col("__candidates"), clear), lambda c: high_entropy(c["hit"]))
+    parts = F.filter(F.flatten(F.transform(F.col("__candidates"), lambda c: pieces(c, F.col("__base")))), lambda c: ~allowed(c["hit"])) if rest else F.filter(F.col("__candidates"), clear)
+    extra = F.filter(parts, lambda c: high_entropy(c["hit"]))
     plain = F.transform(F.concat(F.col("__base"), extra), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     return found.withColumn(out, F.sort_array(plain)).drop("__base", "__candidates")
 
 
 def redact_secrets(docs: DataFrame, *, text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of ``scan_secrets`` replaced by ``mask``; overlapping spans become one. Texts without any stay as they are."""
-    found = scan_secrets(docs, text=text, out="__secrets")
+    """``docs`` with every span of ``scan_secrets``, rests of candidates included, replaced by ``mask``; overlapping spans become one. Texts without any stay as they are."""
+    found = scan_secrets(docs, text=text, out="__secrets", rest=True)
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(s: Column, x: Column) -> Column:
