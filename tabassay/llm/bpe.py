@@ -4,7 +4,8 @@ A text is split at boundaries that its vocabulary never joins across, and the id
 ids of its pieces, one after another. Only pieces that the memo lacks reach the library, in batches of
 about equal size. Where the vocabulary lower-cases and splits by the word pattern below, texts in
 Latin-1 are split into the very words that the library would make; all other texts are split at
-blanks, tabs and line breaks only, and the library does the rest.
+blanks, tabs and line breaks, and long pieces again where a letter or digit meets punctuation; the library
+does the rest.
 """
 
 from __future__ import annotations
@@ -12,11 +13,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import regex
 
-BATCH_CHARS = 1 << 16
+BATCH_BYTES = 1 << 16
+#: A piece longer than this is cut at every safe boundary that lies this far from the last.
+LONG_PIECE = 4096
 MEMO_PIECES = 400_000
 MEMO_CHARS = 64
 
@@ -52,6 +57,11 @@ def _load(path: str) -> tuple:
     return _loaded[path]
 
 
+#: Punctuation after a letter or digit begins a word of WORD_PATTERN whatever stands before or after, and no
+#: normal form joins it with what precedes it, unless that letter ends in a mark once it is normalised.
+_SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?=\p{P})")
+
+
 def blank_pieces(text: str) -> list[str]:
     """Split at blanks, tabs and line breaks only; other white space stays for the library to treat."""
     for c in "\n\t\r":
@@ -60,15 +70,28 @@ def blank_pieces(text: str) -> list[str]:
     return text.split(" ")
 
 
-def balanced(words: Iterable[str], chars: int = BATCH_CHARS) -> Iterable[list[str]]:
-    """Batches of about ``chars`` characters each, a longer word alone in its own."""
+def safe_pieces(piece: str, least: int = LONG_PIECE) -> list[str]:
+    """A long piece cut at safe boundaries; one with a special string, or without such a boundary, stays whole."""
+    if len(piece) <= least or "<|" in piece:
+        return [piece]
+    out, at = [], 0
+    for m in _SAFE.finditer(piece):
+        if m.start() - at >= least and unicodedata.category(unicodedata.normalize("NFC", piece[m.start() - 1]).lower()[-1])[0] in "LN":
+            out.append(piece[at : m.start()])
+            at = m.start()
+    return [*out, piece[at:]]
+
+
+def balanced(words: Iterable[str], most: int = BATCH_BYTES) -> Iterable[list[str]]:
+    """Batches of about ``most`` bytes each, a longer word alone in its own."""
     batch, held = [], 0
     for w in words:
-        if held and held + len(w) > chars:
+        n = len(w.encode("utf-8", "surrogatepass")) + 1
+        if held and held + n > most:
             yield batch
             batch, held = [], 0
         batch.append(w)
-        held += len(w) + 1
+        held += n
     if batch:
         yield batch
 
@@ -127,4 +150,7 @@ class Memo:
                 pass
             else:
                 return self._values(self.words, _WORDS.findall(text.lower()), self._encode_words)
-        return self._values(self.others, blank_pieces(text), self._encode_others)
+        pieces = blank_pieces(text)
+        if self.ready is not None and max(map(len, pieces)) > LONG_PIECE:
+            pieces = [part for p in pieces for part in safe_pieces(p)]
+        return self._values(self.others, pieces, self._encode_others)

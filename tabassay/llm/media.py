@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tabassay.llm import webp
-from tabassay.llm.common import small_batches
+from tabassay.llm.common import by_bytes
 
 #: Sixteen pixels of four samples make a row of 64 bytes; a longer payload goes to further images.
 WIDTH, UNIT = 16, 64
@@ -41,7 +41,7 @@ def feature(pixels: np.ndarray) -> str:
 
 
 def media_batches(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches, 1):
         rows = []
         for text in batch.column(1).to_pylist():
             payload, n = payload_of(text)
@@ -64,7 +64,6 @@ def media_columns(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k
     bytes; equal texts give equal values; repeated rows and null keys each give their row; empty tables
     give none. Texts over 1 MB take several images, one after another. Other columns are not read.
     """
-    small_batches(docs.sparkSession, 256)
     kind = docs.schema[key].dataType.simpleString()
     columns = f"key {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string" + ", media binary, pixels binary" * keep
     out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(lambda it: media_batches(it, keep), columns)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabassay.llm.common import small_batches
+from tabassay.llm.common import by_bytes
 from tabassay.operators.frames import hash_sample
 
 #: Labelled rows that the classifier is fitted on at most, taken in the order of a hash of their ids.
@@ -141,7 +141,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, test: Column
 
 def term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, label and the terms of a text that aren't 0: their numbers and weights."""
-    for batch in batches:
+    for batch in by_bytes(batches, 2):
         x = matrix(batch.column(2).to_pylist())
         terms = [np.flatnonzero(row).astype(np.uint16) for row in x]
         columns = [batch.column(0), batch.column(1), pa.array([t.tobytes() for t in terms], pa.binary()), pa.array([row[t].tobytes() for row, t in zip(x, terms, strict=True)], pa.binary())]
@@ -150,7 +150,6 @@ def term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model | Constant:
     """Fitted on the driver from a bounded sample, whose terms the executors extract. One class or none: a constant."""
-    small_batches(docs.sparkSession)
     drawn = labelled_sample(docs, labels, label, held_out(F.col(key)), key=key, text=text, sample=sample).select("key", "label", "text")
     kind = docs.schema[key].dataType.simpleString()
     rows = drawn.mapInArrow(term_batches, f"key {kind}, label int, terms binary, weights binary").collect()
@@ -164,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches, 1):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.scores(batch.column(1).to_pylist()), pa.float64())], names=["key", "score"])
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tabassay.llm.common import checkpointed, small_batches
+from tabassay.llm.common import by_bytes, checkpointed
 
 FOLDS, FOLD = 7, 2
 HIDDEN, WINDOW, GROUP, RUN_TOKENS = 12, 24, 1024, 1 << 22
@@ -225,7 +225,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sums.clear()
         return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
 
-    for batch in batches:
+    for batch in by_bytes(batches, 0):
         for text in texts_of(batch.column(0)):
             sums.update(words_of(text))
             sums[END] += 1
@@ -267,7 +267,7 @@ def train_batches(batches: Iterator[pa.RecordBatch], lexicon, weights) -> Iterat
         if flat:
             trainer.run(np.concatenate(flat), np.array(lengths))
 
-    for batch in batches:
+    for batch in by_bytes(batches, 0):
         for text in texts_of(batch.column(0)):
             own = words_of(text)
             flat.append(words.ids(own, words.places(own)))
@@ -295,7 +295,6 @@ def sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, lexicon) -> np.ndarray:
     """Weights after the rounds; at most 16 sums of weights reach the driver in each."""
     spark, weights = docs.sparkSession, first_weights()
-    small_batches(spark)
     schema = "part bigint, tokens bigint, weights binary"
     for share in ROUNDS:
         shared = spark.sparkContext.broadcast(weights)
@@ -323,7 +322,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], lexicon, weights, sums) ->
         columns[4] = pa.array(scores + np.array([r[4] for r in rows]), pa.float64())
         return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), *columns], names=["key", "row", "n_words", "n_known", "log_counts", "model", "n_joined", "words", "times"])
 
-    for batch in batches:
+    for batch in by_bytes(batches, 1):
         keys.append(batch.column(0))
         for text in texts_of(batch.column(1)):
             own = words_of(text)
@@ -370,7 +369,6 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     frequent, so no key is hot.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     held_out = F.coalesce(F.crc32(F.col("key").cast("string")) % FOLDS == FOLD, F.lit(False))
     whole = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -394,7 +392,6 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     band_sums = spark.sparkContext.broadcast(sums)
 
     scored = checkpointed(whole.mapInArrow(lambda it: score_batches(it, shared, weights, band_sums), f"key {kind}, {SCORED}"))
-    small_batches(spark, 10_000)
     each = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     joined = each.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     log_sum = F.element_at(F.array(*[F.lit(float(np.log10(s + 1))) for s in sums]), F.least(F.octet_length("word"), F.lit(BANDS)))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabassay.llm.common import small_batches
+from tabassay.llm.common import by_bytes
 from tabassay.llm.quality import held_out, labelled_sample
 
 #: Labelled rows that the lexicon and the curve are fitted on at most, in the order of a hash of their ids.
@@ -209,7 +209,7 @@ class Restorer:
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts of a partition's texts."""
     counts = np.zeros(SYMBOLS**3, np.int64)
-    for batch in batches:
+    for batch in by_bytes(batches, 0):
         for text in batch.column(0).to_pylist():
             if text:
                 data = text.encode()
@@ -221,7 +221,6 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def character_counts(docs: DataFrame, *, text: str = "text") -> np.ndarray:
     """Trigram counts over all documents: at most SYMBOLS**3 sums reach the driver."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count_batches, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(SYMBOLS**3, np.int64)
     for r in rows:
@@ -238,7 +237,7 @@ def word_batches(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.Recor
         sums.clear()
         return pa.RecordBatch.from_arrays([pa.array([w for (w, _), _ in rows], pa.string()), pa.array([y for (_, y), _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], names=["word", "label", "n"])
 
-    for batch in batches:
+    for batch in by_bytes(batches, 0):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sums.update((w, label) for w in restorer.seen(text))
         if len(sums) > 200_000:
@@ -248,7 +247,7 @@ def word_batches(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.Recor
 
 def hit_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(*model.value)
-    for batch in batches:
+    for batch in by_bytes(batches, 0):
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([scorer.evidence(t) for t in batch.column(0).to_pylist()], pa.float64())], names=["label", "evidence"])
 
 
@@ -315,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
 def score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(*model.value)
-    for batch in batches:
+    for batch in by_bytes(batches, 1):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["key", "score"])
 
 
@@ -335,7 +334,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
 
 def keep_batches(batches: Iterator[pa.RecordBatch], model, column: int, threshold: float) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(*model.value)
-    for batch in batches:
+    for batch in by_bytes(batches, column):
         yield batch.filter(pa.array([scorer.score(t) < threshold for t in batch.column(column).to_pylist()], pa.bool_()))
 
 
