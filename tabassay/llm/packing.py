@@ -1,7 +1,8 @@
 """Best-fit packing by minimum bin slack.
 
 Documents become token ids plus a separator and are cut only where one is longer than a sequence. Rows
-of a few numbers (no ids) are dealt to packing tasks; each task fills one sequence after another: a
+of a few numbers (and the ids, if wanted) are dealt to packing tasks, whose number follows from the bytes of all texts
+and from no setting of the session; each task fills one sequence after another: a
 subset-sum bitset over the lengths still available finds the fullest feasible combination, which is
 then removed. Tasks pack on their own, so the cost of splitting is one part-filled sequence per task.
 """
@@ -18,10 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tabassay.llm import bpe
-from tabassay.llm.common import small_batches
+from tabassay.llm.common import by_bytes
 
-#: Pieces that one packing run holds at most; a task with more does several runs.
-RUN_PIECES = 1 << 17
+#: Bytes of text to a packing task: some ten million tokens, five thousand sequences.
+TASK_BYTES = 1 << 25
+#: Pieces, and bytes of ids beside them, that one packing run holds at most; a task with more does several runs.
+RUN_PIECES, RUN_BYTES = 1 << 17, 1 << 28
 #: Pieces are dealt by a running number modulo this, so no key can gather them in one task.
 DEALS = 1 << 16
 
@@ -35,7 +38,7 @@ def cut_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, sep
         memo = _memos[path] = bpe.Memo(path, bpe.id_bytes)
     end = np.uint32(separator).tobytes()
     deal, step = 0, 4 * capacity
-    for batch in batches:
+    for batch in by_bytes(batches, 1):
         rows, piece, start, length, crc, dealt, ids = [], [], [], [], [], [], []
         for row, text in enumerate(batch.column(1).to_pylist()):
             data = b"".join(memo.of(text or "")) + end
@@ -124,19 +127,26 @@ def pack_run(table: pa.Table, capacity: int, base: int) -> tuple[pa.Table, int]:
 
 
 def pack_batches(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    base, held, rows = TaskContext.get().partitionId() << 40, [], 0
+    base, held, rows, size = TaskContext.get().partitionId() << 40, [], 0, 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows >= RUN_PIECES:
+        size += batch.nbytes
+        if rows >= RUN_PIECES or size >= RUN_BYTES:
             packed, base = pack_run(pa.Table.from_batches(held), capacity, base)
             yield from packed.to_batches(4096)
-            held, rows = [], 0
+            held, rows, size = [], 0, 0
     if rows:
         packed, base = pack_run(pa.Table.from_batches(held), capacity, base)
         yield from packed.to_batches(4096)
 
 
+def packing_tasks(docs: DataFrame, text: str = "text", each: int = TASK_BYTES) -> int:
+    """How many packing tasks a table takes: its texts' bytes in parts of ``each``, counted by one sum."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0]
+    return max(-(-(total or 0) // each), 1)
+
+
 def pack_documents(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", capacity: int = 2048, separator: int = 0, with_ids: bool = False) -> DataFrame:
     """``key, piece, start, length, ids_crc32, sequence_id, offset`` per piece; ``with_ids`` adds the ids (little-endian unsigned 32-bit).
 
@@ -144,9 +154,8 @@ def pack_documents(docs: DataFrame, path: str, *, key: str = "doc_id", text: str
     they come; ties between equal lengths go by start and checksum. An empty table gives no rows. Other columns of
     ``docs`` are not read. Sequences hold ``capacity`` tokens at most, offsets are gapless from 0.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     columns = f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, deal int" + ", ids binary" * with_ids
     cut = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(lambda it: cut_batches(it, path, capacity, separator, with_ids), columns)
-    packed = cut.repartition("deal").mapInArrow(lambda it: pack_batches(it, capacity), columns + ", sequence_id bigint, offset bigint")
+    packed = cut.repartition(packing_tasks(docs, text), "deal").mapInArrow(lambda it: pack_batches(it, capacity), columns + ", sequence_id bigint, offset bigint")
     return packed.select(F.col("key").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from helpers import docs, odd_texts, rows
 from public_tokenizers import path
 
-from tabassay.llm import bpe, media, packing, tokens, webp
+from tabassay.llm import bpe, common, media, packing, tokens, webp
 
 VOCABULARY = path("word_bpe_49k.json")
 
@@ -30,6 +31,30 @@ def test_token_counts_of_null_ids_repeats_and_nothing(spark):
     assert rows(tokens.count_tokens(docs(spark, []), VOCABULARY)) == []
 
 
+def test_long_texts_are_cut_where_words_end(monkeypatch):
+    """Long pieces without blanks, in scripts beyond Latin-1: the counts stay the library's."""
+    monkeypatch.setattr(bpe, "LONG_PIECE", 40)
+    rnd = random.Random(5)
+    memo = bpe.Memo(VOCABULARY, len)
+    for letters in ("日本語、。「」12", "αβγ,;'s'll_-İ\u0307", "क़ख़।,'tİ.é\u0301-", "<|endoftext|>é日,.", "가각힣\u1100\u1161!?"):
+        for _ in range(20):
+            text = "".join(rnd.choice(letters) for _ in range(600))
+            parts = bpe.safe_pieces(text, 40)
+            assert "".join(parts) == text
+            assert sum(memo.of(text)) == len(ids_of(text))
+    assert len(bpe.safe_pieces("日本語、" * 100, 40)) > 5
+
+
+def test_batches_are_balanced_by_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (10, 5000, 0, 3, 900, 900, 900, 20_000, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["key", "text"])
+    parts = list(common.by_bytes(iter([batch, batch.slice(0, 0)]), 1, 2000))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts and len(parts) > 4
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 2000 for p in parts)
+
+
 def test_memo_survives_being_full():
     memo = bpe.Memo(VOCABULARY, len, limit=5)
     for t in ("a b c d e f g h", "a zz b", "one two three four five six seven"):
@@ -56,7 +81,20 @@ def test_packing_is_a_round_trip(spark, clash):
             at += length
         assert at <= 2048
     total = sum(r["length"] for r in got)
-    assert len(by_sequence) <= -(-total // 2048) + 4
+    assert len(by_sequence) <= -(-total // 2048) + 1
+
+
+@pytest.mark.parametrize("partitions", [1, 200])
+def test_sequences_do_not_hang_on_session_settings(spark, partitions):
+    d = docs(spark, [f"word{k} " * (k * 37 % 900) for k in range(300)])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    got = rows(packing.pack_documents(d.repartition(partitions), VOCABULARY))
+    spark.conf.set("spark.sql.adaptive.enabled", before["spark.sql.adaptive.enabled"])
+    spark.conf.set("spark.sql.shuffle.partitions", before["spark.sql.shuffle.partitions"])
+    assert len({r["sequence_id"] for r in got}) <= -(-sum(r["length"] for r in got) // 2048) + 1
+    assert {k: spark.conf.get(k) for k in before} == before
 
 
 def test_packing_of_repeats_and_nothing(spark):
