@@ -1,8 +1,8 @@
 """SimHash near-dedup: tiled exact comparison of fingerprints.
 
 Equal fingerprints are merged first. Two that differ in at most 3 of 64 bits agree in at least one of
-four quarters (pigeonhole), so comparing within blocks of an equal quarter loses no pair. In a block the
-fingerprints stand in order of their population counts, cut into tiles; tiles are compared by numpy's
+four quarters (pigeonhole), so comparing within blocks of an equal quarter loses no pair. Fingerprints
+stand by block and population count, cut into tiles; tiles are compared by numpy's
 exclusive-or and bit counts, and pairs of tiles whose population counts differ beyond the radius are
 skipped. A block beyond a tile row's size is split into chunks, and every pair of chunks is dealt on
 its own. A task returns a spanning forest of the links it finds, never all pairs of a group.
@@ -10,6 +10,7 @@ its own. A task returns a spanning forest of the links it finds, never all pairs
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tabassay.llm.common import checkpointed, small_batches, small_side
+from tabassay.llm.common import by_bytes, checkpointed, small_side
 
 SEED = 42
 RADIUS = 3
@@ -25,7 +26,6 @@ SHINGLE = 3
 #: Fingerprints of a block that are compared in one place; larger blocks are split into pairs of chunks.
 CHUNK = 2048
 TILE = 256
-SMALL = 48
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -47,16 +47,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches, 1):
         prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["key", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], names=["key", "same", "fp"])
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, fp`` (bigint holding the 64 bits) per row."""
-    small_batches(docs.sparkSession)
+    """``key, same, fp`` per row: a hash that tells texts apart, and the 64 bits as a bigint."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(fingerprint_batches, f"key {kind}, fp bigint")
+    body = F.col(text).cast("string")
+    return docs.select(F.col(key).alias("key"), body.alias("text"), F.xxhash64(body).alias("same")).mapInArrow(fingerprint_batches, f"key {kind}, same bigint, fp bigint")
 
 
 def union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -72,22 +72,34 @@ def union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             parent[:] = parent[parent]
 
 
-def tile_links(prints: np.ndarray, chunk: np.ndarray, cross: bool, radius: int) -> np.ndarray:
-    """parent of each fingerprint of one block: tiles in order of population counts, far pairs of tiles skipped."""
-    counts = np.bitwise_count(prints)
-    order = np.argsort(counts, kind="stable")
-    prints, counts, chunk = prints[order], counts[order].astype(np.int64), chunk[order]
-    parent = np.arange(len(prints))
-    for a in range(0, len(prints), TILE):
-        left, top = prints[a : a + TILE], counts[min(a + TILE, len(prints)) - 1]
-        for b in range(a, len(prints), TILE):
-            if counts[b] - top > radius:
+def tile_links(block: np.ndarray, prints: np.ndarray, chunk: np.ndarray, cross: np.ndarray, radius: int, seen: Counter | None = None) -> np.ndarray:
+    """parent of each fingerprint within its block; blocks stand one after another.
+
+    Rows are ordered by population count inside their block and cut into tiles, so a tile holds many small blocks or a
+    part of a large one. A tile meets itself and those after it that still hold its last block; of these, the first
+    whose population counts lie beyond the radius ends the row of tiles. ``seen`` counts the pairs of tiles met and skipped.
+    """
+    counts = np.bitwise_count(prints).astype(np.int64)
+    place = np.cumsum(np.concatenate([[0], block[1:] != block[:-1]]))
+    order = np.lexsort((counts, place))
+    prints, counts, chunk = prints[order], counts[order], chunk[order]
+    parent, n = np.arange(len(prints)), len(prints)
+    ends = np.searchsorted(place, place, side="right")
+    for a in range(0, n, TILE):
+        last = min(a + TILE, n) - 1
+        for b in range(a, int(ends[last]), TILE):
+            if b > a and counts[b] - counts[last] > radius:
+                if seen is not None:
+                    seen["skipped"] += -(-(int(ends[last]) - b) // TILE)
                 break
-            near = np.bitwise_count(left[:, None] ^ prints[None, b : b + TILE]) <= radius
-            if cross:
-                near &= chunk[a : a + TILE, None] != chunk[None, b : b + TILE]
+            if seen is not None:
+                seen["met"] += 1
+            near = np.bitwise_count(prints[a : last + 1, None] ^ prints[None, b : b + TILE]) <= radius
+            near &= place[a : last + 1, None] == place[None, b : b + TILE]
             i, j = np.nonzero(near)
-            union(parent, i + a, j + b)
+            i, j = i + a, j + b
+            keep = (i < j) & (~cross[i] | (chunk[i] != chunk[j]))
+            union(parent, i[keep], j[keep])
     back = np.empty_like(parent)
     back[order] = order[parent]
     return back
@@ -95,21 +107,7 @@ def tile_links(prints: np.ndarray, chunk: np.ndarray, cross: bool, radius: int)
 
 def block_links(block: np.ndarray, prints: np.ndarray, chunk: np.ndarray, cross: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (fingerprint, another of its set) of whole blocks that follow one another."""
-    parent = np.arange(len(prints))
-    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    sizes = np.diff(np.append(first, len(block)))
-    for at, n in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        parent[at : at + n] = at + tile_links(prints[at : at + n], chunk[at : at + n], bool(cross[at]), radius)
-    rows = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
-    own, small = block[rows], prints[rows]
-    for step in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
-        pair = np.flatnonzero(own[step:] == own[:-step])
-        if not len(pair):
-            break
-        i, j = rows[pair], rows[pair + step]
-        near = np.bitwise_count(small[pair] ^ small[pair + step]) <= radius
-        near &= ~cross[i] | (chunk[i] != chunk[j])
-        union(parent, i[near], j[near])
+    parent = tile_links(block, prints, chunk, cross, radius)
     linked = np.flatnonzero(parent != np.arange(len(parent)))
     return prints[linked], prints[parent[linked]]
 
@@ -174,6 +172,15 @@ def components(edges: DataFrame) -> DataFrame:
         edges = checkpointed(small.union(least.select("a", F.col("m").alias("b"))).distinct())
 
 
+def grouped(docs: DataFrame, *, key: str, text: str, radius: int) -> DataFrame:
+    """``key, same, fp, root`` per row: a hash of its text, its fingerprint and the smallest fingerprint reachable."""
+    prints = checkpointed(fingerprints(docs, key=key, text=text))
+    distinct = checkpointed(prints.select("fp").distinct())
+    stars = components(links(distinct, radius))
+    roots = distinct.join(stars, distinct["fp"] == stars["a"], "left").select("fp", F.coalesce("b", "fp").alias("root"))
+    return prints.join(roots, "fp").select("key", "same", "fp", "root")
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """``key, fingerprint, component_id`` per row: 16 hex digits, and the smallest key reachable over links.
 
@@ -181,9 +188,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows keep their row each; null keys are passed over as smallest keys, and a component of only null
     keys has a null one. Empty tables give no rows; other columns of ``docs`` are not read.
     """
-    prints = checkpointed(fingerprints(docs, key=key, text=text))
+    prints = checkpointed(fingerprints(docs, key=key, text=text).select("key", "fp"))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("key").alias("least")))
-    small_batches(docs.sparkSession, 1 << 15)
     stars = components(links(distinct, radius))
     rooted = distinct.join(stars, distinct["fp"] == stars["a"], "left").select("fp", "least", F.coalesce("b", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -192,12 +198,23 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component, that with the smallest key. Rows without a key can't be told apart and stay."""
-    found = checkpointed(near_duplicates(docs, key=key, text=text, radius=radius).filter(F.col(key).isNotNull()))
-    losers = small_side(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("__key")).distinct())
-    repeated = small_side(found.groupBy(F.col(key).alias("__key")).count().filter("count > 1").select("__key"), none=True)
-    kept = docs.join(losers, docs[key] == losers["__key"], "left_anti")
+    """``docs`` with one row of each component: the smallest key's, null keys last, ties by a hash of the text.
+
+    Rows are told apart by key and text, so a key that stands on several texts loses only those that go, and a
+    row that comes several times stays once. All columns are kept.
+    """
+    found = checkpointed(grouped(docs, key=key, text=text, radius=radius))
+    row = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("same").alias("same"))
+    best = found.groupBy("root").agg(F.min(row).alias("best"))
+    marked = found.join(best, "root").withColumn("wins", F.col("key").eqNullSafe(F.col("best.key")) & (F.col("same") == F.col("best.same")))
+    each = checkpointed(marked.groupBy(F.col("key").alias("__key"), F.col("same").alias("__same"), "wins").count())
+    losers = small_side(each.filter(~F.col("wins")).select("__key", "__same"))
+    repeated = small_side(each.filter(F.col("wins") & (F.col("count") > 1)).select("__key", "__same"), none=True)
+    same = F.xxhash64(F.col(text).cast("string"))
+    on = lambda side, other: side[key].eqNullSafe(other["__key"]) & (same == other["__same"])
+    kept = docs.join(losers, on(docs, losers), "left_anti")
     if repeated is None:
         return kept
-    once = kept.join(repeated, kept[key] == repeated["__key"], "left_anti")
-    return once.unionByName(kept.join(repeated, kept[key] == repeated["__key"], "left_semi").dropDuplicates([key]))
+    once = kept.join(repeated, on(kept, repeated), "left_anti")
+    several = kept.join(repeated, on(kept, repeated), "left_semi").withColumn("__same_text", same)
+    return once.unionByName(several.dropDuplicates([key, "__same_text"]).drop("__same_text"))

@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -79,6 +79,39 @@ def test_blocks_of_any_size(spark, n, monkeypatch):
     assert {frozenset(v) for v in found.values()} == groups(prints)
 
 
+def brute_parent(block, prints, chunk, cross):
+    parent = np.arange(len(prints))
+    for i in range(len(prints)):
+        for j in range(i):
+            if block[i] == block[j] and (not cross[i] or chunk[i] != chunk[j]) and (int(prints[i]) ^ int(prints[j])).bit_count() <= 3:
+                parent[parent == parent[i]] = parent[j]
+    return parent
+
+
+def test_every_block_goes_through_tiles(monkeypatch):
+    """Small blocks share tiles, large ones take several, and far pairs of tiles are skipped; links equal brute force."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(simhash, "TILE", 16)
+    sizes = [1, 2, 5, 90, 1, 3, 40, 2, 200]
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    bits = rng.integers(0, 64, len(block))
+    prints = np.array([(1 << int(b)) - 1 for b in bits], np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, len(block)).astype(np.uint64))
+    chunk, cross = rng.integers(0, 2, len(block)), np.repeat(rng.integers(0, 2, len(sizes)), sizes).astype(bool)
+    seen = Counter()
+    got, want = simhash.tile_links(block, prints, chunk, cross, 3, seen), brute_parent(block, prints, chunk, cross)
+    sets = lambda parent: {frozenset(np.flatnonzero(parent == p).tolist()) for p in set(parent.tolist())}
+    assert sets(got) == sets(want) and seen["skipped"] > seen["met"] > 0
+
+
+def test_rows_are_told_apart_by_key_and_text(spark):
+    long = " ".join(f"t{k}" for k in range(40))
+    d = docs(spark, [long, long, long, "own words of a key", long, "x y z w", "x y z w"], [None, None, 4, 4, 8, None, None])
+    got = sorted(((r["doc_id"], r["text"]) for r in rows(simhash.keep_one(d))), key=str)
+    assert got == sorted([(4, long), (4, "own words of a key"), (None, "x y z w")], key=str)
+    again = docs(spark, ["p q r s", "p q r s", "u v w"], [1, 1, 1])
+    assert sorted(r["text"] for r in rows(simhash.keep_one(again))) == ["p q r s", "u v w"]
+
+
 def test_chains_become_one_component(spark):
     chain = [(k + 1, k) for k in range(60)] + [(200, 100)]
     got = {r["a"]: r["b"] for r in simhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
@@ -88,7 +121,7 @@ def test_chains_become_one_component(spark):
 def test_keep_one_of_each(spark):
     d = docs(spark, ["a b c d", "a b c d", "A  B c d", "other words stand here", None, "", "z"], [5, 3, 4, 9, None, 7, 9], clash=True)
     got = rows(simhash.keep_one(d))
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, 3), (False, 7), (False, 9), (True, 0)]
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(3, "a b c d"), (7, ""), (9, "other words stand here"), (9, "z")]
     assert simhash.keep_one(d).columns == d.columns
     assert rows(simhash.near_duplicates(docs(spark, []))) == []
     lone = rows(simhash.near_duplicates(docs(spark, ["a", "a"], [None, None])))
