@@ -4,7 +4,8 @@ A vector is approximated by a sum of one codeword from each of several full-dime
 Codebooks start from k-means on residuals and are refitted together by least squares; codes are found
 by beam search. The index holds codes and the norms of the approximations for every vector. A query's
 products with all codewords form a lookup table, sums of which score a block of vectors; the best of
-each block are reranked by exact cosines in double precision.
+each block are reranked by exact cosines in double precision. An id counts once, by its nearest row, before
+any cut, so repeated rows take no other's place.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabassay.llm.common import checkpointed, small_batches
+from tabassay.llm.common import checkpointed
 from tabassay.operators.frames import hash_sample
 
 #: Vectors that the codebooks are fitted on at most, in the order of a hash of their ids.
@@ -102,12 +103,13 @@ def index_batches(batches: Iterator[pa.RecordBatch], books) -> Iterator[pa.Recor
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, x = batch.column(0).to_numpy(), rows_of(batch.column(1))
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], np.ascontiguousarray(x[order])
-        codes = encode(unit(x).astype(np.float32), codebooks)
-        norms = np.linalg.norm(decode(codes, codebooks), axis=1).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (ids, x, codes, norms)], names=["ids", "vectors", "codes", "norms"])
+        whole = batch.column(0).to_numpy(), rows_of(batch.column(1))
+        order = np.argsort(whole[0], kind="stable")
+        for at in range(0, len(order), BLOCK):
+            ids, x = (c[order[at : at + BLOCK]] for c in whole)
+            codes = encode(unit(x).astype(np.float32), codebooks)
+            norms = np.linalg.norm(decode(codes, codebooks), axis=1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (ids, x, codes, norms)], names=["ids", "vectors", "codes", "norms"])
 
 
 def query_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +129,7 @@ def best_of(scores: np.ndarray, n: int) -> np.ndarray:
 
 
 def search_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest of one block for each query: lookup-table scores, then exact cosines of the best."""
+    """The k nearest ids of one block for each query: lookup-table scores, then exact cosines of the best; of an id's rows the nearest."""
     tables = np.einsum("qd,mkd->mqk", unit(q).astype(np.float32), books)
     scores = np.zeros((len(q), len(ids)), np.float32)
     for m in range(len(books)):
@@ -135,12 +137,15 @@ def search_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.nd
     scores /= np.maximum(norms, 1e-12)
     out_q, out_v, out_s = [], [], []
     for row, own in enumerate(query_ids):
-        near = best_of(scores[row], rerank + 1)
-        near = near[ids[near] != own]
-        if not len(near):
-            continue
-        exact = cosine(x[near], q[row][None])
-        order = np.lexsort((ids[near], -exact))[:k]
+        places, most = np.flatnonzero(ids != own), rerank
+        while True:
+            near = places[best_of(scores[row, places], most)]
+            exact = cosine(x[near], q[row][None])
+            order = np.lexsort((ids[near], -exact))
+            order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][:k]
+            if len(order) == k or most >= len(places):
+                break
+            most *= 4  # the best were rows of fewer than k ids
         out_q.append(np.full(len(order), own))
         out_v.append(ids[near][order])
         out_s.append(exact[order])
@@ -153,8 +158,8 @@ def search_batches(batches: Iterator[pa.RecordBatch], books, kind: str, k: int,
     codebooks = books.value
     m, _, d = codebooks.shape
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            ids, x, codes, norms, query_ids, q = (np.frombuffer(b, t) for b, t in zip(row, (np.int64, kind, np.uint8, np.float32, np.int64, kind), strict=True))
+        for at in range(batch.num_rows):
+            ids, x, codes, norms, query_ids, q = (np.frombuffer(c[at].as_buffer(), t) for c, t in zip(batch.columns, (np.int64, kind, np.uint8, np.float32, np.int64, kind), strict=True))
             found = search_block(query_ids, q.reshape(-1, d), ids, x.reshape(-1, d), codes.reshape(-1, m), norms, codebooks, k, rerank)
             yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["query_id", "vec_id", "score"])
 
@@ -172,8 +177,8 @@ def nearest(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding
 
     Every usable row is indexed; the codebooks are fitted on at most ``sample``. Rows that are null,
     zero or hold null or non-finite components take no part, nor do those without an id or of
-    another length than most. Ties go to the smaller id; repeated rows of an id count once. With fewer
-    candidates than ``k`` all are returned. Empty tables give no rows; other columns are not read.
+    another length than most. Ties go to the smaller id; an id with several rows counts once, by the nearest (as a
+    query, by any of its rows). With fewer candidates than ``k`` all are returned. Empty tables give no rows; other columns are not read.
     Query blocks meet vector blocks as packed rows; what each pair returns is k rows a query at most.
     """
     spark = vectors.sparkSession
@@ -183,10 +188,10 @@ def nearest(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding
     if drawn.empty:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     books = spark.sparkContext.broadcast(fit_books(unit(np.stack(drawn["vector"].to_numpy())).astype(np.float32)))
-    small_batches(spark, BLOCK)
+    rows = rows.distinct()
     index = checkpointed(rows.mapInArrow(lambda it: index_batches(it, books), "ids binary, vectors binary, codes binary, norms binary"))
     asked = checkpointed(rows.filter(F.col("key") % every == 0).mapInArrow(query_batches, "query_ids binary, query_vectors binary"))
-    small_batches(spark, 4)
     found = index.crossJoin(asked).mapInArrow(lambda it: search_batches(it, books, kind, k, rerank), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

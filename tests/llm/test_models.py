@@ -222,5 +222,19 @@ def test_unusable_vectors_take_no_part(spark):
     assert [(r["query_id"], r["vec_id"]) for r in repeated] == [(0, 5)]
 
 
+@pytest.mark.parametrize("scale", [False, True])
+def test_repeated_rows_take_no_place_of_others(spark, scale):
+    """A row near a query comes seven (or, scaled, three hundred) times; the query still gets its five nearest."""
+    x = np.random.default_rng(8).standard_normal((60, 12)).astype(np.float32)
+    x[7] = x[0] + 0.01
+    again = [x[7] * 2.0**k for k in range(-20, 20)] * 8 if scale else [x[7]] * 6
+    got = rows(ann.nearest(vectors(spark, [*x.tolist(), *[v.tolist() for v in again]], [*range(60), *[7] * len(again)]).coalesce(1)))
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    for q in (0, 50):
+        s = u @ u[q]
+        s[q] = -2
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == np.argsort(-s)[:5].tolist()
+
+
 def test_size_of_the_network():
     assert rnn.HIDDEN >= 12 and rnn.views(rnn.first_weights())["u"].shape == (rnn.HIDDEN, 3 * rnn.HIDDEN)
