@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -139,3 +141,21 @@ def test_redaction_of_keys_joined_to_base_spans(spark):
     out = [r["text"] for r in sorted(rows(secrets.redact_secrets(docs(spark, texts))), key=lambda r: r["doc_id"])]
     assert not any(key[k : k + 8] in t for t in out for k in range(len(key) - 8))
     assert out[3] == "x [secret] y" and out[4] == "x [secret]/words-of-a-plain-path-here y"
+
+
+def test_long_candidates_and_many_hits(spark):
+    """Cost follows the length: a candidate of 200,000 characters, and texts with thousands of hits of each kind."""
+    rnd = random.Random(4)
+    word = "".join(rnd.choice("abcdefgh-") for _ in range(100_000)) + "kJ8s7dHq2LmN9pQr4TvX" + "".join(rnd.choice("ab-") for _ in range(100_000)) + "1"
+    many = "\n".join(f"é{rnd.getrandbits(96):024x} token=abcdefg{k} x_{rnd.getrandbits(160):040X}" for k in range(3000))
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in rows(secrets.secret_digests(docs(spark, [word, many])))}
+    assert time.monotonic() - began < 60
+    assert got[0]["spans"].split(",")[-1] == f"entropy:0:{len(word)}" if got[0]["n_hex"] == 0 else got[0]["n_entropy"] == 0
+    base, every = expected(many)
+    assert got[1]["spans"] == ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in every) and got[1]["n_hex"] == 3000 and got[1]["n_assign"] == 3000
+    clean = rows(secrets.redact_secrets(docs(spark, [many])))[0]["text"]
+    want = many
+    for begin, _, end, _ in reversed(every):
+        want = want[:begin] + "[secret]" + want[end:]
+    assert clean == want
