@@ -1,4 +1,8 @@
-"""Media columns: texts stored as lossless WebP images, decoded again, and features of the pixels."""
+"""Media columns: texts stored as lossless WebP images, decoded again, and features of the pixels.
+
+What a file holds is chosen by its content: a palette, or predictors and cross-colour factors by tile, with
+back-references and a colour cache; reading it back inverts all of them.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +29,7 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 def store(payload: bytes) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 4)
-    return b"".join(webp.encode_stored(rows[at : at + ROWS]) for at in range(0, len(rows), ROWS))
+    return b"".join(webp.encode_by_content(rows[at : at + ROWS]) for at in range(0, len(rows), ROWS))
 
 
 def load(media: bytes) -> np.ndarray:

@@ -1,21 +1,22 @@
-"""Lossless WebP (VP8L) after its public specification: a full decoder, and an encoder for stored samples and for tests.
+"""Lossless WebP (VP8L) after its public specification: a decoder, and an encoder that chooses its tools by content.
 
 Images are uint8 arrays (height, width, 4) in the order red, green, blue, alpha. The decoder reads prefix
-codes, back-references, the colour cache and meta prefix codes, and inverts the predictor,
-cross-colour, subtract-green and colour-indexing (palette) transforms. Where every channel's codes have one length, symbols stand at
-fixed places and are read all at once; any other stream is read symbol by symbol.
+codes, back-references, the colour cache and meta prefix codes symbol by symbol through lookup tables, and inverts
+the predictor, cross-colour, subtract-green and colour-indexing (palette) transforms on whole rows of
+pixels. Only predictors that look at the pixel to the left have to go pixel by pixel.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Sequence
-from heapq import heapify, heappop, heappush
+from functools import cache, lru_cache
 
 import numpy as np
 
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 MOST = 1 << 14  # pixels of a side
+WINDOW = 1 << 15  # bytes of a stream that are laid out for reading at a time
 
 # Fixed values of the format.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -33,22 +34,36 @@ NEAR = (
 )
 
 
-def reverse_bits(value: int, n: int) -> int:
-    return int(format(value, f"0{n}b")[::-1], 2) if n else 0
+@cache
+def reversed_order(n: int) -> np.ndarray:
+    """The n-bit numbers with their bits turned round."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
 
 
-def canonical(lengths: Sequence[int]) -> dict[int, tuple[int, int]]:
-    """symbol -> (bits as they stand in the stream, length). A lone symbol takes no bits."""
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
-    if len(used) == 1:
-        return {used[0][1]: (0, 0)}
-    out, code, last = {}, 0, 0
-    for n, s in used:
-        code <<= n - last
-        last = n
-        out[s] = (reverse_bits(code, n), n)
-        code += 1
-    return out
+class Codes:
+    """A canonical prefix code by its lengths: bits as they stand in the stream, and how many. A lone symbol takes none."""
+
+    def __init__(self, lengths: Sequence[int]):
+        lengths = np.asarray(lengths, np.int64)
+        self.bits, self.n = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        self.used = used = np.flatnonzero(lengths)
+        self.longest = 0
+        if len(used) > 1:
+            n = lengths[used]
+            self.longest = longest = int(n.max())
+            order = np.argsort(n, kind="stable")
+            self.sorted, width = used[order], 1 << (longest - n[order])
+            ends = np.cumsum(width)
+            if ends[-1] != 1 << longest:
+                raise ValueError("prefix code is not complete")
+            self.width = width
+            self.bits[self.sorted], self.n[self.sorted] = reversed_order(longest)[ends - width], n[order]
+
+    def __getitem__(self, symbol: int) -> tuple[int, int]:
+        return int(self.bits[symbol]), int(self.n[symbol])
 
 
 def blocks(size: int, bits: int) -> int:
@@ -59,62 +74,103 @@ def blocks(size: int, bits: int) -> int:
 
 
 class Reader:
+    """Bits of a stream; ``word`` gives at least 57 of them from any place."""
+
     def __init__(self, data: bytes, at: int = 0):
-        self.data, self.at = data, at
+        self.data, self.at, self.first, self.words = bytes(data), at, 0, []
+
+    def layout(self, at: int) -> None:
+        """Lay out the 64 bits that start at each byte of a window."""
+        self.first = at >> 3
+        if self.first > len(self.data):
+            raise ValueError("the stream ends early")
+        part = self.data[self.first : self.first + WINDOW + 8]
+        padded = np.frombuffer(part + bytes(16), np.uint8)
+        self.words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: min(WINDOW, len(part) + 1)].copy().view("<u8")[:, 0].tolist()
+
+    def word(self, at: int) -> int:
+        k = (at >> 3) - self.first
+        if not 0 <= k < len(self.words):
+            self.layout(at)
+            k = 0
+        return self.words[k] >> (at & 7)
 
     def bits(self, n: int) -> int:
-        first = self.at >> 3
-        value = int.from_bytes(self.data[first : first + 5], "little") >> (self.at & 7)
+        value = self.word(self.at) & ((1 << n) - 1)
         self.at += n
-        return value & ((1 << n) - 1)
+        return value
 
     def symbol(self, code: PrefixCode) -> int:
-        first = self.at >> 3
-        value = int.from_bytes(self.data[first : first + 4], "little") >> (self.at & 7)
-        symbol, n = code.table[value & code.mask]
-        self.at += n
-        return symbol
+        e = code.table[self.word(self.at) & code.mask]
+        self.at += e >> 32
+        return e & 0xFFFFFFFF
 
 
 class PrefixCode:
-    """A lookup table over as many bits as the longest code has."""
+    """A lookup table over as many bits as the longest code has: the symbol, and its length above 32 bits."""
 
     def __init__(self, lengths: Sequence[int]):
-        codes = canonical(lengths)
-        longest = max((n for _, n in codes.values()), default=0)
-        self.mask, self.table = (1 << longest) - 1, [(0, 0)] * (1 << longest)
-        for s, (bits, n) in codes.items():
-            for k in range(bits, 1 << longest, 1 << n):
-                self.table[k] = (s, n)
-        sizes = {n for _, n in codes.values()}
-        self.fixed = longest if len(sizes) == 1 and len(codes) == 1 << longest else None
-        self.symbols = max(codes, default=0)
+        codes = Codes(lengths)
+        self.mask = (1 << codes.longest) - 1
+        if not codes.longest:
+            self.entries = codes.used[:1] if len(codes.used) else np.zeros(1, np.int64)
+        else:
+            entries = np.repeat(codes.sorted | codes.n[codes.sorted] << 32, codes.width)
+            self.entries = entries[reversed_order(codes.longest)]
+        self.table = self.entries.tolist()
+
+    def shifted(self, shift: int) -> list[int]:
+        """The table with every symbol moved to its place in a pixel; symbols beyond 255 are negative."""
+        symbol, length = self.entries & 0xFFFFFFFF, self.entries >> 32
+        return np.where(symbol < 256, symbol << shift | length << 32, -(symbol | length << 32)).tolist() if shift else self.table
+
+
+@lru_cache(4096)
+def simple_lengths(alphabet: int, *symbols: int) -> list[int]:
+    return [int(s in symbols) for s in range(alphabet)]
+
+
+@lru_cache(4096)
+def simple_code(alphabet: int, *symbols: int) -> PrefixCode:
+    return PrefixCode(simple_lengths(alphabet, *symbols))
+
+
+@lru_cache(4096)
+def simple_codes(alphabet: int, *symbols: int) -> Codes:
+    return Codes(simple_lengths(alphabet, *symbols))
 
 
 def read_code(r: Reader, alphabet: int) -> PrefixCode:
-    lengths = [0] * alphabet
     if r.bits(1):
         two, wide = r.bits(1), r.bits(1)
-        lengths[r.bits(8 if wide else 1)] = 1
-        if two:
-            lengths[r.bits(8)] = 1
-        return PrefixCode(lengths)
+        first = r.bits(8 if wide else 1)
+        symbols = {first, r.bits(8)} if two else {first}
+        if max(symbols) >= alphabet:
+            raise ValueError("symbol beyond its alphabet")
+        return simple_code(alphabet, *sorted(symbols))
+    lengths = [0] * alphabet
     own = [0] * 19
     for k in range(4 + r.bits(4)):
         own[LENGTH_ORDER[k]] = r.bits(3)
     code = PrefixCode(own)
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else alphabet
+    table, mask, word, place = code.table, code.mask, r.word, r.at
     at, last = 0, 8
     while at < alphabet and left:
         left -= 1
-        n = r.symbol(code)
+        w = word(place)
+        e = table[w & mask]
+        n, used = e & 31, e >> 32
         if n < 16:
             lengths[at] = n
-            at, last = at + 1, n or last
-        else:
-            times = 3 + r.bits(2) if n == 16 else 3 + r.bits(3) if n == 17 else 11 + r.bits(7)
-            lengths[at : at + times] = [last if n == 16 else 0] * times
-            at += times
+            at, last, place = at + 1, n or last, place + used
+            continue
+        w >>= used
+        times, wide = (3 + (w & 3), 2) if n == 16 else (3 + (w & 7), 3) if n == 17 else (11 + (w & 127), 7)
+        if n == 16:
+            lengths[at : at + times] = [last] * times
+        at, place = at + times, place + used + wide
+    r.at = place
     return PrefixCode(lengths[:alphabet])
 
 
@@ -125,95 +181,68 @@ def extra(r: Reader, prefix: int) -> int:
     return ((2 + (prefix & 1)) << n) + r.bits(n) + 1
 
 
-_REVERSED = np.array([reverse_bits(b, 8) for b in range(256)], np.uint8)
-
-
-#: Code sections read lately, with their codes: (bit offset in a byte, bits, first byte, bytes between, last byte) -> codes.
-_KNOWN: dict[tuple, list[PrefixCode]] = {}
-
-
-def section(data: bytes, at: int, n: int) -> tuple[int, bytes, int]:
-    """Bits [at, at + n) as the rest of the first byte, whole bytes and the start of the last."""
-    first, last = at >> 3, (at + n) >> 3
-    return data[first] >> (at & 7), data[first + 1 : last], data[last] & ((1 << ((at + n) & 7)) - 1) if (at + n) & 7 else 0
-
-
-def keep_codes(r: Reader, began: int, codes: list[PrefixCode]) -> None:
-    if len(_KNOWN) >= 8:
-        _KNOWN.clear()
-    n = r.at - began
-    _KNOWN[began & 7, n, *section(r.data, began, n)] = codes
-
-
-def known_codes(r: Reader) -> list[PrefixCode] | None:
-    """The codes of a section of fixed-length codes equal to one read before, which is passed over."""
-    for (shift, n, *bits), codes in _KNOWN.items():
-        if shift == r.at & 7 and (r.at + n) >> 3 < len(r.data) and tuple(bits) == section(r.data, r.at, n):
-            r.at += n
-            return codes
-    return None
-
-
 def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     """Entropy-coded pixels as uint32 ARGB, one after another."""
-    kept = known_codes(r) if main else None
-    if kept:
-        return read_fixed(r, kept, width * height)
-    began = r.at
     cache_bits = r.bits(4) if r.bits(1) else 0
     group_of, group_bits, n_groups = None, 0, 1
     if main and r.bits(1):
         group_bits = r.bits(3) + 2
-        group_of = (read_image(r, blocks(width, group_bits), blocks(height, group_bits), False) >> 8) & 0xFFFF
-        n_groups = int(group_of.max()) + 1
+        group_of = ((read_image(r, blocks(width, group_bits), blocks(height, group_bits), False) >> 8) & 0xFFFF).tolist()
+        n_groups = max(group_of) + 1
     groups = [[read_code(r, n + ((1 << cache_bits) if k == 0 and cache_bits else 0)) for k, n in enumerate(ALPHABETS)] for _ in range(n_groups)]
-    if n_groups == 1 and not cache_bits and all(c.fixed in (0, 8) for c in groups[0][:4]) and groups[0][0].symbols < 256:
-        if main:
-            keep_codes(r, began, groups[0])
-        return read_fixed(r, groups[0], width * height)
     return read_symbols(r, groups, group_of, group_bits, width, height, cache_bits)
 
 
-def read_fixed(r: Reader, codes: list[PrefixCode], n: int) -> np.ndarray:
-    """All pixels at once: channels of eight bits or of a lone symbol."""
-    stream = [k for k in range(4) if codes[k].fixed == 8]
-    out = np.zeros((n, 4), np.uint8)
-    if stream:
-        first, shift = r.at >> 3, r.at & 7
-        data = np.frombuffer(r.data, np.uint8, n * len(stream) + (shift > 0), first).astype(np.uint16)
-        body = ((data[:-1] >> shift) | (data[1:] << (8 - shift))).astype(np.uint8) if shift else data.astype(np.uint8)
-        r.at += 8 * n * len(stream)
-        body = body.reshape(n, len(stream))
-    for k in range(4):
-        if k in stream:
-            out[:, k] = np.array([s for s, _ in codes[k].table], np.uint8)[body[:, stream.index(k)]]
-        else:
-            out[:, k] = codes[k].table[0][0]
-    green, red, blue, alpha = (out[:, k].astype(np.uint32) for k in range(4))
-    return (alpha << 24) | (red << 16) | (green << 8) | blue
-
-
-def read_symbols(r: Reader, groups: list[list[PrefixCode]], group_of: np.ndarray | None, group_bits: int, width: int, height: int, cache_bits: int) -> np.ndarray:
-    n, pixels, cache, cached = width * height, [], [0] * (1 << cache_bits), 0
-    across = blocks(width, group_bits)
-    codes = groups[0]
-
-    def remember(upto: int) -> None:
-        nonlocal cached
-        for p in pixels[cached:upto]:
-            cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
-        cached = upto
-
+def read_symbols(r: Reader, groups: list[list[PrefixCode]], group_of: list[int] | None, group_bits: int, width: int, height: int, cache_bits: int) -> np.ndarray:
+    """Runs of literal pixels in a tight loop, as far as one group of codes reaches; other symbols one by one."""
+    n, pixels, slots, cached = width * height, [], [0] * (1 << cache_bits), 0
+    across, down = blocks(width, group_bits), 32 - cache_bits
+    laid = [(c[0].shifted(8), c[0].mask, c[1].shifted(16), c[1].mask, c[2].table, c[2].mask, c[3].shifted(24), c[3].mask, c[4]) for c in groups]
+    green_at, green_mask, red_at, red_mask, blue_at, blue_mask, alpha_at, alpha_mask, far = laid[0]
+    append, end, codes = pixels.append, n, groups[0]
+    wide = max(sum(c.mask.bit_length() for c in g[:4]) for g in groups) > 57
     while len(pixels) < n:
         if group_of is not None:
             y, x = divmod(len(pixels), width)
             codes = groups[group_of[(y >> group_bits) * across + (x >> group_bits)]]
-        s = r.symbol(codes[0])
-        if s < 256:
-            red, blue, alpha = r.symbol(codes[1]), r.symbol(codes[2]), r.symbol(codes[3])
-            pixels.append(alpha << 24 | red << 16 | s << 8 | blue)
-        elif s < 280:
-            length, d = extra(r, s - 256), extra(r, r.symbol(codes[4]))
+            green_at, green_mask, red_at, red_mask, blue_at, blue_mask, alpha_at, alpha_mask, far = laid[group_of[(y >> group_bits) * across + (x >> group_bits)]]
+            end = min(len(pixels) - x + min(((x >> group_bits) + 1) << group_bits, width), n)
+        r.word(r.at)
+        words, at = r.words, r.at - 8 * r.first
+        limit, green = 8 * len(words), 0
+        if wide:  # more bits than a word surely holds
+            green = green_at[r.word(r.at) & green_mask]
+            if green >= 0:
+                argb = 0
+                for k, shift in enumerate((8, 16, 0, 24)):
+                    argb |= r.symbol(codes[k]) << shift
+                append(argb)
+                continue
+        for _ in range(0 if wide else end - len(pixels)):
+            if at >= limit:
+                break
+            w = words[at >> 3] >> (at & 7)
+            green = green_at[w & green_mask]
+            if green < 0:
+                break
+            w >>= green >> 32
+            red = red_at[w & red_mask]
+            w >>= red >> 32
+            blue = blue_at[w & blue_mask]
+            w >>= blue >> 32
+            whole = green + red + blue + alpha_at[w & alpha_mask]
+            at += whole >> 32
+            append(whole & 0xFFFFFFFF)
+        r.at = at + 8 * r.first
+        if green >= 0:
+            if at >= limit:
+                r.layout(r.at)
+            continue
+        r.at += -green >> 32
+        s = -green & 0xFFFFFFFF
+        if s < 280:
+            length = extra(r, s - 256)
+            d = extra(r, r.symbol(far))
             if d > 120:
                 d -= 120
             else:
@@ -221,36 +250,48 @@ def read_symbols(r: Reader, groups: list[list[PrefixCode]], group_of: np.ndarray
                 d = max(dx + dy * width, 1)
             if d > len(pixels):
                 raise ValueError("back-reference before the first pixel")
-            for _ in range(min(length, n - len(pixels))):
-                pixels.append(pixels[-d])
+            length = min(length, n - len(pixels))
+            if d >= length:
+                pixels += pixels[len(pixels) - d : len(pixels) - d + length]
+            else:
+                pixels += (pixels[-d:] * (length // d + 1))[:length]
         else:
-            remember(len(pixels))
-            pixels.append(cache[s - 280])
+            for p in pixels[cached:]:
+                slots[(CACHE_FACTOR * p & 0xFFFFFFFF) >> down] = p
+            cached = len(pixels)
+            append(slots[s - 280])
     return np.array(pixels, np.uint32)
 
 
 def planes(argb: np.ndarray) -> np.ndarray:
-    """uint32 ARGB -> (n, 4) int32 of alpha, red, green, blue."""
-    return np.stack([(argb >> s) & 0xFF for s in (24, 16, 8, 0)], axis=-1).astype(np.int32)
+    """uint32 ARGB -> (n, 4) uint8 of alpha, red, green, blue."""
+    return argb.astype(">u4").view(np.uint8).reshape(-1, 4)
 
 
 def join(p: np.ndarray) -> np.ndarray:
-    p = p.astype(np.uint32) & 0xFF
-    return p[..., 0] << 24 | p[..., 1] << 16 | p[..., 2] << 8 | p[..., 3]
+    return np.ascontiguousarray(p, np.uint8).view(">u4")[..., 0].astype(np.uint32)
+
+
+BLACK = np.array([255, 0, 0, 0], np.uint8)
+
+
+def half(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mean of bytes, rounded down, without leaving them."""
+    return (a & b) + ((a ^ b) >> 1)
 
 
 def predict(mode: int, left: np.ndarray, top: np.ndarray, top_right: np.ndarray, top_left: np.ndarray) -> np.ndarray:
-    """The fourteen predictors of the format, channel by channel."""
-    half = lambda a, b: (a + b) >> 1
+    """The fourteen predictors of the format for uint8 pixels (..., 4)."""
     if mode == 11:
-        toward = left + top - top_left
-        return left if abs(toward - left).sum() < abs(toward - top).sum() else top
+        l, t, c = (v.astype(np.int16) for v in (left, top, top_left))
+        nearer = np.abs(t - c).sum(axis=-1, keepdims=True) < np.abs(l - c).sum(axis=-1, keepdims=True)
+        return np.where(nearer, left, top)
     if mode == 12:
-        return np.clip(left + top - top_left, 0, 255)
+        return np.clip(left.astype(np.int16) + top - top_left, 0, 255).astype(np.uint8)
     if mode == 13:
-        mean = half(left, top)
+        mean = half(left, top).astype(np.int16)
         apart = mean - top_left
-        return np.clip(mean + np.sign(apart) * (abs(apart) >> 1), 0, 255)
+        return np.clip(mean + np.sign(apart) * (np.abs(apart) >> 1), 0, 255).astype(np.uint8)
     simple = {
         1: lambda: left,
         2: lambda: top,
@@ -263,39 +304,74 @@ def predict(mode: int, left: np.ndarray, top: np.ndarray, top_right: np.ndarray,
         9: lambda: half(top, top_right),
         10: lambda: half(half(left, top_left), half(top, top_right)),
     }
-    return simple[mode]() if mode in simple else np.array([255, 0, 0, 0])
-
-
-def walk_predictions(p: np.ndarray, width: int, modes: np.ndarray, bits: int, decode: bool) -> np.ndarray:
-    """Residuals to pixels or back, in reading order; p: (n, 4)."""
-    out, across = p.copy(), blocks(width, bits)
-    known = out if decode else p
-    for i in range(len(p)):
-        y, x = divmod(i, width)
-        if i == 0:
-            guess = np.array([255, 0, 0, 0])
-        elif y == 0:
-            guess = known[i - 1]
-        elif x == 0:
-            guess = known[i - width]
-        else:
-            guess = predict(int(modes[(y >> bits) * across + (x >> bits)]), known[i - 1], known[i - width], known[i - width + 1], known[i - width - 1])
-        out[i] = (p[i] + guess if decode else p[i] - guess) & 0xFF
-    return out
+    return simple[mode]() if mode in simple else np.broadcast_to(BLACK, left.shape)
+
+
+#: Predictors that look at the pixel to the left and can't be summed along a row.
+STEPWISE = frozenset((5, 6, 7, 10, 11, 12, 13))
+
+
+def invert_prediction(p: np.ndarray, width: int, modes: np.ndarray, bits: int) -> np.ndarray:
+    """Residuals (n, 4) to pixels: whole tiles where sums do, else rows of a tile, pixel by pixel only for STEPWISE modes."""
+    rest = p.reshape(-1, width, 4)
+    out, height, across = np.empty_like(rest), len(rest), blocks(width, bits)
+    first = rest[0].copy()
+    first[0] += BLACK
+    out[0] = np.cumsum(first, axis=0, dtype=np.uint8)
+    edge = rest[:, 0].copy()
+    edge[0] = out[0, 0]
+    out[:, 0] = np.cumsum(edge, axis=0, dtype=np.uint8)
+    for tile in range(blocks(height, bits)):
+        y0, y1 = max(tile << bits, 1), min((tile + 1) << bits, height)
+        if y0 >= y1:
+            continue
+        row_modes = modes[tile * across : (tile + 1) * across].tolist()
+        if across == 1 and row_modes[0] in (0, 1, 2):
+            part = rest[y0:y1]
+            if row_modes[0] == 0:
+                out[y0:y1, 1:] = part[:, 1:] + BLACK
+            elif row_modes[0] == 1:
+                part = part.copy()
+                part[:, 0] = out[y0:y1, 0]
+                out[y0:y1] = np.cumsum(part, axis=1, dtype=np.uint8)
+            else:
+                part = part.copy()
+                part[0] += out[y0 - 1]
+                out[y0:y1, 1:] = np.cumsum(part, axis=0, dtype=np.uint8)[:, 1:]
+            continue
+        for y in range(y0, y1):
+            over, own = out[y - 1], out[y]
+            right = np.concatenate([over[1:], own[:1]])
+            for k, mode in enumerate(row_modes):
+                x0, x1 = max(k << bits, 1), min((k + 1) << bits, width)
+                if x0 >= x1:
+                    continue
+                part = rest[y, x0:x1]
+                if mode == 1:
+                    own[x0:x1] = np.cumsum(part, axis=0, dtype=np.uint8) + own[x0 - 1]
+                elif mode in STEPWISE:
+                    for x in range(x0, x1):
+                        own[x] = rest[y, x] + predict(mode, own[x - 1], over[x], right[x], over[x - 1])
+                else:
+                    own[x0:x1] = part + predict(mode, part, over[x0:x1], right[x0:x1], over[x0 - 1 : x1 - 1])
+    return out.reshape(-1, 4)
+
+
+def signed(v: np.ndarray) -> np.ndarray:
+    return v.astype(np.uint8).view(np.int8).astype(np.int16)
 
 
 def cross_colour(p: np.ndarray, width: int, factors: np.ndarray, bits: int, decode: bool) -> np.ndarray:
-    """factors: (blocks, 3) of green to red, green to blue, red to blue."""
-    at = np.arange(len(p))
-    signed = lambda v: ((v & 0xFF) ^ 0x80) - 0x80
-    f = signed(factors[((at // width) >> bits) * blocks(width, bits) + ((at % width) >> bits)])
-    delta = lambda t, c: (t * signed(c)) >> 5
-    red, green, blue = p[:, 1], p[:, 2], p[:, 3]
-    new_red = (red + (1 if decode else -1) * delta(f[:, 0], green)) & 0xFF
-    whole_red = new_red if decode else red
-    change = delta(f[:, 1], green) + delta(f[:, 2], whole_red)
-    out = p.copy()
-    out[:, 1], out[:, 3] = new_red, (blue + (change if decode else -change)) & 0xFF
+    """p: (n, 4) uint8; factors: (tiles, 3) of green to red, green to blue, red to blue."""
+    f = signed(factors)
+    if len(f) > 1:
+        at = np.arange(len(p))
+        f = f[((at // width) >> bits) * blocks(width, bits) + ((at % width) >> bits)]
+    sign = 1 if decode else -1
+    out, green = p.copy(), signed(p[:, 2])
+    out[:, 1] += (sign * ((f[:, 0] * green) >> 5)).astype(np.uint8)
+    red = signed(out[:, 1] if decode else p[:, 1])
+    out[:, 3] += (sign * (((f[:, 1] * green) >> 5) + ((f[:, 2] * red) >> 5))).astype(np.uint8)
     return out
 
 
@@ -316,32 +392,30 @@ def decode_stream(data: bytes) -> np.ndarray:
             done.append((kind, bits, across, read_image(r, blocks(across, bits), blocks(height, bits), False)))
         elif kind == PALETTE:
             n = r.bits(8) + 1
-            table = join(np.cumsum(planes(read_image(r, n, 1, False)), axis=0))
+            table = join(np.cumsum(planes(read_image(r, n, 1, False)), axis=0, dtype=np.uint8))
             bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             done.append((kind, bits, across, table))
             across = blocks(across, bits)
         else:
             done.append((kind, 0, across, None))
     argb = read_image(r, across, height, True)
+    p = None if done and done[-1][0] == PALETTE else planes(argb)
     for kind, bits, across, image in reversed(done):
         if kind == PALETTE:
-            index = (argb >> 8) & 0xFF
+            index = (argb >> 8) & 0xFF if p is None else p[:, 2].astype(np.uint32)
             if bits:
                 per, step = 1 << bits, 8 >> bits
                 index = ((index[:, None] >> (step * np.arange(per, dtype=np.uint32))) & ((1 << step) - 1)).reshape(height, -1)[:, :across].reshape(-1)
-            argb = np.concatenate([image, np.zeros(256, np.uint32)])[index]
-            continue
-        p = planes(argb)
-        if kind == PREDICTOR:
-            p = walk_predictions(p, across, (image >> 8) & 0xFF, bits, True)
+            p = planes(np.concatenate([image, np.zeros(256, np.uint32)])[index])
+        elif kind == PREDICTOR:
+            p = invert_prediction(p, across, (image >> 8) & 0xFF, bits)
         elif kind == CROSS_COLOUR:
-            q = planes(image)
-            p = cross_colour(p, across, q[:, [3, 2, 1]], bits, True)
+            p = cross_colour(p, across, planes(image)[:, [3, 2, 1]], bits, True)
         else:
-            p[:, 1], p[:, 3] = (p[:, 1] + p[:, 2]) & 0xFF, (p[:, 3] + p[:, 2]) & 0xFF
-        argb = join(p)
-    p = planes(argb).reshape(height, width, 4)
-    return p[:, :, [1, 2, 3, 0]].astype(np.uint8)
+            p = p.copy()
+            p[:, 1] += p[:, 2]
+            p[:, 3] += p[:, 2]
+    return np.ascontiguousarray(p[:, [1, 2, 3, 0]]).reshape(height, width, 4)
 
 
 def images(data: bytes) -> list[np.ndarray]:
@@ -360,75 +434,96 @@ def images(data: bytes) -> list[np.ndarray]:
 
 
 class Writer:
+    """Values of up to 32 bits, put together all at once in the end."""
+
     def __init__(self):
-        self.value, self.n = 0, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.values, self.sizes = [], []
 
     def bits(self, value: int, n: int) -> None:
-        self.value |= value << self.n
-        self.n += n
+        self.values.append(value)
+        self.sizes.append(n)
+
+    def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        if self.values:
+            self.parts.append((np.array(self.values, np.int64), np.array(self.sizes, np.int64)))
+            self.values, self.sizes = [], []
+        self.parts.append((values, sizes))
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes((self.n + 7) // 8, "little")
-
-
-def code_lengths(counts: Sequence[int], longest: int = 15) -> list[int]:
-    """Huffman code lengths, counts flattened until none is longer than ``longest``; at least one symbol is coded."""
-    counts = list(counts)
-    if not any(counts):
-        counts[0] = 1
-    while True:
-        heap = [(c, s, (s,)) for s, c in enumerate(counts) if c]
-        lengths = [0] * len(counts)
-        if len(heap) == 1:
-            lengths[heap[0][1]] = 1
-            return lengths
-        heapify(heap)
-        while len(heap) > 1:
-            (a, k, x), (b, _, y) = heappop(heap), heappop(heap)
-            for s in x + y:
-                lengths[s] += 1
-            heappush(heap, (a + b, k, x + y))
-        if max(lengths) <= longest:
-            return lengths
-        counts = [(c + 1) // 2 for c in counts]
-
-
-def write_code(w: Writer, lengths: Sequence[int]) -> dict[int, tuple[int, int]]:
+        self.many(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        values, sizes = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        ends = np.cumsum(sizes)
+        starts, total = ends - sizes, int(ends[-1]) if len(ends) else 0
+        moved = values.astype(np.uint64) << (starts & 31).astype(np.uint64)
+        place, n = starts >> 5, (total >> 5) + 2
+        low = np.bincount(place, (moved & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
+        high = np.bincount(place + 1, (moved >> np.uint64(32)).astype(np.float64), n + 1)[:n]
+        return (low + high).astype(np.uint64).astype("<u4").tobytes()[: (total + 7) // 8]
+
+
+def code_lengths(counts: Sequence[int], longest: int = 12) -> np.ndarray:
+    """Lengths of a complete prefix code: the logarithms of the shares rounded up, then shortened from the most frequent on."""
+    counts = np.asarray(counts, np.float64)
+    used = np.flatnonzero(counts)
+    lengths = np.zeros(len(counts), np.int64)
+    if len(used) <= 1:
+        lengths[used[0] if len(used) else 0] = 1
+        return lengths
+    own = counts[used]
+    own = np.maximum(own, own.sum() / (1 << (longest - 1)))
+    n = np.ceil(np.log2(own.sum() / own) - 1e-9).astype(np.int64)
+    n = np.clip(n, 1, longest)
+    order = np.argsort(-own, kind="stable")
+    n = n[order].tolist()
+    free = (1 << longest) - sum(1 << (longest - k) for k in n)
+    while free < 0:  # rounding of the logarithms alone could lead here
+        k = max((k for k in range(len(n)) if n[k] < longest), key=lambda k: n[k])
+        free += 1 << (longest - n[k] - 1)
+        n[k] += 1
+    while free:
+        for k, size in enumerate(n):
+            if size > 1 and 1 << (longest - size) <= free:
+                free -= 1 << (longest - size)
+                n[k] -= 1
+    lengths[used[order]] = n
+    return lengths
+
+
+def write_code(w: Writer, lengths: Sequence[int]) -> Codes:
     """The code in the stream, simple if it can be, else with repeats of equal lengths."""
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 2 and all(s < 256 for s in used) and all(lengths[s] == 1 for s in used):
-        w.bits(1, 1)
-        w.bits(len(used) - 1, 1)
-        w.bits(1, 1)
+    values = np.asarray(lengths, np.int64)
+    used = np.flatnonzero(values).tolist()
+    if len(used) <= 2 and used[-1] < 256:
+        w.bits(1 | (len(used) - 1) << 1 | 1 << 2, 3)
         for s in used:
             w.bits(s, 8)
-        return canonical(lengths)
+        return simple_codes(len(values), *used)
+    codes = Codes(values)
+    ends = np.append(np.flatnonzero(values[1:] != values[:-1]) + 1, len(values)).tolist()
     runs, at, last = [], 0, 8
-    while at < len(lengths):
-        n, end = lengths[at], at + 1
-        while end < len(lengths) and lengths[end] == n:
-            end += 1
+    for end in ends:
+        n = int(values[at])
         if n and n != last:
             runs.append((n, 0, 0))
             at, last = at + 1, n
-        most = 6 if n else 138
         while end - at >= 3:
-            times = min(end - at, most)
+            times = min(end - at, 6 if n else 138)
             runs.append((16, times - 3, 2) if n else (17, times - 3, 3) if times <= 10 else (18, times - 11, 7))
             at += times
-        runs += [(n, 0, 0)] * (end - at)
-        at = end
-    own = code_lengths([sum(r[0] == k for r in runs) for k in range(19)], 7)
-    codes = canonical(own)
+        if end > at:
+            runs += [(n, 0, 0)] * (end - at)
+            at = end
+    symbols, rest, sizes = np.array(runs, np.int64).T
+    own = code_lengths(np.bincount(symbols, minlength=19), 7)
+    of_lengths = Codes(own)
     w.bits(0, 1)
     w.bits(15, 4)
-    for k in LENGTH_ORDER:
-        w.bits(own[k], 3)
+    w.many(own[list(LENGTH_ORDER)], np.full(19, 3))
     w.bits(0, 1)
-    for symbol, rest, n in runs:
-        w.bits(*codes[symbol])
-        w.bits(rest, n)
-    return canonical(lengths)
+    n = of_lengths.n[symbols]
+    w.many(of_lengths.bits[symbols] | rest << n, n + sizes)
+    return codes
 
 
 def prefix_of(value: int) -> tuple[int, int, int]:
@@ -440,64 +535,86 @@ def prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * n + 2 + (v >> n & 1), v & ((1 << n) - 1), n
 
 
-def tokens_of(argb: list[int], width: int, cache_bits: int, references: bool) -> list[tuple]:
-    """Literals, cache hits and greedy back-references to the last place of the same three pixels."""
-    out, seen, cache, at = [], {}, [None] * (1 << cache_bits), 0
+@cache
+def near_codes(width: int) -> dict[int, int]:
+    """distance in pixels -> its short code, for an image so wide."""
+    return {max(dx + dy * width, 1): k for k, (dx, dy) in reversed(list(enumerate(NEAR, 1)))}
 
-    def remember(p: int) -> None:
-        if cache_bits:
-            cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
 
-    while at < len(argb):
-        key, n = tuple(argb[at : at + 3]), 0
-        before = seen.get(key) if references and len(key) == 3 else None
-        if before is not None:
-            while at + n < len(argb) and n < 4096 and argb[before + n] == argb[at + n]:
-                n += 1
-        if n >= 3:
-            near = {max(dx + dy * width, 1): k for k, (dx, dy) in reversed(list(enumerate(NEAR, 1)))}
-            out.append(("copy", n, near.get(at - before, at - before + 120)))
-        else:
-            n, p = 1, argb[at]
-            slot = (CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-            out.append(("cache", slot) if cache_bits and cache[slot] == p else ("pixel", p))
-        for k in range(at, at + n):
-            seen[tuple(argb[k : k + 3])] = k
-            remember(argb[k])
-        at += n
+def last_equal(keys: np.ndarray) -> np.ndarray:
+    """The place of the last equal key before each, or -1."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.full(len(keys), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def matches(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """Greedy back-references of at least three pixels to the last place of the same three: place, length, distance."""
+    if len(argb) < 4:
+        return []
+    wide = argb.astype(np.uint64)
+    before = last_equal((wide[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (wide[2:] * np.uint64(0x165667B19E3779F9)))
+    out, end, n = [], 0, len(argb)
+    for at in np.flatnonzero(before >= 0).tolist():
+        if at < end:
+            continue
+        source, length, step = int(before[at]), 0, 16
+        while length < 4096 and at + length < n:
+            most = min(step, 4096 - length, n - at - length)
+            apart = np.flatnonzero(argb[source + length : source + length + most] != argb[at + length : at + length + most])
+            if len(apart):
+                length += int(apart[0])
+                break
+            length, step = length + most, step * 4
+        if length >= 3:
+            out.append((at, length, at - source))
+            end = at + length
     return out
 
 
+def cache_slots(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's slot, and whether the cache holds the pixel there when its turn comes."""
+    slots = ((argb.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
+    before = last_equal(slots)
+    return slots, (before >= 0) & (argb[before] == argb)
+
+
 def write_image(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False) -> None:
     w.bits(int(cache_bits > 0), 1)
     if cache_bits:
         w.bits(cache_bits, 4)
     if main:
         w.bits(0, 1)
-    counts = [[0] * n for n in ALPHABETS]
-    counts[0] += [0] * ((1 << cache_bits) if cache_bits else 0)
-    tokens = tokens_of(argb.tolist(), width, cache_bits, references)
-    for kind, *v in tokens:
-        if kind == "pixel":
-            for k, shift in enumerate((8, 16, 0, 24)):
-                counts[k][v[0] >> shift & 0xFF] += 1
-        elif kind == "cache":
-            counts[0][280 + v[0]] += 1
-        else:
-            counts[0][256 + prefix_of(v[0])[0]] += 1
-            counts[4][prefix_of(v[1])[0]] += 1
+    n = len(argb)
+    p = planes(argb).astype(np.int64)
+    green, literal, starts = p[:, 2].copy(), np.ones(n, bool), np.ones(n, bool)
+    if cache_bits:
+        slots, hit = cache_slots(argb, cache_bits)
+        green[hit], literal[hit] = 280 + slots[hit], False
+    copies = matches(argb) if references else []
+    values, sizes = np.zeros((n, 4), np.int64), np.zeros((n, 4), np.int64)
+    far, near = [], near_codes(width)
+    for at, length, distance in copies:
+        starts[at + 1 : at + length] = False
+        literal[at : at + length] = False
+        prefix, rest, size = prefix_of(length)
+        green[at], values[at, 1], sizes[at, 1] = 256 + prefix, rest, size
+        prefix, rest, size = prefix_of(near.get(distance, distance + 120))
+        far.append((at, prefix))
+        values[at, 3], sizes[at, 3] = rest, size
+    counts = [np.bincount(green[starts], minlength=280 + ((1 << cache_bits) if cache_bits else 0))]
+    counts += [np.bincount(p[literal, k], minlength=256) for k in (1, 3, 0)]
+    counts.append(np.bincount([f for _, f in far], minlength=40) if far else np.zeros(40, np.int64))
     codes = [write_code(w, code_lengths(c)) for c in counts]
-    for kind, *v in tokens:
-        if kind == "pixel":
-            for k, shift in enumerate((8, 16, 0, 24)):
-                w.bits(*codes[k][v[0] >> shift & 0xFF])
-        elif kind == "cache":
-            w.bits(*codes[0][280 + v[0]])
-        else:
-            for k, value, base in ((0, v[0], 256), (4, v[1], 0)):
-                prefix, rest, n = prefix_of(value)
-                w.bits(*codes[k][base + prefix])
-                w.bits(rest, n)
+    values[:, 0], sizes[:, 0] = codes[0].bits[green], codes[0].n[green]
+    for column, (code, plane) in enumerate(zip(codes[1:4], (1, 3, 0), strict=True), 1):
+        if code.longest:
+            values[literal, column], sizes[literal, column] = code.bits[p[literal, plane]], code.n[p[literal, plane]]
+    for at, prefix in far:
+        values[at, 2], sizes[at, 2] = codes[4].bits[prefix], codes[4].n[prefix]
+    w.many(values[starts].reshape(-1), sizes[starts].reshape(-1))
 
 
 def riff(stream: bytes) -> bytes:
@@ -513,73 +630,110 @@ def header(w: Writer, width: int, height: int) -> None:
     w.bits(0, 3)
 
 
+def neighbours(p: np.ndarray, width: int) -> list[np.ndarray]:
+    """Left, top, top right and top left of every pixel in reading order; zeros before the first."""
+    return [np.concatenate([np.zeros((d, 4), np.uint8), p[: max(len(p) - d, 0)]])[: len(p)] for d in (1, width, width - 1, width + 1)]
+
+
+def residual(p: np.ndarray, width: int, mode: int, around: list[np.ndarray]) -> np.ndarray:
+    """What ``mode`` leaves of every pixel; the edges have predictors of their own."""
+    guess = np.array(predict(mode, *around))
+    guess[1:width] = p[: width - 1]
+    guess[::width][1:] = p[::width][:-1]
+    guess[0] = BLACK
+    return p - guess
+
+
+def tiles_of(n: int, width: int, bits: int) -> np.ndarray:
+    at = np.arange(n)
+    return ((at // width) >> bits) * blocks(width, bits) + ((at % width) >> bits)
+
+
+def apply_prediction(p: np.ndarray, width: int, modes: np.ndarray, bits: int) -> np.ndarray:
+    around, tiles = neighbours(p, width), tiles_of(len(p), width, bits)
+    out, own = np.empty_like(p), np.asarray(modes)[tiles]
+    for mode in np.unique(modes).tolist():
+        chosen = own == mode
+        out[chosen] = residual(p, width, mode, around)[chosen]
+    return out
+
+
+#: Bits that a residual is taken to cost when modes and factors are chosen.
+COST = np.log2(1 + np.minimum(np.arange(256), 256 - np.arange(256))).astype(np.float32)
+#: Predictors that rows or sums invert, and the factors (in 32nds) that are tried.
+MODES, FACTORS = (0, 1, 2, 3, 4, 8, 9), (0, 16, 32, -16)
+TILE_BITS, CACHE_BITS = 6, 6
+
+
+def least_modes(p: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """For each tile the predictor of least cost."""
+    around, tiles = neighbours(p, width), tiles_of(len(p), width, bits)
+    costs = [np.bincount(tiles, COST[residual(p, width, mode, around)].sum(axis=1)) for mode in MODES]
+    return np.array(MODES)[np.argmin(costs, axis=0)]
+
+
+def least_factors(p: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """For each tile the factors of least cost, one after another: green to red, green to blue, red to blue."""
+    tiles, green, red = tiles_of(len(p), width, bits), signed(p[:, 2]), signed(p[:, 1])
+
+    def best(plane: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        tried = [plane - ((f * by) >> 5).astype(np.uint8) for f in FACTORS]
+        which = np.argmin([np.bincount(tiles, COST[t]) for t in tried], axis=0)
+        return np.array(FACTORS)[which], np.choose(which[tiles], tried)
+
+    to_red, _ = best(p[:, 1], green)
+    to_blue, blue = best(p[:, 3], green)
+    return np.column_stack([to_red, to_blue, best(blue, red)[0]])
+
+
 def encode(image: np.ndarray, *, transforms: Sequence[int] = (), cache_bits: int = 0, references: bool = False, modes: np.ndarray | None = None, factors: np.ndarray | None = None, bits: int = 2) -> bytes:
     """A lossless WebP file with the transforms named, in order; modes and factors by block of 2**bits pixels."""
     height, width = image.shape[:2]
     w = Writer()
     header(w, width, height)
-    p = image.reshape(-1, 4)[:, [3, 0, 1, 2]].astype(np.int32)
+    p = np.ascontiguousarray(image.reshape(-1, 4)[:, [3, 0, 1, 2]])
     across = width
     for kind in transforms:
         w.bits(1, 1)
         w.bits(kind, 2)
         n = blocks(across, bits) * blocks(height, bits)
         if kind == PREDICTOR:
-            own = np.resize(np.arange(14) if modes is None else modes, n)
+            own = np.resize(np.arange(14), n) if modes is None else least_modes(p, across, bits) if isinstance(modes, str) else np.resize(modes, n)
             w.bits(bits - 2, 3)
             write_image(w, (own.astype(np.uint32) << 8) | np.uint32(0xFF000000), blocks(across, bits), False)
-            p = walk_predictions(p, across, own, bits, False)
+            p = apply_prediction(p, across, own, bits)
         elif kind == CROSS_COLOUR:
-            own = np.resize(np.array([[7, 250, 33]]) if factors is None else factors, (n, 3))
+            own = np.resize(np.array([[7, 250, 33]]), (n, 3)) if factors is None else least_factors(p, across, bits) if isinstance(factors, str) else np.resize(factors, (n, 3))
             w.bits(bits - 2, 3)
-            write_image(w, join(np.column_stack([np.full(n, 255), own[:, [2, 1, 0]]])), blocks(across, bits), False)
+            write_image(w, join(np.column_stack([np.full(n, 255), own[:, [2, 1, 0]]]) & 255), blocks(across, bits), False)
             p = cross_colour(p, across, own, bits, False)
         elif kind == SUBTRACT_GREEN:
-            p[:, 1], p[:, 3] = (p[:, 1] - p[:, 2]) & 0xFF, (p[:, 3] - p[:, 2]) & 0xFF
+            p = p.copy()
+            p[:, 1] -= p[:, 2]
+            p[:, 3] -= p[:, 2]
         else:
             table, index = np.unique(join(p), return_inverse=True)
             if len(table) > 256:
                 raise ValueError("a palette holds 256 colours")
             w.bits(len(table) - 1, 8)
-            write_image(w, join(np.diff(planes(table), axis=0, prepend=0)), len(table), False)
+            write_image(w, join(np.diff(planes(table), axis=0, prepend=np.zeros((1, 4), np.uint8))), len(table), False)
             pack = 3 if len(table) <= 2 else 2 if len(table) <= 4 else 1 if len(table) <= 16 else 0
             index = np.pad(index.reshape(height, across), ((0, 0), (0, blocks(across, pack) * (1 << pack) - across)))
             index = (index.reshape(height, -1, 1 << pack) << ((8 >> pack) * np.arange(1 << pack))).sum(axis=2).reshape(-1)
             across = blocks(across, pack)
-            p = np.column_stack([np.full(len(index), 255), np.zeros(len(index)), index, np.zeros(len(index))]).astype(np.int32)
+            p = np.zeros((len(index), 4), np.uint8)
+            p[:, 0], p[:, 2] = 255, index
     w.bits(0, 1)
-    write_image(w, join(p), across, True, cache_bits, references)
+    argb = join(p)
+    if cache_bits < 0:  # a cache that pays: one pixel in sixteen is found in it
+        cache_bits = -cache_bits if cache_slots(argb, -cache_bits)[1].sum() * 16 >= len(argb) else 0
+    write_image(w, argb, across, True, cache_bits, references)
     return riff(w.bytes())
 
 
-def _stored_codes() -> tuple[int, int]:
-    """The bits that follow the header of a stored image: no transform or cache, eight bits for every channel's symbols."""
-    w = Writer()
-    for _ in range(3):
-        w.bits(0, 1)
-    for n in ALPHABETS[:4]:
-        write_code(w, [8] * 256 + [0] * (n - 256))
-    write_code(w, [1] + [0] * 39)
-    return w.value, w.n
-
-
-_STORED = _stored_codes()
-
-
-def encode_stored(image: np.ndarray) -> bytes:
-    """A lossless WebP file whose channels all have eight-bit codes; made without a loop over pixels."""
-    height, width = image.shape[:2]
-    w = Writer()
-    header(w, width, height)
-    w.bits(*_STORED)
-    start, shift = w.n >> 3, w.n & 7
-    body = _REVERSED[image.reshape(-1, 4)[:, [1, 0, 2, 3]]].reshape(-1).astype(np.uint16)
-    out = np.zeros(len(body) + (shift > 0), np.uint16)
-    out[: len(body)] = body << shift
-    if shift:
-        out[1:] |= body >> (8 - shift)
-    head = w.value.to_bytes(start + 1, "little")
-    data = bytearray(head[:start] + out.astype(np.uint8).tobytes())
-    if shift:
-        data[start] |= head[start]
-    return riff(bytes(data))
+def encode_by_content(image: np.ndarray) -> bytes:
+    """A palette for images of few colours, else predictor and cross-colour by tile; back-references always, a colour cache where it pays."""
+    colours = len(np.unique(np.ascontiguousarray(image).view(np.uint32)))
+    if colours <= 256 and 2 * colours <= image.shape[0] * image.shape[1]:
+        return encode(image, transforms=(PALETTE,), cache_bits=-CACHE_BITS, references=True)
+    return encode(image, transforms=(PREDICTOR, CROSS_COLOUR), modes="least", factors="least", bits=TILE_BITS, cache_bits=-CACHE_BITS, references=True)

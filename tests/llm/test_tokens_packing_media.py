@@ -1,6 +1,8 @@
+import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -135,17 +137,90 @@ def test_webp_round_trips(transforms, cache_bits):
             assert len(back) == 1 and np.array_equal(back[0], image)
 
 
-def test_each_predictor_and_stored_images():
-    image = np.random.default_rng(4).integers(0, 256, (11, 10, 4), dtype=np.uint8)
-    for mode in range(14):
-        assert np.array_equal(webp.images(webp.encode(image, transforms=(0,), modes=np.array([mode])))[0], image)
-    assert np.array_equal(webp.images(webp.encode_stored(image))[0], image)
-    symbol_by_symbol = webp.Reader(webp.encode_stored(image)[20:], 40)
-    assert symbol_by_symbol.bits(3) == 0
+def plain_inverse(p, width, modes, bits):
+    """The predictor transform undone pixel by pixel in plain integers, from the text of the specification."""
+    across, out = -(-width // (1 << bits)), []
+    for i, rest in enumerate(p.tolist()):
+        y, x = divmod(i, width)
+        if i == 0:
+            guess = [255, 0, 0, 0]
+        elif y == 0:
+            guess = out[i - 1]
+        elif x == 0:
+            guess = out[i - width]
+        else:
+            left, top, right, corner = out[i - 1], out[i - width], out[i - width + 1], out[i - width - 1]
+            mean = lambda a, b: [(v + w) // 2 for v, w in zip(a, b, strict=True)]
+            clamp = lambda v: min(max(v, 0), 255)
+            mode = int(modes[(y >> bits) * across + (x >> bits)])
+            if mode == 11:
+                toward = [a + b - c for a, b, c in zip(left, top, corner, strict=True)]
+                guess = left if sum(abs(a - b) for a, b in zip(toward, left, strict=True)) < sum(abs(a - b) for a, b in zip(toward, top, strict=True)) else top
+            elif mode == 12:
+                guess = [clamp(a + b - c) for a, b, c in zip(left, top, corner, strict=True)]
+            elif mode == 13:
+                guess = [clamp(m + int((m - c) / 2)) for m, c in zip(mean(left, top), corner, strict=True)]
+            else:
+                guess = {
+                    0: [255, 0, 0, 0], 1: left, 2: top, 3: right, 4: corner, 5: mean(mean(left, right), top), 6: mean(left, corner),
+                    7: mean(left, top), 8: mean(corner, top), 9: mean(top, right), 10: mean(mean(left, corner), mean(top, right)),
+                }[mode]
+        out.append([(a + b) & 255 for a, b in zip(rest, guess, strict=True)])
+    return np.array(out, np.uint8)
+
+
+@pytest.mark.parametrize("width,bits", [(16, 2), (16, 4), (16, 6), (7, 2), (1, 3), (33, 3)])
+def test_predictors_equal_plain_integers(width, bits):
+    rng = np.random.default_rng(width + bits)
+    height = 41
+    p = rng.integers(0, 256, (width * height, 4), dtype=np.uint8)
+    tiles = -(-width // (1 << bits)) * -(-height // (1 << bits))
+    for modes in [np.full(tiles, m) for m in range(14)] + [rng.integers(0, 14, tiles)]:
+        want = plain_inverse(p, width, modes, bits)
+        assert np.array_equal(webp.invert_prediction(p, width, modes, bits), want), modes
+        assert np.array_equal(webp.apply_prediction(want, width, modes, bits), p)
+
+
+def test_streams_of_another_encoder():
+    """The lossless sample that browsers are commonly probed with: 1 x 1 pixel, written by the format's own tools."""
+    sample = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert [i.shape for i in webp.images(sample)] == [(1, 1, 4)]
     with pytest.raises(ValueError):
         webp.images(b"RIFF0000WEBPVP8 ")
 
 
+def test_files_use_the_tools_of_the_format(monkeypatch):
+    """What the query writes goes through palette, predictor, cross-colour, back-references and colour cache."""
+    used = Counter()
+    for name in ("invert_prediction", "cross_colour", "read_symbols"):
+        whole = getattr(webp, name)
+        monkeypatch.setattr(webp, name, lambda *a, whole=whole, name=name: (used.update([name]), whole(*a))[1])
+    line = "the quick brown fox jumps over the lazy dog and more of the same words go here. "
+    rnd = random.Random(6)
+    texts = [line * 90, " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(2000)) + line * 3, "ab" * 3000]
+    kinds = set()
+    for t in texts:
+        payload, _ = media.payload_of(t)
+        file = media.store(payload)
+        assert media.load(file).tobytes() == payload and len(file) < len(payload)
+        r = webp.Reader(file[20:], 40)
+        kinds.add((r.bits(1), r.bits(2)))
+    assert kinds == {(1, webp.PALETTE), (1, webp.PREDICTOR)} and min(used.values()) > 0 and len(used) == 3
+
+
+def test_long_codes_and_a_stream_that_ends_early():
+    counts = [1 << min(k, 40) for k in range(60)]
+    lengths = webp.code_lengths(counts, 15)
+    assert max(lengths) <= 15 and sum(2.0**-n for n in lengths) == 1
+    rng = np.random.default_rng(9)
+    skewed = np.minimum(rng.geometric(0.35, (300, 64, 4)) * 7, 255).astype(np.uint8)
+    skewed[::7, ::5] = rng.integers(0, 256, skewed[::7, ::5].shape)
+    file = webp.encode(skewed)
+    assert np.array_equal(webp.images(file)[0], skewed)
+    with pytest.raises(ValueError):
+        webp.decode_stream(file[20 : len(file) // 3])
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_media_columns(spark, clash):
     texts = [*odd_texts(), "x" * 1_100_000, "y" * 64, "y" * 65]
