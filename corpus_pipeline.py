@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
 return the columns of ``documents``: toxic documents go, one document of each near-duplicate group
 stays, secrets are masked in place, documents are repeated or left out to meet the sources' targets,
-and what results is packed into sequences.
+and what results is packed into sequences, token ids included. run() writes what each stage keeps to the
+checkpoint folder, so every stage runs once however often the next one reads its result.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabassay.llm import mixing, packing, secrets, simhash, toxicity
-from tabassay.llm.common import table
+from tabassay.llm.common import checkpointed, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [
@@ -52,6 +53,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
