@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import corpus_pipeline
@@ -32,9 +33,28 @@ def test_stages_against_their_parts(spark, sf_dir, tmp_path):
     packed = docs.collect()
     assert sum(r["length"] for r in packed) == want
     assert max(Counter({s: sum(r["length"] for r in packed if r["sequence_id"] == s) for s in {r["sequence_id"] for r in packed}}).values()) <= 2048
+    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in packed)
     assert corpus_pipeline.run(spark, sf_dir).columns == docs.columns
 
 
+def test_every_stage_runs_once(spark, sf_dir, monkeypatch):
+    """What a stage passes on is read from files: no plan reaches back beyond the stage before."""
+    seen = []
+
+    def watched(name, stage):
+        def run(session, docs, folder):
+            plan = docs._jdf.queryExecution().executedPlan().toString()
+            seen.append((name, "MapInArrow" in plan or "Join" in plan, "Scan ExistingRDD" in plan))
+            return stage(session, docs, folder)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*s) for s in corpus_pipeline.STAGES])
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert [s[0] for s in seen] == ["toxicity", "simhash_near_dedup", "secret_scans", "source_mix", "best_fit_packing"]
+    assert not any(s[1] for s in seen) and all(s[2] for s in seen[1:])
+
+
 def test_registration():
     import __spark_entry__ as entry
 
