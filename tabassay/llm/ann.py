@@ -188,7 +188,6 @@ def nearest(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding
     if drawn.empty:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     books = spark.sparkContext.broadcast(fit_books(unit(np.stack(drawn["vector"].to_numpy())).astype(np.float32)))
-    rows = rows.distinct()
     index = checkpointed(rows.mapInArrow(lambda it: index_batches(it, books), "ids binary, vectors binary, codes binary, norms binary"))
     asked = checkpointed(rows.filter(F.col("key") % every == 0).mapInArrow(query_batches, "query_ids binary, query_vectors binary"))
     found = index.crossJoin(asked).mapInArrow(lambda it: search_batches(it, books, kind, k, rerank), "query_id bigint, vec_id bigint, score double")
