@@ -1,10 +1,12 @@
 """LM scoring with a gated recurrent language model in numpy.
 
 Words are counted over all training documents. The most frequent (the head) are predicted one by one, all
-others through their band of equal length in bytes: the output softmax is factored into classes, of which head
+others through their band, words of about equal length and ending: the output softmax is factored into classes, of which head
 classes hold sixteen words with a softmax of their own and bands share out their probability by counts,
-each with one part for a word never seen. Weights are trained by backpropagation truncated to windows,
-with the state carried on through the document: every partition trains on its own documents from common
+each with one part for a word never seen. Every document becomes numbers once. Training documents are dealt by a
+hash to shards, whose number follows from the tokens counted and whose rows are sorted, so what is learned hangs neither on the
+partitioning nor on the order of rows. Weights are trained by backpropagation truncated to windows,
+with the state carried on through the document: every shard trains from common
 weights, and weights are averaged by tokens, in two rounds (an eighth of the documents, then all). A document's score is the
 log-probability of all its tokens with the state carried from window to window.
 """
@@ -13,18 +15,23 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabassay.llm.common import by_bytes, checkpointed
 
 FOLDS, FOLD = 7, 2
-HIDDEN, WINDOW, GROUP, RUN_TOKENS = 12, 24, 1024, 1 << 22
-CLASS, CLASSES, BANDS = 16, 16, 16
+HIDDEN, WINDOW, GROUP, RUN_TOKENS = 16, 24, 1024, 1 << 22
+#: Training tokens to a shard; its number of shards makes the model of a corpus, whatever cluster it is trained on.
+SHARD_TOKENS = 1 << 22
+CLASS, CLASSES = 16, 16
+#: Bands: lengths in bytes up to LENGTHS, by the last ENDINGS-th of the last byte's values.
+LENGTHS, ENDINGS = 16, 4
+BANDS = LENGTHS * ENDINGS
 HEAD = CLASS * CLASSES  # the end of a document is word 0
 START = HEAD + BANDS
 OUTPUTS = CLASSES + BANDS
@@ -39,6 +46,16 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def band_of(word: bytes) -> int:
+    return (min(len(word), LENGTHS) - 1) * ENDINGS + word[-1] % ENDINGS if word else 0
+
+
+def band_column(word: str) -> Column:
+    """The same of a column of words."""
+    last = F.conv(F.hex(F.substring(F.col(word).cast("binary"), -1, 1)), 16, 10).cast("int") % ENDINGS
+    return F.when(F.octet_length(word) > 0, (F.least(F.octet_length(word), F.lit(LENGTHS)) - 1) * ENDINGS + last).otherwise(F.lit(0))
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -87,40 +104,45 @@ def recur(p: dict, h: np.ndarray, inputs: np.ndarray, keep: bool) -> tuple[np.nd
     return out, kept
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    """Logits stay far below where exp overflows; the sum as a product is the quickest."""
-    x = np.minimum(x, 60)
-    return x - np.log(np.exp(x) @ np.ones((x.shape[1], 1), x.dtype))
+def softmax_parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the logits and their sums; logits stay far below where exp overflows. The sum as a product is the quickest."""
+    np.minimum(x, 60, out=x)
+    e = np.exp(x)
+    return e, e @ np.ones(x.shape[1], x.dtype)
 
 
 def output(p: dict, states: np.ndarray, target: np.ndarray, mask: tuple, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-probabilities of the targets (head words, or their bands), and the gradient at the states."""
     group = np.where(target < HEAD, target // CLASS, CLASSES + target - HEAD)
     rows = np.arange(len(target))
-    logits = log_softmax(states @ p["c"] + (p["cb"] + mask[0]))
-    got = logits[rows, group].astype(np.float64)
+    x = states @ p["c"]
+    x += p["cb"] + mask[0]
+    e, total = softmax_parts(x)
+    got = (x[rows, group] - np.log(total)).astype(np.float64)
     back = None
     if grad is not None:
-        dl = np.exp(logits)
-        dl[rows, group] -= 1
-        grad["c"] += states.T @ dl
-        grad["cb"] += dl.sum(axis=0)
-        back = dl @ p["c"].T
+        e *= (1 / total)[:, None]
+        e[rows, group] -= 1
+        grad["c"] += states.T @ e
+        grad["cb"] += np.ones(len(e), e.dtype) @ e
+        back = e @ p["c"].T
     order = np.argsort(group, kind="stable")
     ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
     for k in range(CLASSES):
         own = order[ends[k] : ends[k + 1]]
         if not len(own):
             continue
-        slot, s = target[own] % CLASS, states[own]
-        inner = log_softmax(s @ p["d"][k] + (p["db"][k] + mask[1][k]))
-        got[own] += inner[np.arange(len(own)), slot]
+        slot, s, each = target[own] % CLASS, states[own], np.arange(len(own))
+        x = s @ p["d"][k]
+        x += p["db"][k] + mask[1][k]
+        e, total = softmax_parts(x)
+        got[own] += x[each, slot] - np.log(total)
         if grad is not None:
-            dl = np.exp(inner)
-            dl[np.arange(len(own)), slot] -= 1
-            grad["d"][k] += s.T @ dl
-            grad["db"][k] += dl.sum(axis=0)
-            back[own] += dl @ p["d"][k].T
+            e *= (1 / total)[:, None]
+            e[each, slot] -= 1
+            grad["d"][k] += s.T @ e
+            grad["db"][k] += np.ones(len(e), e.dtype) @ e
+            back[own] += e @ p["d"][k].T
     return got, back
 
 
@@ -183,12 +205,12 @@ class Trainer:
         p, flat_grad = views(self.w), np.zeros_like(self.w)
         grad = views(flat_grad)
         states, kept = recur(p, h, inputs, True)
-        chosen = real.T.reshape(-1)
+        chosen = np.flatnonzero(real.T)
         _, back = output(p, states.reshape(-1, HIDDEN)[chosen], target.T.reshape(-1)[chosen], self.mask, grad)
         dstates = np.zeros((states.shape[0] * states.shape[1], HIDDEN), states.dtype)
         dstates[chosen] = back
         back_through(p, kept, inputs, dstates.reshape(states.shape), grad)
-        n = int(chosen.sum())
+        n = len(chosen)
         self.tokens += n
         self.t += 1
         flat_grad /= n
@@ -240,107 +262,129 @@ class Lexicon:
     def __init__(self, words: list[bytes], counts: list[int]):
         self.place = {w: k for k, w in enumerate(words)}
         self.log_count = np.log10(np.array([*counts, 0], np.float64) + 1)
-        lengths = np.array([*map(len, words), 0])
-        self.band = np.clip(lengths, 1, BANDS) - 1
-        self.seen_as = np.where(np.arange(len(lengths)) < HEAD, np.arange(len(lengths)), HEAD + self.band).astype(np.int16)
+        self.band = np.array([*map(band_of, words), 0])
+        self.seen_as = np.where(np.arange(len(words) + 1) < HEAD, np.arange(len(words) + 1), HEAD + self.band).astype(np.int16)
         self.n_head = min(len(words), HEAD)
 
     def places(self, words: list[bytes]) -> np.ndarray:
-        return np.array(list(map(self.place.get, words, repeat(-1))), np.int64)
-
-    def ids(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
-        """What the network sees of the words of a document, its end last."""
-        out = np.zeros(len(words) + 1, np.int16)
-        out[:-1] = self.seen_as[places]
-        far = np.flatnonzero(places < 0)
-        if len(far):
-            out[far] = HEAD + np.clip(np.fromiter((len(words[k]) for k in far.tolist()), np.int64, len(far)), 1, BANDS) - 1
-        return out
-
-
-def train_batches(batches: Iterator[pa.RecordBatch], lexicon, weights) -> Iterator[pa.RecordBatch]:
-    """One row: the weights after this partition, times its tokens."""
-    words, trainer = lexicon.value, Trainer(weights.value, lexicon.value.n_head)
-    flat, lengths, held = [], [], 0
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+
+
+def encode_batches(batches: Iterator[pa.RecordBatch], lexicon, sums) -> Iterator[pa.RecordBatch]:
+    """Per document: what the network sees of its words and end, all that frequent words give, and the words whose counts must be joined."""
+    words, band_log, row = lexicon.value, np.log10(np.asarray(sums.value) + 1), TaskContext.get().partitionId() << 36
+    places_beyond = np.arange(len(words.log_count)) >= HEAD
+    tail = np.where(places_beyond, words.log_count - band_log[words.band], 0.0)
+    for batch in by_bytes(batches, 2):
+        own = [words_of(t) for t in texts_of(batch.column(2))]
+        n = np.fromiter(map(len, own), np.int64, len(own))
+        every = list(chain.from_iterable(own))
+        places = words.places(every)
+        starts = np.cumsum(n + 1) - (n + 1)
+        at = np.arange(len(every)) + np.repeat(np.arange(len(own)), n)
+        ids, known, logs, model = np.zeros(len(every) + len(own), np.int16), *np.zeros((3, len(every) + len(own)))
+        ids[at], known[at] = words.seen_as[places], places >= 0
+        logs[at], model[at] = np.where(places >= 0, words.log_count[places], 0.0), np.where(places >= 0, tail[places], 0.0)
+        unknown = np.flatnonzero(places < 0)
+        far: list[Counter[bytes]] = [Counter() for _ in own]
+        ids[at[unknown]] = [HEAD + band_of(every[k]) for k in unknown.tolist()]
+        for k, doc in zip(unknown.tolist(), np.searchsorted(np.cumsum(n), unknown, side="right").tolist(), strict=True):
+            far[doc][every[k]] += 1
+        data, ends = ids.tobytes(), (starts + n + 1).tolist()
+        columns = [
+            pa.array(range(row, row + len(own)), pa.int64()),
+            pa.array(n),
+            *[pa.array(np.add.reduceat(v, starts).astype(kind)) for v, kind in ((known, np.int64), (logs, np.float64), (model, np.float64))],
+            pa.array([[w.decode() for w in f] for f in far], pa.list_(pa.string())),
+            pa.array([list(f.values()) for f in far], pa.list_(pa.int32())),
+            pa.array([data[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends, strict=True)], pa.binary()),
+        ]
+        row += len(own)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["key", "learns", *ENCODED])
+
+
+ENCODED = ("row", "n_words", "n_known", "log_counts", "model", "words", "times", "ids")
+ENCODED_KINDS = "learns boolean, row bigint, n_words bigint, n_known bigint, log_counts double, model double, words array<string>, times array<int>, ids binary"
+
+#: Weights are added as whole numbers of 1 / WEIGHT, so the order of shards leaves no trace in their sum.
+WEIGHT = 1 << 24
+
+
+def train_batches(batches: Iterator[pa.RecordBatch], weights, n_head: int) -> Iterator[pa.RecordBatch]:
+    """Per shard, whose documents stand together: the weights after it, times its tokens. A large shard trains in runs of RUN_TOKENS."""
+    trainer, shard, held, tokens = None, -1, [], 0
 
     def run() -> None:
-        if flat:
-            trainer.run(np.concatenate(flat), np.array(lengths))
+        if held:
+            trainer.run(np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held)))
 
-    for batch in by_bytes(batches, 0):
-        for text in texts_of(batch.column(0)):
-            own = words_of(text)
-            flat.append(words.ids(own, words.places(own)))
-            lengths.append(len(own) + 1)
-            held += lengths[-1]
-        if held >= RUN_TOKENS:
-            run()
-            flat, lengths, held = [], [], 0
+    def done() -> pa.RecordBatch:
+        total = np.round(trainer.w.astype(np.float64) * WEIGHT).astype(np.int64) * trainer.tokens
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "tokens", "weights"])
+
+    for batch in batches:
+        for k, own in enumerate(batch.column(0).to_pylist()):
+            if own != shard:
+                run()
+                if trainer is not None:
+                    yield done()
+                trainer, shard, held, tokens = Trainer(weights.value, n_head), own, [], 0
+            held.append(np.frombuffer(batch.column(1)[k].as_buffer(), np.int16))
+            tokens += len(held[-1])
+            if tokens >= RUN_TOKENS:
+                run()
+                held, tokens = [], 0
     run()
-    if trainer.tokens:
-        total = trainer.w.astype(np.float64) * trainer.tokens
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "tokens", "weights"])
+    if trainer is not None:
+        yield done()
 
 
 def sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, total = 0, np.zeros(SIZE)
+    tokens, total = 0, np.zeros(SIZE, np.int64)
     for batch in batches:
         tokens += sum(batch.column(1).to_pylist())
         for w in batch.column(2).to_pylist():
-            total += np.frombuffer(w)
+            total += np.frombuffer(w, np.int64)
     if tokens:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "tokens", "weights"])
 
 
-def train(docs: DataFrame, lexicon) -> np.ndarray:
-    """Weights after the rounds; at most 16 sums of weights reach the driver in each."""
-    spark, weights = docs.sparkSession, first_weights()
+def train(encoded: DataFrame, shards: int, n_head: int) -> np.ndarray:
+    """Weights after the rounds, from ``key, learns, ids``; at most 16 sums of weights reach the driver in each."""
+    spark, weights = encoded.sparkSession, first_weights()
     schema = "part bigint, tokens bigint, weights binary"
+    learning = encoded.filter("learns").select(F.pmod(F.xxhash64("key", "ids"), F.lit(shards)).cast("int").alias("shard"), "ids", F.xxhash64("ids").alias("hash"))
     for share in ROUNDS:
         shared = spark.sparkContext.broadcast(weights)
-        part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
-        rows = part.mapInArrow(lambda it, w=shared: train_batches(it, lexicon, w), schema).repartition(16, F.col("part")).mapInArrow(sum_batches, schema).collect()
+        dealt = learning.filter(F.pmod("hash", F.lit(share)) == 0).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.desc(F.octet_length("ids")), "hash", "ids")
+        rows = dealt.select("shard", "ids").mapInArrow(lambda it, w=shared: train_batches(it, w, n_head), schema).repartition(16, F.col("part")).mapInArrow(sum_batches, schema).collect()
         tokens = sum(r["tokens"] for r in rows)
         if tokens:
-            weights = (sum(np.frombuffer(r["weights"]) for r in rows) / tokens).astype(np.float32)
+            weights = (sum(np.frombuffer(r["weights"], np.int64).astype(object) for r in rows) / tokens / WEIGHT).astype(np.float32)
     return weights
 
 
-SCORED = "row bigint, n_words bigint, n_known bigint, log_counts double, model double, n_joined bigint, words array<string>, times array<int>"
-
-
-def score_batches(batches: Iterator[pa.RecordBatch], lexicon, weights, sums) -> Iterator[pa.RecordBatch]:
-    """Per document all that frequent words and the network give, and the words whose counts must be joined."""
-    words, band_log = lexicon.value, np.log10(np.asarray(sums.value) + 1)
-    beyond_head = np.arange(len(words.log_count)) >= HEAD
-    row = TaskContext.get().partitionId() << 36
-    keys, flat, lengths, rows, held = [], [], [], [], 0
-
-    def run() -> pa.RecordBatch:
-        scores = document_scores(weights.value, words.n_head, np.concatenate(flat), np.array(lengths)) / np.log(10)
-        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())))]
-        columns[4] = pa.array(scores + np.array([r[4] for r in rows]), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), *columns], names=["key", "row", "n_words", "n_known", "log_counts", "model", "n_joined", "words", "times"])
-
-    for batch in by_bytes(batches, 1):
-        keys.append(batch.column(0))
-        for text in texts_of(batch.column(1)):
-            own = words_of(text)
-            places = words.places(own)
-            known = places[places >= 0]
-            inside = known[beyond_head[known]]
-            far = Counter(own[k] for k in np.flatnonzero(places < 0).tolist())
-            model = float(words.log_count[inside].sum() - band_log[words.band[inside]].sum())
-            rows.append((row, len(own), len(known), float(words.log_count[known].sum()), model, sum(far.values()), [w.decode() for w in far], list(far.values())))
-            row += 1
-            flat.append(words.ids(own, places))
-            lengths.append(len(own) + 1)
-            held += lengths[-1]
-        if held >= RUN_TOKENS:
-            yield from pa.Table.from_batches([run()]).to_batches(512)
-            keys, flat, lengths, rows, held = [], [], [], [], 0
-    if rows:
-        yield from pa.Table.from_batches([run()]).to_batches(512)
+def score_batches(batches: Iterator[pa.RecordBatch], weights, n_head: int) -> Iterator[pa.RecordBatch]:
+    """The same rows with the network's log-probability added to ``model``, in place of ids."""
+    held, tokens = [], 0
+
+    def run() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        column = table["ids"]
+        rows = [np.frombuffer(v.as_buffer(), np.int16) for v in column]
+        scores = document_scores(weights.value, n_head, np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))) / np.log(10)
+        at = table.column_names.index("model")
+        yield from table.set_column(at, "model", pa.array(table["model"].to_numpy() + scores)).drop_columns(["ids"]).to_batches(10_000)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            tokens += batch.column("ids").nbytes // 2
+        if tokens >= RUN_TOKENS:
+            yield from run()
+            held, tokens = [], 0
+    if held:
+        yield from run()
 
 
 def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -383,24 +427,24 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     if not total:
         lexicon = Lexicon([END], [0])
     head = [w.decode() for w in list(lexicon.place)[:HEAD]]
-    band = F.least(F.octet_length("word"), F.lit(BANDS)) - 1
     sums = [0.0] * BANDS
-    for r in counts.filter(~F.col("word").isin(head)).groupBy(band.alias("band")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
+    for r in counts.filter(~F.col("word").isin(head)).groupBy(band_column("word").alias("band")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
         sums[r["band"]] = float(r["n"])
-    shared = spark.sparkContext.broadcast(lexicon)
-    weights = spark.sparkContext.broadcast(train(learning, shared))
-    band_sums = spark.sparkContext.broadcast(sums)
+    shared, band_sums, n_head = spark.sparkContext.broadcast(lexicon), spark.sparkContext.broadcast(sums), lexicon.n_head
 
-    scored = checkpointed(whole.mapInArrow(lambda it: score_batches(it, shared, weights, band_sums), f"key {kind}, {SCORED}"))
-    each = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    learns = whole.select("key", (~held_out).alias("learns"), "text")
+    encoded = checkpointed(learns.mapInArrow(lambda it: encode_batches(it, shared, band_sums), f"key {kind}, {ENCODED_KINDS}"))
+    weights = spark.sparkContext.broadcast(train(encoded.select("key", "learns", "ids"), max(-(-int(total) // SHARD_TOKENS), 1), n_head))
+    scored = encoded.select("key", "row", "n_words", "n_known", "log_counts", "model", "ids").mapInArrow(lambda it: score_batches(it, weights, n_head), f"key {kind}, row bigint, n_words bigint, n_known bigint, log_counts double, model double")
+    each = encoded.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     joined = each.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    log_sum = F.element_at(F.array(*[F.lit(float(np.log10(s + 1))) for s in sums]), F.least(F.octet_length("word"), F.lit(BANDS)))
+    log_sum = F.element_at(F.array(*[F.lit(float(np.log10(s + 1))) for s in sums]), band_column("word") + 1)
     far = joined.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("far_known"),
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("far_log"),
         F.sum(F.col("times") * (F.log10(F.col("n") + 1) - log_sum)).alias("far_model"),
     )
-    out = scored.drop("words", "times").join(far, "row", "left")
+    out = scored.join(far, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     n_tokens = F.col("n_words") + 1
     end_known, end_log = int(bool(ends)), float(lexicon.log_count[0])
