@@ -109,8 +109,8 @@ class Reader:
 class PrefixCode:
     """A lookup table over as many bits as the longest code has: the symbol, and its length above 32 bits."""
 
-    def __init__(self, lengths: Sequence[int]):
-        codes = Codes(lengths)
+    def __init__(self, lengths: bytes | Sequence[int]):
+        codes = Codes(list(lengths))
         self.mask = (1 << codes.longest) - 1
         if not codes.longest:
             self.entries = codes.used[:1] if len(codes.used) else np.zeros(1, np.int64)
@@ -140,6 +140,12 @@ def simple_codes(alphabet: int, *symbols: int) -> Codes:
     return Codes(simple_lengths(alphabet, *symbols))
 
 
+@lru_cache(64)
+def code_of(lengths: bytes) -> PrefixCode:
+    """The table of a code; channels often share one."""
+    return PrefixCode(lengths)
+
+
 def read_code(r: Reader, alphabet: int) -> PrefixCode:
     if r.bits(1):
         two, wide = r.bits(1), r.bits(1)
@@ -154,11 +160,16 @@ def read_code(r: Reader, alphabet: int) -> PrefixCode:
         own[LENGTH_ORDER[k]] = r.bits(3)
     code = PrefixCode(own)
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else alphabet
-    table, mask, word, place = code.table, code.mask, r.word, r.at
-    at, last = 0, 8
+    table, mask = code.table, code.mask
+    if (r.at >> 3) - r.first + 8 * alphabet // 4 > len(r.words):  # a symbol takes 14 bits at most
+        r.layout(r.at)
+    words, place, base = r.words, r.at - 8 * r.first, 8 * r.first
+    at, last, end = 0, 8, 8 * len(words)
     while at < alphabet and left:
         left -= 1
-        w = word(place)
+        if place >= end:
+            raise ValueError("the stream ends early")
+        w = words[place >> 3] >> (place & 7)
         e = table[w & mask]
         n, used = e & 31, e >> 32
         if n < 16:
@@ -170,8 +181,8 @@ def read_code(r: Reader, alphabet: int) -> PrefixCode:
         if n == 16:
             lengths[at : at + times] = [last] * times
         at, place = at + times, place + used + wide
-    r.at = place
-    return PrefixCode(lengths[:alphabet])
+    r.at = place + base
+    return code_of(bytes(lengths[:alphabet]))
 
 
 def extra(r: Reader, prefix: int) -> int:
@@ -196,6 +207,8 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
 def read_symbols(r: Reader, groups: list[list[PrefixCode]], group_of: list[int] | None, group_bits: int, width: int, height: int, cache_bits: int) -> np.ndarray:
     """Runs of literal pixels in a tight loop, as far as one group of codes reaches; other symbols one by one."""
     n, pixels, slots, cached = width * height, [], [0] * (1 << cache_bits), 0
+    if len(groups) == 1 and not any(c.mask for c in groups[0][:4]) and groups[0][0].table[0] < 256:
+        return np.full(n, sum(c.table[0] << shift for c, shift in zip(groups[0], (8, 16, 0, 24), strict=False)), np.uint32)
     across, down = blocks(width, group_bits), 32 - cache_bits
     laid = [(c[0].shifted(8), c[0].mask, c[1].shifted(16), c[1].mask, c[2].table, c[2].mask, c[3].shifted(24), c[3].mask, c[4]) for c in groups]
     green_at, green_mask, red_at, red_mask, blue_at, blue_mask, alpha_at, alpha_mask, far = laid[0]
@@ -462,7 +475,7 @@ class Writer:
         return (low + high).astype(np.uint64).astype("<u4").tobytes()[: (total + 7) // 8]
 
 
-def code_lengths(counts: Sequence[int], longest: int = 12) -> np.ndarray:
+def code_lengths(counts: Sequence[int], longest: int = 11) -> np.ndarray:
     """Lengths of a complete prefix code: the logarithms of the shares rounded up, then shortened from the most frequent on."""
     counts = np.asarray(counts, np.float64)
     used = np.flatnonzero(counts)
@@ -490,40 +503,37 @@ def code_lengths(counts: Sequence[int], longest: int = 12) -> np.ndarray:
     return lengths
 
 
-def write_code(w: Writer, lengths: Sequence[int]) -> Codes:
-    """The code in the stream, simple if it can be, else with repeats of equal lengths."""
+def code_header(lengths: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The stream's bits for a code, values and sizes: simple if it can be, else with repeats of equal lengths."""
     values = np.asarray(lengths, np.int64)
     used = np.flatnonzero(values).tolist()
     if len(used) <= 2 and used[-1] < 256:
-        w.bits(1 | (len(used) - 1) << 1 | 1 << 2, 3)
-        for s in used:
-            w.bits(s, 8)
-        return simple_codes(len(values), *used)
-    codes = Codes(values)
+        return np.array([1 | (len(used) - 1) << 1 | 1 << 2, *used]), np.array([3, *[8] * len(used)])
     ends = np.append(np.flatnonzero(values[1:] != values[:-1]) + 1, len(values)).tolist()
-    runs, at, last = [], 0, 8
-    for end in ends:
-        n = int(values[at])
+    runs, at, last = [], 0, 8  # symbol, then what follows it and its size above 5 and 12 bits
+    for end, n in zip(ends, values[[0, *ends[:-1]]].tolist(), strict=True):
         if n and n != last:
-            runs.append((n, 0, 0))
+            runs.append(n)
             at, last = at + 1, n
         while end - at >= 3:
             times = min(end - at, 6 if n else 138)
-            runs.append((16, times - 3, 2) if n else (17, times - 3, 3) if times <= 10 else (18, times - 11, 7))
+            runs.append(16 | times - 3 << 5 | 2 << 12 if n else 17 | times - 3 << 5 | 3 << 12 if times <= 10 else 18 | times - 11 << 5 | 7 << 12)
             at += times
-        if end > at:
-            runs += [(n, 0, 0)] * (end - at)
-            at = end
-    symbols, rest, sizes = np.array(runs, np.int64).T
+        while end > at:
+            runs.append(n)
+            at += 1
+    every = np.array(runs)
+    symbols, rest, sizes = every & 31, every >> 5 & 127, every >> 12
     own = code_lengths(np.bincount(symbols, minlength=19), 7)
     of_lengths = Codes(own)
-    w.bits(0, 1)
-    w.bits(15, 4)
-    w.many(own[list(LENGTH_ORDER)], np.full(19, 3))
-    w.bits(0, 1)
     n = of_lengths.n[symbols]
-    w.many(of_lengths.bits[symbols] | rest << n, n + sizes)
-    return codes
+    return np.concatenate([[0, 15], own[list(LENGTH_ORDER)], [0], of_lengths.bits[symbols] | rest << n]), np.concatenate([[1, 4], np.full(19, 3), [1], n + sizes])
+
+
+def write_code(w: Writer, lengths: Sequence[int]) -> Codes:
+    w.many(*code_header(lengths))
+    used = np.flatnonzero(lengths)
+    return simple_codes(len(lengths), *used.tolist()) if len(used) <= 2 else Codes(lengths)
 
 
 def prefix_of(value: int) -> tuple[int, int, int]:
@@ -588,6 +598,11 @@ def write_image(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits:
     if main:
         w.bits(0, 1)
     n = len(argb)
+    if n == 1 and not cache_bits:  # five codes of a lone symbol
+        pixel = int(argb[0])
+        for value in (pixel >> 8 & 255, pixel >> 16 & 255, pixel & 255, pixel >> 24, 0):
+            w.bits(5 | value << 3, 11)
+        return
     p = planes(argb).astype(np.int64)
     green, literal, starts = p[:, 2].copy(), np.ones(n, bool), np.ones(n, bool)
     if cache_bits:
@@ -607,7 +622,17 @@ def write_image(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits:
     counts = [np.bincount(green[starts], minlength=280 + ((1 << cache_bits) if cache_bits else 0))]
     counts += [np.bincount(p[literal, k], minlength=256) for k in (1, 3, 0)]
     counts.append(np.bincount([f for _, f in far], minlength=40) if far else np.zeros(40, np.int64))
-    codes = [write_code(w, code_lengths(c)) for c in counts]
+    shared = min(np.count_nonzero(c) for c in counts[1:4]) > 2  # red, blue and alpha share a code
+    codes = [write_code(w, code_lengths(counts[0]))]
+    if shared:
+        lengths = code_lengths(counts[1] + counts[2] + counts[3])
+        part = code_header(lengths)
+        for _ in range(3):
+            w.many(*part)
+        codes += [Codes(lengths)] * 3
+    else:
+        codes += [write_code(w, code_lengths(c)) for c in counts[1:4]]
+    codes.append(write_code(w, code_lengths(counts[4])))
     values[:, 0], sizes[:, 0] = codes[0].bits[green], codes[0].n[green]
     for column, (code, plane) in enumerate(zip(codes[1:4], (1, 3, 0), strict=True), 1):
         if code.longest:
@@ -661,7 +686,7 @@ def apply_prediction(p: np.ndarray, width: int, modes: np.ndarray, bits: int) ->
 #: Bits that a residual is taken to cost when modes and factors are chosen.
 COST = np.log2(1 + np.minimum(np.arange(256), 256 - np.arange(256))).astype(np.float32)
 #: Predictors that rows or sums invert, and the factors (in 32nds) that are tried.
-MODES, FACTORS = (0, 1, 2, 3, 4, 8, 9), (0, 16, 32, -16)
+MODES, FACTORS = (0, 1, 2, 4, 8), (0, 16, 32)
 TILE_BITS, CACHE_BITS = 6, 6
 
 
