@@ -13,13 +13,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabassay.operators.caster import quoted
 
-RANGES, MOST_RANGES = 64, 512
+RANGES = 64
 COPIES = 10_000
+BUCKETS = 1 << 16
 
 
 def ranges_of(frame: DataFrame) -> int:
-    """How many ranges a column is dealt to: more where the session shuffles to more partitions."""
-    return max(RANGES, min(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4, MOST_RANGES))
+    """How many ranges a column is dealt to: more where the session shuffles to more partitions, without an upper end."""
+    return max(RANGES, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
+def cuts_below(cuts: Column, value: Column) -> Column:
+    """How many of the ascending ``cuts`` are less than ``value``: a binary search, so many ranges cost little."""
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        less = F.get(cuts, mid) < value
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(less, mid + 1).otherwise(s["low"]).alias("low"), F.when(less, s["high"]).otherwise(mid).alias("high")))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts) + 1.0)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high")), step, lambda s: s["low"])
 
 
 def stacked(real: DataFrame, synth: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -39,24 +52,36 @@ def long_texts(real: DataFrame, synth: DataFrame, columns: Sequence[str]) -> Dat
     return both.select("is_real", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in columns])).alias("p")).select("p.column", "p.value", "is_real").filter(F.col("value").isNotNull())
 
 
-def hash_sample(frame: DataFrame, columns: Sequence[str], most: int, seed: int = 42) -> DataFrame:
-    """At most ``most`` rows, the first by a hash of ``columns``: the same rows on every run.
+def lowest(marked: DataFrame, order: Sequence[str | Column], most: int) -> DataFrame:
+    """The ``most`` rows of least ``__u`` in [0, 1), ties by ``order``, without bringing them to one task.
 
-    Where there are many more, a threshold on the hash leaves about four times as many before they are
-    ordered, so no task or driver takes ``most`` rows from every partition.
+    Rows are counted in BUCKETS of ``__u``. Buckets below the one that ``most`` falls into are taken whole; of that one
+    only so many rows are ordered as it holds.
     """
-    u = F.pmod(F.xxhash64(*map(quoted, columns), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    marked, n = frame.withColumn("__u", u), frame.count()
-    if n > 8 * most:
-        marked = marked.filter(F.col("__u") < 4 * most / n)
-    return marked.orderBy("__u", *map(quoted, columns)).limit(most).drop("__u")
+    bucket = F.floor(F.col("__u") * BUCKETS).cast("int")
+    below, boundary = 0, None
+    for r in marked.groupBy(bucket.alias("bucket")).count().orderBy("bucket").collect():
+        if below + r["count"] > most:
+            boundary = r["bucket"]
+            break
+        below += r["count"]
+    if boundary is None:
+        return marked
+    edge = marked.filter(bucket == boundary).orderBy("__u", *order).limit(most - below)
+    return marked.filter(bucket < boundary).unionByName(edge)
+
+
+def hash_sample(frame: DataFrame, columns: Sequence[str], most: int, seed: int = 42) -> DataFrame:
+    """At most ``most`` rows, the first by a hash of ``columns`` and in that order: the same rows on every run."""
+    names = [quoted(c) for c in columns]
+    u = F.pmod(F.xxhash64(*names, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return lowest(frame.withColumn("__u", u), names, most).orderBy("__u", *names).drop("__u")
 
 
 def row_sample(frame: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """At most ``most`` rows, the first by a hash of the row and its number among equal rows: the same rows on every run.
+    """At most ``most`` rows, the first by a hash of the row and its number among equal rows and in that order: the same rows on every run.
 
-    Equal rows are drawn one by one, so a frequent row has its share of the sample. The threshold is that of
-    ``hash_sample``; where it leaves too few rows it is dropped.
+    Equal rows are drawn one by one, so a frequent row has its share of the sample.
     """
     names = [quoted(c) for c in frame.columns]
     counts = frame.groupBy(*names).agg(F.count("*").alias("__n"))
@@ -66,11 +91,8 @@ def row_sample(frame: DataFrame, most: int, seed: int = 42) -> DataFrame:
     each = high.select(*names, "__high", F.explode(low).alias("__low"))
     copy = F.col("__high") * COPIES + F.col("__low")
     u = F.pmod(F.xxhash64(*names, copy, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    marked, n = each.select(*names, copy.alias("__copy"), u.alias("__u")), frame.count()
-    if n > 8 * most:
-        few = marked.filter(F.col("__u") < 4 * most / n)
-        marked = few if few.count() >= most else marked
-    return marked.orderBy("__u", *names, "__copy").limit(most).select(*names)
+    marked = each.select(*names, copy.alias("__copy"), u.alias("__u"))
+    return lowest(marked, [*names, F.col("__copy")], most).orderBy("__u", *names, "__copy").select(*names)
 
 
 def flag(name: str = "is_real") -> Column:
@@ -91,7 +113,7 @@ def cumulative(counts: DataFrame, keys: Sequence[str] = ("column",)) -> DataFram
     keys = list(keys)
     n = ranges_of(counts)
     cuts = counts.groupBy(*keys).agg(F.percentile_approx("value", [k / n for k in range(1, n)], 16 * n).alias("cuts"))
-    dealt = counts.join(F.broadcast(cuts), keys).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    dealt = counts.join(F.broadcast(cuts), keys).withColumn("part", cuts_below(F.col("cuts"), F.col("value"))).drop("cuts")
     parts = dealt.groupBy(*keys, "part").agg(F.sum("nr").alias("pr"), F.sum("ns").alias("ps"), F.min("value").alias("first"))
     order, every = Window.partitionBy(*keys).orderBy("part"), Window.partitionBy(*keys)
     before = order.rowsBetween(Window.unboundedPreceding, -1)

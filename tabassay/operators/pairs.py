@@ -12,6 +12,7 @@ from itertools import combinations, product
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tabassay.operators import knn
 from tabassay.operators.caster import complete, quoted
 from tabassay.operators.frames import cumulative, flag, row_sample, stacked
 
@@ -110,17 +111,33 @@ def sampled(frame: DataFrame, columns: Sequence[str], most: int, seed: int = 42)
     return rows.toPandas().to_numpy(np.float64).reshape(-1, len(columns))
 
 
-def dcor(real: DataFrame, synth: DataFrame, columns: Sequence[str], most: int = DCOR_ROWS, seed: int = 42) -> DataFrame:
-    """Distance correlations on bounded samples of both sides."""
+def dcor(real: DataFrame, synth: DataFrame, columns: Sequence[str], most: int | None = DCOR_ROWS, seed: int = 42) -> DataFrame:
+    """Distance correlations on samples of ``most`` rows a side, or with None on all rows in blocks."""
     spark = real.sparkSession
     columns = sorted(columns)
-    r, s = sampled(real, columns, most, seed), sampled(synth, columns, most, seed)
+    if most is None:
+        sides = [all_distance_correlations(t, columns) for t in (real, synth)]
+    else:
+        r, s = sampled(real, columns, most, seed), sampled(synth, columns, most, seed)
+        sides = [{(a, b): distance_correlation(m[:, columns.index(a)], m[:, columns.index(b)]) if len(m) >= LEAST_ROWS else None for a, b in numeric_pairs(columns)} for m in (r, s)]
     out = []
+    for pair in numeric_pairs(columns):
+        values = [side[pair] for side in sides]
+        out.append(("fidelity.dcor", *pair, *values, abs(values[0] - values[1]) if None not in values else None))
+    return spark.createDataFrame(out, "metric string, c1 string, c2 string, real_value double, synth_value double, delta double")
+
+
+def all_distance_correlations(frame: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
+    """The V-statistics of every pair of columns from sums over all pairs of rows; null for a constant column or few rows."""
+    picks = complete(frame.select(*[quoted(c).cast("double").alias(c) for c in columns]))
+    n, mean, both, rows = knn.distance_sums(knn.numbered(picks, columns), columns)
+    covariance = both - 2 * rows + np.outer(mean, mean)
+    out = {}
     for a, b in numeric_pairs(columns):
         i, j = columns.index(a), columns.index(b)
-        values = [distance_correlation(m[:, i], m[:, j]) if len(m) >= LEAST_ROWS else None for m in (r, s)]
-        out.append(("fidelity.dcor", a, b, *values, abs(values[0] - values[1]) if None not in values else None))
-    return spark.createDataFrame(out, "metric string, c1 string, c2 string, real_value double, synth_value double, delta double")
+        spread = covariance[i, i] * covariance[j, j]
+        out[a, b] = float(np.sqrt(max(covariance[i, j], 0.0) / np.sqrt(spread))) if n >= LEAST_ROWS and spread > 0 else None
+    return out
 
 
 def grouped(real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:

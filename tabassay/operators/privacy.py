@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabassay.operators import knn
 from tabassay.operators.caster import quoted
-from tabassay.operators.frames import at_rank, cumulative, ranges_of
+from tabassay.operators.frames import at_rank, cumulative, cuts_below, ranges_of, row_sample
 from tabassay.plans.storage import checkpointed
 
 K_TARGET, L_TARGET, T_THRESHOLD, QUASI = 5, 3, 0.2, 5
@@ -22,11 +22,9 @@ def unit(c: Column) -> Column:
 
 
 def balanced(real: DataFrame, synth: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """The larger side cut to the smaller's size, in the order of a hash of its rows; equal sides stay as they are."""
-    n = {"r": real.count(), "s": synth.count()}
-    least = min(n.values())
-    cut = lambda t, size: t if size == least else t.orderBy(F.xxhash64(*t.columns, F.lit(seed)), *t.columns).limit(least)
-    return cut(real, n["r"]), cut(synth, n["s"])
+    """The larger side cut to the smaller's size by a hash of its rows and their copies; equal sides stay as they are."""
+    n, m = real.count(), synth.count()
+    return (row_sample(real, m, seed) if n > m else real), (row_sample(synth, n, seed) if m > n else synth)
 
 
 def closest_records(real: DataFrame, synth: DataFrame, columns: Sequence[str], most: int | None = None) -> DataFrame:
@@ -177,7 +175,7 @@ def with_areas(cum: DataFrame) -> DataFrame:
     """The whole's distribution function ``f`` and its integral ``area`` up to each value, in ranges like ``cumulative``."""
     n = ranges_of(cum)
     cuts = cum.groupBy("column").agg(F.percentile_approx("value", [k / n for k in range(1, n)], 16 * n).alias("cuts"))
-    x = cum.join(F.broadcast(cuts), "column").select("column", "value", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("part"), (F.col("cr") / F.col("tr")).alias("f"), F.coalesce(F.col("cr") / F.col("tr") * (F.col("next") - F.col("value")), F.lit(0.0)).alias("step"))
+    x = cum.join(F.broadcast(cuts), "column").select("column", "value", cuts_below(F.col("cuts"), F.col("value")).alias("part"), (F.col("cr") / F.col("tr")).alias("f"), F.coalesce(F.col("cr") / F.col("tr") * (F.col("next") - F.col("value")), F.lit(0.0)).alias("step"))
     parts = x.groupBy("column", "part").agg(F.sum("step").alias("sum"))
     offsets = parts.select("column", "part", F.coalesce(F.sum("sum").over(Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
     inside = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)

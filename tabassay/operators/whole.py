@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabassay.operators.caster import quoted
+from tabassay.operators import knn
+from tabassay.operators.caster import complete, quoted
 from tabassay.operators.frames import cumulative, long_numbers, stacked, value_counts
 from tabassay.operators.marginal import BINS, TINY, binned, quartiles
 from tabassay.operators.pairs import sampled
@@ -69,21 +71,55 @@ def without_self(k: np.ndarray) -> float:
     return float((k.sum() - np.trace(k)) / (n * (n - 1)))
 
 
+def median_width(x: np.ndarray, y: np.ndarray) -> float:
+    """The radial kernel's factor from the median of the squared distances of HEURISTIC rows a side."""
+    some = np.vstack([x[:HEURISTIC], y[:HEURISTIC]])
+    apart = squared_distances(some, some)[np.triu_indices(len(some), 1)]
+    apart = apart[apart > 0]
+    return float(1 / (2 * np.median(apart))) if len(apart) else 1.0
+
+
 def mmd_value(x: np.ndarray, y: np.ndarray, kernel: str = "rbf", gamma: float | None = None) -> float:
     """Root of the unbiased squared discrepancy, not below 0; the width is the median distance if none is given."""
     if min(len(x), len(y)) < 2:
         return 0.0
     if kernel == "rbf" and gamma is None:
-        some = np.vstack([x[:HEURISTIC], y[:HEURISTIC]])
-        apart = squared_distances(some, some)[np.triu_indices(len(some), 1)]
-        apart = apart[apart > 0]
-        gamma = 1 / (2 * np.median(apart)) if len(apart) else 1.0
-    made = {"rbf": lambda a, b: np.exp(-gamma * squared_distances(a, b)), "linear": lambda a, b: a @ b.T, "polynomial": lambda a, b: (a @ b.T + 1) ** 3}[kernel]
+        gamma = median_width(x, y)
+    made = lambda a, b: KERNELS[kernel](a, b, gamma)
     return float(np.sqrt(max(0.0, without_self(made(x, x)) + without_self(made(y, y)) - 2 * made(x, y).mean())))
 
 
-def mmd(real: DataFrame, synth: DataFrame, columns: Sequence[str], kernel: str = "rbf", gamma: float | None = None, most: int = SAMPLE, seed: int = 42) -> dict[str, float]:
-    raw = mmd_value(*samples(real, synth, columns, most, seed), kernel, gamma)
+KERNELS: dict[str, Callable[[np.ndarray, np.ndarray, float], np.ndarray]] = {
+    "rbf": lambda a, b, gamma: np.exp(-gamma * squared_distances(a, b)),
+    "linear": lambda a, b, gamma: a @ b.T,
+    "polynomial": lambda a, b, gamma: (a @ b.T + 1) ** 3,
+}
+
+
+def every_pair(real: DataFrame, synth: DataFrame, columns: Sequence[str], value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[float, float, float] | None:
+    """Means of ``value`` over all pairs within either side, rows with themselves left out, and over pairs of both sides; None if a side has one row."""
+    columns = sorted(columns)
+    x, y = knn.numbered(complete(real.select(*map(quoted, columns))), columns), knn.numbered(complete(synth.select(*map(quoted, columns))), columns)
+    n, m = x.count(), y.count()
+    if min(n, m) < 2:
+        return None
+    mean, deviation = knn.scale_of(x, columns)
+    scale = mean, np.where(deviation > 0, deviation, 0.0) + 1e-10
+    own = lambda t: knn.row_sums(t, columns, scale, lambda a: np.array([value(a[k : k + 1], a[k : k + 1])[0, 0] for k in range(len(a))]))
+    within = lambda t, k: (knn.pair_sums(t, t, columns, scale, value) - own(t)) / (k * (k - 1))
+    return within(x, n), within(y, m), knn.pair_sums(x, y, columns, scale, value) / (n * m)
+
+
+def mmd(real: DataFrame, synth: DataFrame, columns: Sequence[str], kernel: str = "rbf", gamma: float | None = None, most: int | None = SAMPLE, seed: int = 42) -> dict[str, float]:
+    """On ``most`` rows a side, or with None on all of them in blocks; the width still follows from HEURISTIC rows a side."""
+    if most is not None:
+        raw = mmd_value(*samples(real, synth, columns, most, seed), kernel, gamma)
+    else:
+        if kernel == "rbf" and gamma is None:
+            gamma = median_width(*samples(real, synth, columns, HEURISTIC, seed))
+        made = KERNELS[kernel]
+        means = every_pair(real, synth, columns, lambda a, b: made(a, b, gamma))
+        raw = 0.0 if means is None else math.sqrt(max(0.0, means[0] + means[1] - 2 * means[2]))
     return {"score": 1 - min(raw, 1.0), "raw": raw}
 
 
@@ -94,8 +130,13 @@ def energy_value(x: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> float:
     return float(max(0.0, 2 * power(x, y).mean() - without_self(power(x, x)) - without_self(power(y, y))))
 
 
-def energy_distance(real: DataFrame, synth: DataFrame, columns: Sequence[str], alpha: float = 1.0, most: int = SAMPLE, seed: int = 42) -> dict[str, float]:
-    raw = energy_value(*samples(real, synth, columns, most, seed), alpha)
+def energy_distance(real: DataFrame, synth: DataFrame, columns: Sequence[str], alpha: float = 1.0, most: int | None = SAMPLE, seed: int = 42) -> dict[str, float]:
+    """On ``most`` rows a side, or with None on all of them in blocks."""
+    if most is not None:
+        raw = energy_value(*samples(real, synth, columns, most, seed), alpha)
+    else:
+        means = every_pair(real, synth, columns, lambda a, b: squared_distances(a, b) ** (alpha / 2))
+        raw = 0.0 if means is None else max(0.0, 2 * means[2] - means[0] - means[1])
     return {"score": 1 - min(raw / 4, 1.0), "raw": raw}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabassay.errors import ConfigError, PreparationError, SchemaError
 from tabassay.operators import caster, knn, marginal, pairs, privacy, whole
 from tabassay.operators.caster import CastTable, prepare, validate
-from tabassay.operators.frames import at_rank, cumulative, long_numbers, value_counts
+from tabassay.operators.frames import at_rank, cumulative, cuts_below, long_numbers, lowest, value_counts
 from tabassay.plans.evaluate import EvalPlan, evaluate, marginal_report, redacted_counts, univariate
 from tabassay.schema import ColumnType, TableSchema
 
@@ -182,3 +182,45 @@ def test_samples_draw_rows_not_values(spark):
     few = spark.range(25_000).selectExpr("CAST(id % 5 AS DOUBLE) AS x", "CAST(id % 5 AS DOUBLE) AS y")
     assert len(pairs.sampled(few, ["x", "y"], 1000)) == 1000
     assert row_sample(hot, 40_000).groupBy("x").count().filter("x = -1").first()["count"] == 10_000
+
+
+def test_all_rows_in_blocks_equal_numpy(spark, monkeypatch):
+    """Without a sample: kernels, energy and distance correlations over every pair, in several blocks, sides of unequal size."""
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    a, b = table(spark, 1, 70), table(spark, 2, 45, 3.0)
+    columns = ["age", "income", "score"]
+    x, y = (np.array([[r[c] for c in columns] for r in t.collect()]) for t in (a, b))
+    u, v = whole.standardised(x, y)
+    for kernel in whole.KERNELS:
+        assert whole.mmd(a, b, columns, kernel, 0.3, most=None)["raw"] == pytest.approx(whole.mmd_value(u, v, kernel, 0.3), abs=1e-9)
+    assert whole.mmd(a, b, columns, most=None)["raw"] == pytest.approx(whole.mmd(a, b, columns)["raw"], abs=0.2)
+    assert whole.energy_distance(a, b, columns, most=None)["raw"] == pytest.approx(whole.energy_value(u, v), abs=1e-9)
+    for r in pairs.dcor(a, b, columns, most=None).collect():
+        i, j = columns.index(r["c1"]), columns.index(r["c2"])
+        assert r["real_value"] == pytest.approx(pairs.distance_correlation(x[:, i], x[:, j])) and r["synth_value"] == pytest.approx(pairs.distance_correlation(y[:, i], y[:, j]))
+    flat = a.withColumn("age", F.lit(1.0))
+    assert {r["real_value"] for r in pairs.dcor(flat, b, ["age", "score"], most=None).collect()} == {None}
+    assert whole.energy_distance(a.limit(1), b, columns, most=None)["raw"] == 0.0
+
+
+def test_least_rows_without_one_task(spark):
+    """The rows of least mark are those that ordering them all would give, whatever bucket the limit falls into."""
+    marked = spark.range(20_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)).alias("__u"))
+    for most in (0, 1, 700, 19_999, 20_000, 30_000):
+        want = [r["id"] for r in marked.orderBy("__u", "id").limit(most).collect()]
+        assert sorted(r["id"] for r in lowest(marked, ["id"], most).collect()) == sorted(want)
+    hot = marked.withColumn("__u", F.lit(0.5))
+    assert lowest(hot, ["id"], 10).count() == 10
+    assert lowest(marked.limit(0), ["id"], 10).count() == 0
+
+
+def test_cuts_by_binary_search(spark):
+    cuts = [-2.0, 0.0, 0.0, 1.5, 9.0]
+    rows = spark.createDataFrame([(v, cuts) for v in (-3.0, -2.0, 0.0, 0.1, 9.0, 10.0)], "v double, cuts array<double>")
+    assert [r[0] for r in rows.select(cuts_below(F.col("cuts"), F.col("v"))).collect()] == [sum(c < v for c in cuts) for v in (-3.0, -2.0, 0.0, 0.1, 9.0, 10.0)]
+    assert rows.limit(1).select(cuts_below(F.array().cast("array<double>"), F.col("v"))).first()[0] == 0
+
+
+def test_sides_are_cut_to_the_smaller(spark):
+    r, s = privacy.balanced(table(spark, 1, 60), table(spark, 2, 40))
+    assert (r.count(), s.count()) == (40, 40) and r.subtract(table(spark, 1, 60)).count() == 0
