@@ -5,22 +5,26 @@ Real and synthetic halves of a table are the even and odd keys; the synthetic ha
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import tabassay.generators.models  # noqa: F401  registers
-from tabassay.functions.aggregate import AGGREGATORS, aggregate_column
-from tabassay.functions.normalize import column_scores
-from tabassay.functions.ranktests import mean_ranks
+from tabassay.functions.aggregate import AGGREGATORS, aggregate_column, hypervolume, run_statistics, weighted_score
+from tabassay.functions.normalize import BOUNDED, CLOSEST, DELTA, INFORMATION, LOSS, RULES, SIMILARITY, UNBOUNDED, as_column, column_scores, percentile_scores
+from tabassay.functions.ranktests import friedman, mean_ranks, wilcoxon
 from tabassay.generators.simple import uniform_noise
 from tabassay.operators import learning, marginal, pairs, privacy, whole
 from tabassay.operators.caster import CastTable, Caster, prepare
 from tabassay.plans.benchmark import score_table
+from tabassay.plans.calibrate import bounds_of, place
 from tabassay.plans.evaluate import marginal_report, redacted_counts, univariate
 from tabassay.plans.registry import GENERATORS
+from tabassay.plans.taxonomy import PLACES
 from tabassay.schema import TableSchema
 
+RULE_NAMES = (BOUNDED, UNBOUNDED, SIMILARITY, DELTA, INFORMATION, CLOSEST, LOSS)
 Query = Callable[[SparkSession, str], DataFrame]
 
 LINEITEM = {"l_quantity": "continuous", "l_extendedprice": "continuous", "l_discount": "continuous", "l_tax": "continuous", "l_shipdate": "datetime", "l_returnflag": "categorical", "l_linestatus": "categorical", "l_mode": "categorical"}
@@ -135,7 +139,7 @@ def pair_query(name: str) -> Query:
         if name == "dcor":
             real, synth = customer_halves(spark, sf_dir)
             numeric = CUSTOMER_NUMERIC
-            rows = pairs.dcor(real, synth, numeric)
+            rows = pairs.dcor(real, synth, numeric, most=None)
         else:
             r, s = lineitem_halves(spark, sf_dir)
             rows = pairs.pair_metric(name, r.frame, s.frame, r.numeric, r.categorical)
@@ -209,18 +213,23 @@ def rounded(df: DataFrame) -> DataFrame:
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     real, synth = lineitem_halves(spark, sf_dir)
     out = whole.correlation_matrix(real.frame, synth.frame, real.numeric)
-    return spark.createDataFrame([tuple(round(out[k], 6) for k in ("frobenius", "rv"))], "frobenius double, rv double")
+    names = ("frobenius", "spectral", "rv", "score")
+    return spark.createDataFrame([tuple(round(out[k], 6) for k in names)], ", ".join(f"{n} double" for n in names))
+
+
+WIDTH = 0.5
 
 
 def mmd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the linear kernel, which SQL can repeat; the median width of the radial one is tested against numpy."""
+    """All kernels over all rows, the radial one with a given width; the median width is tested against numpy."""
     real, synth = customer_halves(spark, sf_dir)
-    return rounded(spark.createDataFrame([(whole.mmd(real, synth, CUSTOMER_NUMERIC, kernel="linear")["raw"],)], "raw double"))
+    rows = [(k, whole.mmd(real, synth, CUSTOMER_NUMERIC, kernel=k, gamma=WIDTH, most=None)["raw"]) for k in whole.KERNELS]
+    return rounded(spark.createDataFrame(rows, "kernel string, raw double"))
 
 
 def energy_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     real, synth = customer_halves(spark, sf_dir)
-    out = whole.energy_distance(real, synth, CUSTOMER_NUMERIC)
+    out = whole.energy_distance(real, synth, CUSTOMER_NUMERIC, most=None)
     return rounded(spark.createDataFrame([(out["raw"], out["score"])], "raw double, score double"))
 
 
@@ -255,9 +264,34 @@ def t_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PEARSON_SIDE = ", ".join(f"corr({a}, {b}) AS p{k}" for k, (a, b) in enumerate(pairs.numeric_pairs(NUMERIC)))
 _N_PAIRS = len(pairs.numeric_pairs(NUMERIC))
+
+
+def _correlation_sql() -> str:
+    """The largest absolute eigenvalue of the symmetric difference by 400 power steps."""
+    k, place = len(NUMERIC), {p: n for n, p in enumerate(pairs.numeric_pairs(NUMERIC))}
+    gap = lambda i, j: "0" if i == j else f"d{place[NUMERIC[min(i, j)], NUMERIC[max(i, j)]]}"
+    moved = [f"({' + '.join(f'{gap(i, j)} * v{j}' for j in range(k))})" for i in range(k)]
+    size = f"sqrt({' + '.join(f'w{i} ** 2' for i in range(k))})"
+    total = lambda f: " + ".join(f.format(k=n) for n in range(_N_PAIRS))
+    return f"""WITH RECURSIVE {HALVES}, a AS (SELECT {_PEARSON_SIDE} FROM real), b AS (SELECT {_PEARSON_SIDE} FROM synth),
+d AS (SELECT {", ".join(f"a.p{n} - b.p{n} AS d{n}" for n in range(_N_PAIRS))}, {total("a.p{k} * b.p{k}")} AS dot, {total("a.p{k} ** 2")} AS sa, {total("b.p{k} ** 2")} AS sb FROM a, b),
+steps AS (SELECT 0 AS i, {", ".join(f"CAST({1 / (n + 1)} AS DOUBLE) AS v{n}" for n in range(k))}, CAST(0 AS DOUBLE) AS size
+  UNION ALL SELECT i + 1, {", ".join(f"w{n} / size" for n in range(k))}, size FROM (SELECT *, {size} AS size FROM (SELECT i, {", ".join(f"CAST({m} AS DOUBLE) AS w{n}" for n, m in enumerate(moved))} FROM steps, d WHERE i < 400))),
+parts AS (SELECT 1 - sqrt(2 * ({total("d{k} ** 2")})) / {2 * k} AS frobenius, greatest(0, 1 - (SELECT size FROM steps WHERE i = 400) / 2) AS spectral, least(1, greatest(0, dot / sqrt(sa * sb))) AS rv FROM d)
+SELECT round(frobenius, 6) AS frobenius, round(spectral, 6) AS spectral, round(rv, 6) AS rv, round(0.4 * frobenius + 0.3 * spectral + 0.3 * rv, 6) AS score FROM parts"""
+
+
+def _mmd_sql() -> str:
+    dot = "(x.a * y.a + x.b * y.b + x.c * y.c)"
+    made = {"rbf": f"exp(-{WIDTH} * ((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2))", "linear": dot, "polynomial": f"({dot} + 1) ** 3"}
+    own = lambda t, f: f"(SELECT avg({f}) FROM {t} x JOIN {t} y ON x.id <> y.id)"
+    each = " UNION ALL ".join(f"SELECT '{k}' AS kernel, {own('r', f)} + {own('s', f)} - 2 * (SELECT avg({f}) FROM r x CROSS JOIN s y) AS v" for k, f in made.items())
+    return f"{CUSTOMERS}, k AS ({each}) SELECT kernel, round(sqrt(greatest(0, v)), 6) AS raw FROM k"
+
+
 OTHER_SQL = {
-    "correlation_matrix": f"WITH {HALVES}, a AS (SELECT {_PEARSON_SIDE} FROM real), b AS (SELECT {_PEARSON_SIDE} FROM synth) SELECT round(1 - sqrt(2 * ({' + '.join(f'(a.p{k} - b.p{k}) ** 2' for k in range(_N_PAIRS))})) / {2 * len(NUMERIC)}, 6) AS frobenius, round(greatest(0, ({' + '.join(f'a.p{k} * b.p{k}' for k in range(_N_PAIRS))}) / sqrt(({' + '.join(f'a.p{k} ** 2' for k in range(_N_PAIRS))}) * ({' + '.join(f'b.p{k} ** 2' for k in range(_N_PAIRS))}))), 6) AS rv FROM a, b",
-    "mmd": CUSTOMERS + ", rr AS (SELECT avg(x.a * y.a + x.b * y.b + x.c * y.c) AS v FROM r x JOIN r y ON x.id <> y.id), ss AS (SELECT avg(x.a * y.a + x.b * y.b + x.c * y.c) AS v FROM s x JOIN s y ON x.id <> y.id), rs AS (SELECT avg(x.a * y.a + x.b * y.b + x.c * y.c) AS v FROM r x CROSS JOIN s y) SELECT round(sqrt(greatest(0, rr.v + ss.v - 2 * rs.v)), 6) AS raw FROM rr, ss, rs",
+    "correlation_matrix": _correlation_sql(),
+    "mmd": _mmd_sql(),
     "energy_distance": CUSTOMERS + f", e AS (SELECT greatest(0, 2 * (SELECT avg({_APART}) FROM r x CROSS JOIN s y) - (SELECT avg({_APART}) FROM r x JOIN r y ON x.id <> y.id) - (SELECT avg({_APART}) FROM s x JOIN s y ON x.id <> y.id)) AS raw) SELECT round(raw, 6) AS raw, round(1 - least(raw / 4, 1), 6) AS score FROM e",
     "outliers_coverage": NUMBERS + f"""{_BINS}, fences AS (SELECT col, r1 - 1.5 * (r3 - r1) AS lr, r3 + 1.5 * (r3 - r1) AS ur, s1 - 1.5 * (s3 - s1) AS ls, s3 + 1.5 * (s3 - s1) AS us FROM quant),
 outs AS (SELECT col, value, is_real FROM numbers JOIN fences USING (col) WHERE CASE WHEN is_real THEN value < lr OR value > ur ELSE value < ls OR value > us END),
@@ -353,7 +387,7 @@ def privacy_mia(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def privacy_inference_attack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = learning.inference_attack(*small_halves(spark, sf_dir), trees=20)
+    out = learning.inference_attack(*small_halves(spark, sf_dir))
     return spark.createDataFrame([(c["column"], c["score"]) for c in out["columns"]], "column string, score double")
 
 
@@ -376,18 +410,76 @@ def generator_query(name: str) -> Query:
     return run
 
 
+SEGMENT_VALUE = "c_acctbal / 10000"
+
+
+def normalization_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule over the distinct account balances, as raw values from below 0 to above 1, some of them null."""
+    values = table(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") > 0, F.expr(SEGMENT_VALUE)).alias("value")).distinct()
+    each = values.select("value", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), as_column(r, F.col("value"), 0.25).alias("score")) for r in RULE_NAMES])).alias("r"))
+    return rounded(each.select("r.rule", F.round("value", 6).alias("value"), "r.score"))
+
+
+def percentile_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("metric"), F.col("c_custkey").alias("item"), F.col("c_acctbal").alias("value"))
+    return rounded(percentile_scores(rows, {"BUILDING": True, "MACHINERY": True}).drop("value"))
+
+
+def segment_scores(spark: SparkSession, sf_dir: str, blocks: int) -> dict[str, list[float]]:
+    """Mean balances by segment over blocks, as of generators over seeds."""
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("generator"), (F.col("c_custkey") % blocks).alias("seed")).agg(F.round(F.avg("c_acctbal"), 4).alias("score")).collect()
+    out: dict[str, list[float]] = {}
+    for r in sorted(rows, key=lambda r: (r["generator"], r["seed"])):
+        out.setdefault(r["generator"], []).append(r["score"])
+    return out
+
+
+def rank_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Friedman over five segments, and Wilcoxon of every two of them."""
+    scores = segment_scores(spark, sf_dir, 12)
+    f = friedman(scores)
+    rows = [("friedman", f.statistic, f.p_value), *[(f"wilcoxon {a} {b}", wilcoxon(scores[a], scores[b]).statistic, None) for k, a in enumerate(scores) for b in list(scores)[k + 1 :]]]
+    return rounded(spark.createDataFrame(rows, "test string, statistic double, p_value double"))
+
+
+def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics over runs, and bounds made of them, for every segment."""
+    rows = [(g, *[s[k] for k in RUN_NAMES], hypervolume([x / 10000 for x in v]), weighted_score([x / 10000 for x in v], range(1, len(v) + 1))) for g, v in segment_scores(spark, sf_dir, 7).items() for s in [run_statistics(v)]]
+    return rounded(spark.createDataFrame(rows, f"generator string, {', '.join(f'{k} double' for k in RUN_NAMES)}, hypervolume double, weighted double"))
+
+
+RUN_NAMES = ("median", "mean", "std", "min", "max", "q1", "q3")
+
+
+def calibrated_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment's runs as upper runs against those of all others as lower ones, and its median placed between the bounds."""
+    scores = {g: [x / 10000 for x in v] for g, v in segment_scores(spark, sf_dir, 7).items()}
+    rows = []
+    for g, upper in scores.items():
+        lower = [x for other, v in scores.items() if other != g for x in v]
+        b = bounds_of(upper, lower, "fidelity")
+        rows.append((g, b.low, b.high, b.inverted, place(float(run_statistics(upper)["median"]), b.low, b.high, b.inverted)))
+    return rounded(spark.createDataFrame(rows, "generator string, low double, high double, inverted boolean, placed double"))
+
+
+def differential_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of mechanisms: an epsilon for every nation, a delta for every region."""
+    rows = [(r["n_nationkey"], privacy.differential_privacy(r["n_nationkey"] * 5.0 - 10, r["n_regionkey"] / 1000)) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()]
+    return rounded(spark.createDataFrame(rows, "n_nationkey int, score double"))
+
+
 ORDER_LEVELS = ["1-urgent", "2-high", "3-medium", "4-not specified", "5-low"]
 _TVD = COVERAGE_SQL["tvd"].replace("round(0.5 * sum(abs(p - q)), 6) AS raw", "1 - 0.5 * sum(abs(p - q)) AS v")
 _NOISE = ["uniform_noise", "bootstrap", "delete_zero", "delete_mean", "smotenc", "gaussian_copula", "bayesian_network", "cart", "real_data"]
 
 QUERIES: dict[str, Query] = {
-    **{f.__name__: f for f in (marginal_scores, normalized_columns, aggregated_columns, univariate_statistics, cast_table, frequent_texts, redacted_values, generator_ranks, benchmark_scores, privacy_mia, privacy_inference_attack, utility_ml_efficiency, calibration_noise)},
+    **{f.__name__: f for f in (marginal_scores, normalized_columns, aggregated_columns, univariate_statistics, cast_table, frequent_texts, redacted_values, generator_ranks, benchmark_scores, privacy_mia, privacy_inference_attack, utility_ml_efficiency, calibration_noise, normalization_rules, percentile_normalized, rank_tests, run_summaries, calibrated_bounds)},
     **{f"generator_{n}": generator_query(n) for n in _NOISE},
     **{f"fidelity_{n}": numeric_query(n) for n in NUMERIC_SQL},
     **{f"fidelity_{n}": coverage_query(n) for n in COVERAGE_SQL},
     **{f"fidelity_{n}": pair_query(n) for n in PAIR_SQL},
     **{f"fidelity_{f.__name__}": f for f in (correlation_matrix, mmd, energy_distance, outliers_coverage)},
-    **{f"privacy_{f.__name__}": f for f in (dcr, nnaa, record_linkage, k_anonymity, l_diversity, t_closeness)},
+    **{f"privacy_{f.__name__}": f for f in (dcr, nnaa, record_linkage, k_anonymity, l_diversity, t_closeness, differential_privacy)},
 }
 MORE_SQL = {
     "normalized_columns": NUMBERS + """, raw AS (SELECT 'fidelity.ks' AS metric, col, max(abs(cr / tr - cs / ts)) AS v FROM cum GROUP BY col UNION ALL SELECT 'fidelity.wasserstein', col, sum(abs(cr / tr - cs / ts) * coalesce(nxt - value, 0)) FROM cum GROUP BY col
@@ -407,6 +499,62 @@ SELECT o_orderpriority, round(o_orderpriority__ord, 6) AS o_orderpriority__ord,
     "generator_ranks": "WITH s AS (SELECT c_mktsegment AS g, c_custkey % 5 AS seed, round(avg(c_acctbal), 2) AS score FROM customer GROUP BY 1, 2), r AS (SELECT g, rank() OVER (PARTITION BY seed ORDER BY score DESC) + (count(*) OVER (PARTITION BY seed, score) - 1) / 2.0 AS rk FROM s) SELECT g AS generator, round(avg(rk), 6) AS mean_rank FROM r GROUP BY g",
     "benchmark_scores": "SELECT c_mktsegment AS generator, 'composite' AS name, round(avg(c_acctbal), 6) AS mean, round(coalesce(stddev_samp(c_acctbal), 0), 6) AS std, round(median(c_acctbal), 6) AS median, round(quantile_cont(c_acctbal, 0.25), 6) AS q25, round(quantile_cont(c_acctbal, 0.75), 6) AS q75, round(quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25), 6) AS iqr FROM customer GROUP BY 1",
 }
+_SEGMENTS = lambda blocks: f"WITH s AS (SELECT c_mktsegment AS g, c_custkey % {blocks} AS seed, round(avg(c_acctbal), 4) AS v FROM customer GROUP BY 1, 2)"
+_UNIT = lambda x: f"least(1, greatest(0, {x}))"
+
+
+def _report_sql() -> str:
+    """Every column metric's own SQL without its rounding, scored by rule, and rolled up."""
+    bare = lambda sql: re.sub(r"round\((.*), 6\) AS raw", r"\1 AS raw", sql, flags=re.DOTALL)
+    raw = " UNION ALL ".join(f"SELECT * FROM ({bare(s)})" for s in (NUMERIC_SQL | COVERAGE_SQL).values())
+    of = {r: ", ".join(f"'{m}'" for m, own in RULES.items() if own == r and m.startswith("fidelity.")) for r in RULE_NAMES}
+    robust = f"CASE WHEN b - a < 1e-10 THEN CASE WHEN b < 1e-6 THEN 1.0 ELSE 0.5 END ELSE 1 - {_UNIT('(raw - a) / (b - a)')} END"
+    score = f"CASE WHEN raw IS NULL THEN NULL WHEN metric IN ({of[UNBOUNDED]}) THEN {robust} WHEN metric IN ({of[BOUNDED]}) THEN {_UNIT('1 - raw')} WHEN metric IN ({of[DELTA]}) THEN 1 / (1 + abs(raw)) WHEN metric IN ({of[SIMILARITY]}) THEN {_UNIT('raw')} END"
+    place_of = " ".join(f"WHEN '{m}' THEN '{p[2]}'" for m, p in PLACES.items() if m.startswith("fidelity."))
+    return f"""WITH raws AS MATERIALIZED ({raw}), span AS (SELECT metric, quantile_cont(raw, 0.05) AS a, quantile_cont(raw, 0.95) AS b FROM raws GROUP BY metric),
+scored AS (SELECT metric, avg({score}) AS score FROM raws JOIN span USING (metric) GROUP BY metric),
+leaves AS (SELECT 'fidelity' AS family, 'marginal' AS category, CASE metric {place_of} END AS subcategory, metric, score FROM scored)
+SELECT family, category, subcategory, metric, round(median(score), 6) AS score FROM leaves GROUP BY ROLLUP (family, category, subcategory, metric) HAVING family IS NOT NULL"""
+
+
+MORE_SQL |= {
+    "marginal_scores": _report_sql(),
+    "normalization_rules": f"WITH v AS (SELECT DISTINCT CASE WHEN c_nationkey > 0 THEN {SEGMENT_VALUE} END AS value FROM customer), e AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{r}' AS rule, value, {x} AS score FROM v"
+        for r, x in (
+            (BOUNDED, _UNIT("1 - value")),
+            (UNBOUNDED, "CASE WHEN value >= 0 THEN exp(-value / 0.25) WHEN value < 0 THEN 1 END"),
+            (SIMILARITY, _UNIT("value")),
+            (DELTA, "1 / (1 + abs(value))"),
+            (INFORMATION, "CASE WHEN value > 0 THEN value / (value + 0.25) ELSE 0 END"),
+            (CLOSEST, "1 - exp(-greatest(value, 0) / 0.25)"),
+            (LOSS, "1 / (1 + greatest(value, 0))"),
+        )
+    )
+    + ") SELECT rule, round(value, 6) AS value, CASE WHEN value IS NULL THEN 0.0 ELSE round(score, 6) END AS score FROM e",
+    "percentile_normalized": f"""WITH p AS (SELECT c_mktsegment AS metric, quantile_cont(c_acctbal, 0.05) AS a, quantile_cont(c_acctbal, 0.95) AS b FROM customer GROUP BY 1)
+SELECT metric, c_custkey AS item, round(CASE WHEN metric IN ('BUILDING', 'MACHINERY') THEN 1 - {_UNIT("(c_acctbal - a) / (b - a)")} ELSE {_UNIT("(c_acctbal - a) / (b - a)")} END, 6) AS score FROM customer JOIN p ON p.metric = c_mktsegment""",
+    "rank_tests": _SEGMENTS(12)
+    + """, r AS (SELECT g, seed, rank() OVER (PARTITION BY seed ORDER BY v DESC) + (count(*) OVER (PARTITION BY seed, v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY seed, v) AS tied FROM s),
+f AS (SELECT (12.0 / (12 * 5 * 6) * sum(t ** 2) - 3 * 12 * 6) / (1 - (SELECT sum(CAST(tied AS DOUBLE) ** 2 - 1) FROM r) / (12.0 * (125 - 5))) AS q FROM (SELECT sum(rk) AS t FROM r GROUP BY g)),
+d AS (SELECT x.g AS a, y.g AS b, x.v - y.v AS d FROM s x JOIN s y ON x.seed = y.seed AND x.g < y.g WHERE x.v <> y.v),
+w AS (SELECT a, b, d, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2.0 AS rk FROM d)
+SELECT 'friedman' AS test, round(q, 6) AS statistic, round(exp(-q / 2) * (1 + q / 2), 6) AS p_value FROM f
+UNION ALL SELECT 'wilcoxon ' || a || ' ' || b, round(least(coalesce(sum(rk) FILTER (d > 0), 0), coalesce(sum(rk) FILTER (d < 0), 0)), 6), NULL FROM w GROUP BY a, b""",
+    "run_summaries": _SEGMENTS(7)
+    + """, o AS (SELECT *, v / 10000 AS x, row_number() OVER (PARTITION BY g ORDER BY seed) AS i FROM s), m AS (SELECT *, min(x) OVER (PARTITION BY g) AS least_x FROM o),
+q AS (SELECT g, median(v) AS median, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, exp(avg(ln(least(1, greatest(1e-10, x))))) AS hypervolume,
+  any_value(least_x) AS least_x, any_value(least_x) - ln(sum(i * exp(-5 * (x - least_x))) / sum(i)) / 5 AS e, sum(i * x) / sum(i) AS wm FROM m GROUP BY g)
+SELECT g AS generator, round(median, 6) AS median, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(max, 6) AS max, round(q1, 6) AS q1, round(q3, 6) AS q3, round(hypervolume, 6) AS hypervolume, round(least(1, greatest(0, least(greatest(e, least_x), wm))), 6) AS weighted FROM q""",
+    "calibrated_bounds": _SEGMENTS(7)
+    + """, p AS (SELECT x.g, y.g = x.g AS own, y.v / 10000 AS v FROM (SELECT DISTINCT g FROM s) x CROSS JOIN s y),
+b AS (SELECT g, median(v) FILTER (own) < median(v) FILTER (NOT own) AS inverted, min(v) FILTER (own) AS lo, max(v) FILTER (own) AS hi, min(v) FILTER (NOT own) AS olo, max(v) FILTER (NOT own) AS ohi, median(v) FILTER (own) AS m FROM p GROUP BY g),
+c AS (SELECT g, inverted, m, CASE WHEN inverted THEN hi ELSE ohi END AS low, CASE WHEN inverted THEN olo ELSE lo END AS high FROM b),
+d AS (SELECT *, CASE WHEN abs(high - low) > 1e-10 THEN least(1, greatest(0, (m - low) / (high - low))) WHEN m >= high THEN 1.0 ELSE 0.0 END AS x FROM c)
+SELECT g AS generator, round(low, 6) AS low, round(high, 6) AS high, inverted, round(CASE WHEN inverted THEN 1 - x ELSE x END, 6) AS placed FROM d""",
+    "privacy_differential_privacy": "WITH e AS (SELECT n_nationkey, n_nationkey * 5.0 - 10 AS e, n_regionkey / 1000.0 AS d FROM nation) SELECT n_nationkey, round(least(1, greatest(0, CASE WHEN e <= 0 THEN 1.0 WHEN e >= 100 THEN 0.0 ELSE exp(-e / 2) END - least(0.2, 100 * d))), 6) AS score FROM e",
+}
 ORACLES: dict[str, str] = {
     **MORE_SQL,
     **{f"fidelity_{n}": s for n, s in (NUMERIC_SQL | COVERAGE_SQL | PAIR_SQL).items()},
