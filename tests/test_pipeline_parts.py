@@ -1,5 +1,9 @@
 import json
 import math
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -235,3 +239,18 @@ def test_hierarchy_frame_equals_the_tree(spark):
                 assert got[f, c, s] == pytest.approx(y["score"])
     scored = spark.createDataFrame([("m", "a", 0.5), ("m", "b", 0.1), ("m", "c", None), ("n", "a", 0.2)], "metric string, column string, score double")
     assert {(r["metric"], r["column"]) for r in worst_columns(scored, 1).collect()} == {("m", "b"), ("n", "a")}
+
+
+def test_a_missing_package_is_not_taken_for_a_missing_subpackage(tmp_path):
+    """Without the training-data parts the entry imports; with them, an import that fails inside is an error."""
+    root = Path(__file__).resolve().parent.parent
+    (tmp_path / "tabassay").mkdir()
+    for p in (root / "tabassay").iterdir():
+        if p.name != "llm":
+            (tmp_path / "tabassay" / p.name).symlink_to(p)
+    (tmp_path / "__spark_entry__.py").write_text((root / "__spark_entry__.py").read_text())
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    alone = run()
+    assert alone.returncode == 0 and int(alone.stdout) > 50
+    (tmp_path / "corpus_pipeline.py").write_text("import a_package_that_is_not_there\n")
+    assert run().returncode != 0
