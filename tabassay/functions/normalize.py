@@ -24,7 +24,8 @@ SCALES: dict[str, float] = {"fidelity.wasserstein": 0.5, "fidelity.mmd": 0.1, "f
 
 
 def clamp(x: float) -> float:
-    return 0.0 if math.isnan(x) or math.isinf(x) else min(max(x, 0.0), 1.0)
+    """To [0, 1]; what is not finite scores nothing."""
+    return sorted((0.0, x, 1.0))[1] if math.isfinite(x) else 0.0
 
 
 def apply_rule(rule: str, value: float, scale: float = 1.0) -> float:
@@ -42,12 +43,13 @@ def apply_rule(rule: str, value: float, scale: float = 1.0) -> float:
     return clamp(made[rule](value))
 
 
+#: Rules by full ids and by their last parts; a full id stands before a last part of the same spelling.
+BY_NAME = {full.partition(".")[2]: rule for full, rule in RULES.items()} | RULES
+
+
 def rule_of(metric: str) -> str:
-    """By the full id, else by the last part of it, else a similarity."""
-    if metric in RULES:
-        return RULES[metric]
-    last = metric.rsplit(".", 1)[-1]
-    return next((rule for full, rule in RULES.items() if full.endswith(f".{last}")), SIMILARITY)
+    """Of the id, else of its last part, else a similarity."""
+    return BY_NAME.get(metric, BY_NAME.get(metric.split(".")[-1], SIMILARITY))
 
 
 def normalize(metric: str, value: float, scale: float | None = None) -> float:
