@@ -3,7 +3,8 @@
 A token that may be disguised (digits or signs among letters, letters repeated three times or more, single
 characters set apart) becomes a lattice: every run of a character offers the letters it may stand for,
 each with the cost of that disguise. The Viterbi path under a character trigram model, counted over all
-documents, is the restored word. Plain words are lattices of one path and are left as they are. Words
+documents, is the restored word. Signs at the ends of a token, and tokens of signs alone, are first taken for punctuation; if that gives
+no lexicon word, the same path is sought with letters in their place. Tokens of digits alone are numbers. Plain words are lattices of one path and are left as they are. Words
 and stems (beginnings of words) that are far commoner in toxic training texts form the lexicon; a
 logistic curve over the sum of their log-odds gives the score.
 """
@@ -44,6 +45,9 @@ BOOST = 0.02
 
 _STRIP_LEFT = " \t.,;:?\"()[]{}<>~`^&%#*=/\\_-'!|+"
 _STRIP_RIGHT = _STRIP_LEFT
+#: Signs at the ends of a token that may be letters too, and those that never are.
+_SOFT = frozenset("!|+*")
+_HARD = "".join(c for c in _STRIP_LEFT if c not in _SOFT)
 _TRIPLE = re.compile(r"(.)\1\1")
 _TAIL = re.compile(r"([$@])\1\1+$")
 _RUNS = re.compile(r"(.)\1*", re.DOTALL)
@@ -134,6 +138,26 @@ def core(token: str) -> str:
     return _TAIL.sub("", token.strip(_STRIP_LEFT)).rstrip(_STRIP_RIGHT)
 
 
+def edged(token: str) -> str:
+    """The token with signs at its ends that may stand for letters; "" if none do, or nothing in it may be a letter."""
+    word = token.strip(_HARD)
+    edge = word[:1] in _SOFT or word[-1:] in _SOFT
+    signs = any(c in "@$!|+" for c in word)
+    return word if (edge or signs and not any(c.isalpha() for c in word)) and any(c.isalpha() or c in "@$" for c in word) else ""
+
+
+def edge_lattice(word: str) -> list[list[tuple[str, float]]]:
+    """Signs at the ends as letters, a masked one included; stars around a word are emphasis."""
+    runs = [m.group() for m in _RUNS.finditer(word)]
+    lattice = [alternatives(r) for r in runs]
+    around = len(runs) > 1 and runs[0][0] == MASK == runs[-1][0]
+    for k in {0, len(runs) - 1}:
+        if runs[k][0] in _SOFT:
+            letters = [(x, cost) for x, cost in lattice[k] if x.strip()]
+            lattice[k] = letters if letters and not (around and runs[k][0] == MASK) else [("", 0.0)]
+    return lattice
+
+
 def disguised(word: str) -> bool:
     if word.isalpha():
         return _TRIPLE.search(word) is not None
@@ -179,6 +203,8 @@ class Restorer:
         found = self.known(words)
         if self.lexicon and not found and len(words) == 1 and words[0].isalpha() and re.sub(r"(.)\1", r"\1", words[0]) in self.squeezed:
             found = self.known([viterbi([alternatives(m.group()) for m in _RUNS.finditer(words[0])], self.model)])
+        if self.lexicon and not found and len(token) <= 64 and (word := edged(token)):
+            found = self.known(viterbi(edge_lattice(word), self.model).split())
         return found
 
     def seen(self, text: str | None) -> set[str]:

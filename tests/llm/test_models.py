@@ -86,6 +86,19 @@ def test_toxicity_finds_words_stems_and_disguises(spark):
     assert {r["doc_id"] for r in rows(kept)} == {r["doc_id"] for r in got if not r["predicted"]}
 
 
+def test_signs_at_the_ends_and_alone():
+    """A masked or replaced first or last letter, and a word of signs alone; the same signs around clean words say nothing."""
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("bcdfglmnprt") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4))) for _ in range(300)]
+    counts = sum(np.bincount(toxicity.trigrams(w.encode()), minlength=toxicity.SYMBOLS**3) * 20 for w in words)
+    lexicon = {"idiot", "loser", "trash", "ass", "twit"}
+    restorer = toxicity.Restorer(toxicity.CharacterModel(counts, dict.fromkeys(lexicon, 0.2)), lexicon)
+    for token, word in (("!diot", "idiot"), ("|oser", "loser"), ("+rash", "trash"), ("*diot,", "idiot"), ("(twi+)", "twit"), ("@$$", "ass"), ("\"trash!\"", "trash"), ("tras*", "trash")):
+        assert restorer.seen(f"you {token} there") == {word}, token
+    assert restorer.seen(" ".join(f"{a}{w}{b}" for w in words for a, b in (("*", "*"), ("!", ""), ("", "!"), ("+", "+"), ("", "")))) == set()
+    assert restorer.seen("455 2023 +1 !!! *** $$ 100% $5 | || a+b") == set()
+
+
 def test_viterbi_equals_every_path():
     counts = np.random.default_rng(3).integers(0, 50, toxicity.SYMBOLS**3)
     model = toxicity.CharacterModel(counts)
