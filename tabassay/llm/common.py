@@ -18,6 +18,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 1 << 21
 
 
+#: Bytes of an Arrow batch on its way to or from a worker, in jobs of this package's queries and the pipeline.
+TRAVEL_BYTES = 1 << 22
+
+
+def session(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of at most TRAVEL_BYTES, if its bound was larger.
+
+    Queries and the pipeline, as applications, set this one value once; operators work under any and set nothing.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.match(r"(-?\d+)\s*([kmgt]?)", spark.conf.get(name).lower()).groups()
+    size = int(number) << 10 * " kmgt".index(unit or " ")
+    if not 0 < size <= TRAVEL_BYTES:
+        spark.conf.set(name, str(TRAVEL_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from tabassay.llm import ann, media, mixing, packing, quality, rnn, secrets, simhash, tokens, toxicity
-from tabassay.llm.common import table
+from tabassay.llm import ann, common, media, mixing, packing, quality, rnn, secrets, simhash, tokens, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return common.table(common.session(spark), sf_dir, name)
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
 

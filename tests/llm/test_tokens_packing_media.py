@@ -57,6 +57,15 @@ def test_batches_are_balanced_by_bytes():
     assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 2000 for p in parts)
 
 
+def test_the_session_s_bound_is_only_lowered(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    for given, want in (("64m", common.TRAVEL_BYTES), ("1g", common.TRAVEL_BYTES), ("-1", common.TRAVEL_BYTES), ("2m", "2m"), ("4096", "4096"), ("67108864b", common.TRAVEL_BYTES)):
+        spark.conf.set(name, given)
+        assert spark.conf.get(common.session(spark) and name) == str(want)
+    spark.conf.set(name, before)
+
+
 def test_memo_survives_being_full():
     memo = bpe.Memo(VOCABULARY, len, limit=5)
     for t in ("a b c d e f g h", "a zz b", "one two three four five six seven"):
