@@ -13,14 +13,15 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabassay.llm import mixing, packing, secrets, simhash, toxicity
-from tabassay.llm.common import checkpointed, table
+from tabassay.llm.common import checkpointed, session, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, table(session(spark), sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    session(spark)
     return simhash.keep_one(docs)
 
 
@@ -36,6 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    session(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 
