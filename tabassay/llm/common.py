@@ -28,9 +28,9 @@ def session(spark: SparkSession) -> SparkSession:
     Queries and the pipeline, as applications, set this one value once; operators work under any and set nothing.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    number, unit = re.match(r"(-?\d+)\s*([kmgt]?)", spark.conf.get(name).lower()).groups()
+    number, unit = re.match(r"(\d+)\s*([kmgt]?)", spark.conf.get(name).lower()).groups()
     size = int(number) << 10 * " kmgt".index(unit or " ")
-    if not 0 < size <= TRAVEL_BYTES:
+    if size > TRAVEL_BYTES:
         spark.conf.set(name, str(TRAVEL_BYTES))
     return spark
 
