@@ -1,13 +1,14 @@
 """Generators that learn dependence: Gaussian copula, tree network, per-column trees, oversampling.
 
-Copula, network and oversampling learn from a bounded, hash-ordered sample, whose size is a parameter, and draw
-rows in parallel; per-column trees learn from all rows.
+Copula, network and per-column trees learn from aggregates over all rows. Oversampling interpolates between rows, for
+which it keeps a bounded, hash-ordered sample, whose size is a parameter. All draw rows in parallel.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
@@ -22,34 +23,22 @@ from tabassay.errors import PreparationError
 from tabassay.generators.base import Generator
 from tabassay.generators.simple import Bootstrap
 from tabassay.operators.caster import CastTable, quoted
-from tabassay.operators.frames import row_sample
+from tabassay.operators.frames import cuts_below, row_sample
 from tabassay.plans.registry import GENERATORS
 from tabassay.plans.storage import checkpointed
 
-SAMPLE = 20_000
+#: Donors that oversampling keeps.
+SAMPLE = 5000
+#: Steps of the quantile function that the copula keeps of a numeric column, and how exactly they are found.
+STEPS, ACCURACY = 1000, 100_000
 BINS = 5
 NEIGHBOURS = 5
 NORMAL = NormalDist()
 _erf = np.vectorize(math.erf, otypes=[float])
 
 
-class Sampled(Generator):
-    """Learns from ``sample`` rows on the driver; rows are drawn by seeded tasks."""
-
-    def __init__(self, seed: int = 42, sample: int = SAMPLE):
-        super().__init__(seed)
-        self.sample = sample
-
-    def fit(self, real: CastTable) -> Generator:
-        super().fit(real)
-        rows = row_sample(real.frame.select(*map(quoted, real.columns)), self.sample, self.seed).toPandas()
-        if rows.empty:
-            raise PreparationError("there is no row to learn from")
-        self.learn(rows)
-        return self
-
-    def learn(self, rows: pd.DataFrame) -> None:
-        raise NotImplementedError
+class Drawn(Generator):
+    """Rows are drawn by seeded tasks from what was learned."""
 
     def rows(self, n: int, rng: np.random.Generator) -> pd.DataFrame:
         raise NotImplementedError
@@ -70,64 +59,114 @@ class Sampled(Generator):
         return out
 
 
+def level_counts(real: CastTable) -> dict[str, dict[str, int]]:
+    """How often each string of each text column comes, over all rows, strings in order."""
+    if not real.categorical:
+        return {}
+    long = real.frame.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).alias("value")) for c in real.categorical])).alias("p"))
+    out: dict[str, dict[str, int]] = {c: {} for c in real.categorical}
+    for r in sorted(long.groupBy("p.column", "p.value").count().collect(), key=lambda r: r["value"]):
+        out[r["column"]][r["value"]] = r["count"]
+    return out
+
+
+def quantiles_of(real: CastTable, shares: Sequence[float]) -> dict[str, np.ndarray]:
+    """Quantiles of every numeric column over all rows, from one aggregate."""
+    if not real.numeric:
+        return {}
+    row = real.frame.agg(*[F.percentile_approx(quoted(c), list(shares), ACCURACY).alias(f"q{k}") for k, c in enumerate(real.numeric)]).first()
+    return {c: np.array(row[f"q{k}"], float) for k, c in enumerate(real.numeric)}
+
+
+def rows_of(real: CastTable) -> int:
+    n = real.frame.count()
+    if not n:
+        raise PreparationError("there is no row to learn from")
+    return n
+
+
 @GENERATORS.register("gaussian_copula")
-class GaussianCopula(Sampled):
-    """Normal scores of ranks, their correlation, and back through the empirical quantiles."""
+class GaussianCopula(Drawn):
+    """Normal scores of ranks, their correlation, and back through the empirical quantiles.
 
-    def learn(self, rows: pd.DataFrame) -> None:
-        scores, self.marks = [], {}
-        for c in self.real.columns:
-            v = rows[c]
-            if c in self.real.categorical:
-                shares = v.value_counts(normalize=True).sort_index()
-                ends = shares.cumsum()
-                middle = (ends - shares / 2).to_dict()
-                self.marks[c] = (shares.index.to_list(), ends.to_numpy())
-                u = v.map(middle).to_numpy(float)
-            else:
-                u = (v.rank(method="average").to_numpy() - 0.5) / len(v)
-                self.marks[c] = (None, np.sort(v.to_numpy(float)))
-            scores.append([NORMAL.inv_cdf(min(max(x, 1e-6), 1 - 1e-6)) for x in u])
-        z = np.array(scores)
-        z -= z.mean(axis=1, keepdims=True)
-        cov = z @ z.T / max(z.shape[1] - 1, 1)
+    A number's rank is its place among STEPS quantiles, between them by its value and in the middle of equal ones; a string's the middle of its share.
+    Scores are column expressions, and their covariances one aggregate over all rows.
+    """
+
+    def fit(self, real: CastTable) -> Generator:
+        super().fit(real)
+        n = rows_of(real)
+        score = lambda u: NORMAL.inv_cdf(min(max(u, 1e-6, 0.5 / n), 1 - max(1e-6, 0.5 / n)))
+        grid = np.linspace(0, 1, STEPS + 1)
+        quantiles, levels = quantiles_of(real, grid.tolist()), level_counts(real)
+        scores = F.array(*[F.lit(score(u)) for u in grid])
+        frame, self.marks = real.frame, {}
+        for k, c in enumerate(real.columns):
+            if c in levels:
+                shares = np.array(list(levels[c].values())) / n
+                ends = np.cumsum(shares)
+                self.marks[c] = (list(levels[c]), ends)
+                middle = [(v, score(e - p / 2)) for v, e, p in zip(levels[c], ends.tolist(), shares.tolist(), strict=True)]
+                places = frame.sparkSession.createDataFrame(middle, f"__v string, __z{k} double")
+                frame = frame.join(places, quoted(c) == F.col("__v")).drop("__v")
+                continue
+            self.marks[c] = (None, quantiles[c])
+            cuts, value = F.array(*[F.lit(float(q)) for q in quantiles[c]]), quoted(c)
+            frame = frame.withColumn("__low", cuts_below(cuts, value)).withColumn("__high", cuts_below(cuts, value, True))
+            left = F.get(cuts, F.col("__low") - 1)
+            between = F.when(F.col("__low") > 0, F.col("__low") - 1 + (value - left) / (F.get(cuts, F.col("__low")) - left)).otherwise(F.lit(0.0))
+            place = F.when(F.col("__high") > F.col("__low"), (F.col("__low") + F.col("__high") - 1) / 2).when(F.col("__low") > STEPS, F.lit(float(STEPS))).otherwise(between)
+            frame = frame.withColumn("__place", place).withColumn("__at", F.least(F.floor("__place"), F.lit(STEPS - 1)).cast("int"))
+            lower, upper = F.get(scores, F.col("__at")), F.get(scores, F.col("__at") + 1)
+            frame = frame.withColumn(f"__z{k}", lower + (upper - lower) * (F.col("__place") - F.col("__at"))).drop("__low", "__high", "__place", "__at")
+        size = len(real.columns)
+        row = frame.agg(*[F.covar_pop(f"__z{i}", f"__z{j}").alias(f"c{i}_{j}") for i in range(size) for j in range(i, size)]).first()
+        cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(size)] for i in range(size)])
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        self.root = np.linalg.cholesky(cov / np.outer(scale, scale) * (1 - 1e-6) + 2e-6 * np.eye(len(z)))
+        self.root = np.linalg.cholesky(cov / np.outer(scale, scale) * (1 - 1e-6) + 2e-6 * np.eye(size))
+        return self
 
     def rows(self, n: int, rng: np.random.Generator) -> pd.DataFrame:
         u = (1 + _erf(rng.standard_normal((n, len(self.root))) @ self.root.T / math.sqrt(2))) / 2
         out = {}
         for k, (c, (values, marks)) in enumerate(self.marks.items()):
             if values is None:
-                out[c] = np.interp(u[:, k], (np.arange(len(marks)) + 0.5) / len(marks), marks)
+                out[c] = np.interp(u[:, k], np.linspace(0, 1, len(marks)), marks)
             else:
                 out[c] = [values[i] for i in np.minimum(np.searchsorted(marks, u[:, k]), len(values) - 1)]
         return pd.DataFrame(out)
 
 
 @GENERATORS.register("bayesian_network")
-class TreeNetwork(Sampled):
-    """A tree of the strongest pairwise dependences (mutual information) over quantile bins, drawn from the root down."""
+class TreeNetwork(Drawn):
+    """A tree of the strongest pairwise dependences (mutual information) over quantile bins, drawn from the root down.
 
-    def learn(self, rows: pd.DataFrame) -> None:
-        names, self.values, codes = self.real.columns, {}, {}
-        for c in names:
-            if c in self.real.categorical:
-                codes[c], self.values[c] = pd.factorize(rows[c], sort=True)
-                self.values[c] = list(self.values[c])
-            else:
-                edges = np.unique(np.quantile(rows[c], np.linspace(0, 1, BINS + 1)))
-                edges = edges if len(edges) > 1 else np.array([edges[0], edges[0]])
-                codes[c] = np.clip(np.searchsorted(edges, rows[c], side="right") - 1, 0, max(len(edges) - 2, 0))
-                self.values[c] = edges
+    Bins and the tables of every two columns are counted over all rows; only tables reach the driver.
+    """
 
-        def joint(a: str, b: str) -> np.ndarray:
-            t = np.zeros((codes[a].max() + 1, codes[b].max() + 1))
-            np.add.at(t, (codes[a], codes[b]), 1)
-            return t
+    def fit(self, real: CastTable) -> Generator:
+        super().fit(real)
+        rows, names, codes = rows_of(real), real.columns, []
+        edges, levels = {c: np.unique(q) for c, q in quantiles_of(real, np.linspace(0, 1, BINS + 1).tolist()).items()}, level_counts(real)
+        self.values, place = {}, {}
+        for k, c in enumerate(names):
+            if c in levels:
+                self.values[c], place[c] = list(levels[c]), {v: n for n, v in enumerate(levels[c])}
+                codes.append(quoted(c).alias(f"k{k}"))
+                continue
+            own = edges[c] if len(edges[c]) > 1 else np.repeat(edges[c], 2)
+            self.values[c], place[c] = own, {str(n): n for n in range(len(own) - 1)}
+            codes.append(sum((F.when(quoted(c) >= float(e), 1).otherwise(0) for e in own[1:-1]), F.lit(0)).cast("string").alias(f"k{k}"))
+        numbers = list(combinations(range(len(names)), 2)) + [(k, k) for k in range(len(names))]
+        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"k{i}").alias("a"), F.col(f"k{j}").alias("b")) for i, j in numbers])).alias("p")
+        tables = {(names[i], names[j]): np.zeros((len(place[names[i]]), len(place[names[j]]))) for i, j in numbers}
+        for r in real.frame.select(*codes).select(pairs).groupBy("p.i", "p.j", "p.a", "p.b").count().collect():
+            a, b = names[r["i"]], names[r["j"]]
+            tables[a, b][place[a][r["a"]], place[b][r["b"]]] += r["count"]
+        joint = lambda a, b: tables[a, b] if (a, b) in tables else tables[b, a].T
 
         def information(a: str, b: str) -> float:
-            p = joint(a, b) / len(rows)
+            p = joint(a, b) / rows
             q = np.outer(p.sum(axis=1), p.sum(axis=0))
             return float((p[p > 0] * np.log(p[p > 0] / q[p > 0])).sum())
 
@@ -138,8 +177,9 @@ class TreeNetwork(Sampled):
             left.discard(child)
         self.tables = {}
         for c, parent in self.order:
-            t = joint(parent, c) if parent else np.bincount(codes[c])[None].astype(float)
+            t = joint(parent, c) if parent else np.diag(joint(c, c))[None].astype(float)
             self.tables[c] = np.cumsum((t + 1e-9) / (t + 1e-9).sum(axis=1, keepdims=True), axis=1)
+        return self
 
     def rows(self, n: int, rng: np.random.Generator) -> pd.DataFrame:
         codes, out = {}, {}
@@ -155,15 +195,23 @@ GENERATORS.register("bn")(TreeNetwork)
 
 
 @GENERATORS.register("smotenc")
-class Oversampling(Sampled):
+class Oversampling(Drawn):
     """Between a row and one of its nearest of the same class: numbers are interpolated, strings are what most neighbours have.
 
-    A numeric target is cut into quantile bins that serve as classes.
+    A numeric target is cut into quantile bins that serve as classes. At most ``sample`` rows, in the order of a hash, are donors.
     """
 
-    def __init__(self, seed: int = 42, sample: int = 5000, target: str | None = None):
-        super().__init__(seed, sample)
-        self.target = target
+    def __init__(self, seed: int = 42, sample: int = SAMPLE, target: str | None = None):
+        super().__init__(seed)
+        self.sample, self.target = sample, target
+
+    def fit(self, real: CastTable) -> Generator:
+        super().fit(real)
+        rows = row_sample(real.frame.select(*map(quoted, real.columns)), self.sample, self.seed).toPandas()
+        if rows.empty:
+            raise PreparationError("there is no row to learn from")
+        self.learn(rows)
+        return self
 
     def learn(self, rows: pd.DataFrame) -> None:
         self.table, self.numeric, self.categorical = rows.reset_index(drop=True), self.real.numeric, self.real.categorical

@@ -23,12 +23,12 @@ def ranges_of(frame: DataFrame) -> int:
     return max(RANGES, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
 
 
-def cuts_below(cuts: Column, value: Column) -> Column:
-    """How many of the ascending ``cuts`` are less than ``value``: a binary search, so many ranges cost little."""
+def cuts_below(cuts: Column, value: Column, inclusive: bool = False) -> Column:
+    """How many of the ascending ``cuts`` are less than ``value`` (or equal): a binary search, so many ranges cost little."""
 
     def step(s: Column, _: Column) -> Column:
         mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        less = F.get(cuts, mid) < value
+        less = F.get(cuts, mid) <= value if inclusive else F.get(cuts, mid) < value
         return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(less, mid + 1).otherwise(s["low"]).alias("low"), F.when(less, s["high"]).otherwise(mid).alias("high")))
 
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts) + 1.0)).cast("int"))
