@@ -13,7 +13,7 @@ from tabassay.functions.aggregate import run_statistics
 from tabassay.operators.caster import prepare, validate
 from tabassay.plans.benchmark import run_benchmark
 from tabassay.plans.calibrate import Bounds, BoundsCache, calibrate, calibrated_scores
-from tabassay.plans.evaluate import EvalPlan, RunSummary, evaluate_cast, roll_up
+from tabassay.plans.evaluate import EvalPlan, RunSummary, evaluate_cast, layers_of, roll_up
 from tabassay.schema import TableSchema
 from tabassay.sources.config import check, load_config, metrics_of
 from tabassay.sources.loaders import load, load_pair
@@ -21,10 +21,9 @@ from tabassay.sources.reports import write_reports
 
 
 def plan_of(config: Mapping) -> EvalPlan:
-    """Layers of aggregation may be given as one name for all above the metrics, or per layer."""
+    """Aggregators (``aggregation.method`` or ``aggregation.layers``) may have any shape that ``layers_of`` takes."""
     evaluation, aggregation, data = config.get("evaluation", {}), config.get("aggregation", {}), config["data"]
-    method = aggregation.get("method", aggregation.get("layers", {}))
-    layers = ("median", method) if isinstance(method, str) else (method.get("layers_1_2", "median"), method.get("layers_3_4", "ssd"))
+    layers = layers_of(aggregation.get("method", aggregation.get("layers")))
     target = data.get("target")
     return EvalPlan(
         metrics_of(config),

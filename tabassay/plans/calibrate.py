@@ -128,7 +128,7 @@ def calibrate(real: CastTable, plan: EvalPlan, iterations: int = 5, sample: floa
         upper, lower = ([d[family] for d in by_family[side] if family in d] for side in ("upper", "lower"))
         if not upper or not lower:
             continue
-        out.aggregators[family] = tuned(upper, lower)[0] if tune else plan.layers[1]
+        out.aggregators[family] = tuned(upper, lower)[0] if tune else plan.layers.high
         name = out.aggregators[family]
         out.families[family] = bounds_of([aggregate(name, v) for v in upper], [aggregate(name, v) for v in lower], family)
     if tune and out.families:
@@ -173,5 +173,5 @@ def calibrated_scores(results, bounds: Bounds, plan: EvalPlan) -> dict:
     for r in results:
         if r.valid:
             values.setdefault(r.family, []).append(r.value)
-    families = {f: aggregate(bounds.aggregators.get(f, plan.layers[1]), v) for f, v in values.items()}
+    families = {f: aggregate(bounds.aggregators.get(f, plan.layers.high), v) for f, v in values.items()}
     return roll_up(results, plan.layers, plan.aversion) | {"calibrated": bounds.calibrated(families)}

@@ -10,6 +10,7 @@ import logging
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -39,9 +40,36 @@ class MetricResult:
         return math.isfinite(self.value)
 
 
+class Layers(NamedTuple):
+    """Aggregators: of subcategories and categories, of families (some may have their own), and of the composite if another."""
+
+    low: str = "median"
+    high: str = "ssd"
+    families: Mapping[str, str] = {}  # noqa: RUF012  read only
+    composite: str | None = None
+
+
+def layers_of(given: str | Mapping | Sequence[str] | None) -> Layers:
+    """From a name for all above the metrics, a pair, or a mapping in one of four shapes.
+
+    ``layers_1_2`` and ``layers_3_4``; families with ``level_2`` (the fidelity one counts below families) and a
+    ``composite`` that also serves families; a name per family and a ``composite``; a ``composite`` alone.
+    """
+    if not isinstance(given, Mapping):
+        return Layers() if not given else Layers(high=given) if isinstance(given, str) else Layers(*given)
+    of_family = {f: given[f] for f in ("fidelity", "privacy", "utility") if f in given}
+    if isinstance(of_family.get("fidelity"), Mapping):
+        return Layers(of_family["fidelity"].get("level_2", "mean"), given.get("composite", "ssd"))
+    if given.keys() & {"layers_1_2", "layers_3_4"}:
+        return Layers(given.get("layers_1_2", Layers().low), given.get("layers_3_4", Layers().high))
+    if of_family and all(isinstance(n, str) for n in of_family.values()):
+        return Layers(families=of_family, composite=given.get("composite", "ssd"))
+    return Layers(composite=given.get("composite"))
+
+
 @dataclass
 class EvalPlan:
-    """What to compute. ``layers``: aggregators of subcategories and categories, then of families and the composite."""
+    """What to compute. ``layers``: what ``layers_of`` takes."""
 
     metrics: list[str]
     target: str | None = None
@@ -50,12 +78,13 @@ class EvalPlan:
     quasi: list[str] | None = None
     epsilon: float = 1.0
     aversion: float = AVERSION
-    layers: tuple[str, str] = ("median", "ssd")
+    layers: Layers | tuple[str, str] = Layers()
     max_rows: int | None = None
     trials: int = 1
 
     def __post_init__(self):
         self.metrics = expand(self.metrics)
+        self.layers = self.layers if isinstance(self.layers, Layers) else layers_of(self.layers)
         if self.aversion <= 0:
             raise ConfigError("risk_aversion must be above 0")
 
@@ -216,12 +245,13 @@ def evaluate_cast(real: CastTable, synth: CastTable, plan: EvalPlan) -> list[Met
     return [found[i] for i in plan.metrics]
 
 
-def roll_up(results: Sequence[MetricResult], layers: tuple[str, str] = ("median", "ssd"), aversion: float = AVERSION) -> dict:
+def roll_up(results: Sequence[MetricResult], layers: Layers | tuple[str, str] = Layers(), aversion: float = AVERSION) -> dict:  # noqa: B008  read only
     """Families, composite, hierarchy and counts.
 
-    Subcategories and categories take the first aggregator over their metrics, families the second over theirs, the
-    composite the second over families.
+    Subcategories and categories take the low aggregator over their metrics, families their own or the high one over theirs, the
+    composite its own or the high one over families.
     """
+    layers = Layers(*layers)
     own = lambda name, v: certainty_equivalent(finite(v), aversion) if name == "ssd" and len(finite(v)) else aggregate(name, v)
     valid = {r.id: r.value for r in results if r.valid}
     tree: dict = {}
@@ -230,12 +260,12 @@ def roll_up(results: Sequence[MetricResult], layers: tuple[str, str] = ("median"
         for category, subs in categories.items():
             values = [valid[m] for ms in subs.values() for m in ms]
             leaves += values
-            cats[category] = {"score": own(layers[0], values), "count": len(values), "subcategories": {s: {"score": own(layers[0], [valid[m] for m in ms]), "count": len(ms), "metrics": ms} for s, ms in subs.items()}}
-        tree[family] = {"score": own(layers[1], leaves), "count": len(leaves), "categories": cats}
+            cats[category] = {"score": own(layers.low, values), "count": len(values), "subcategories": {s: {"score": own(layers.low, [valid[m] for m in ms]), "count": len(ms), "metrics": ms} for s, ms in subs.items()}}
+        tree[family] = {"score": own(layers.families.get(family, layers.high), leaves), "count": len(leaves), "categories": cats}
     families = {f: t["score"] for f, t in tree.items()}
     return {
         "families": families,
-        "composite": own(layers[1], families.values()) if families else math.nan,
+        "composite": own(layers.composite or layers.high, families.values()) if families else math.nan,
         "hypervolume": hypervolume(families.values()),
         "hierarchy": tree,
         "counts": {"total": len(results), "valid": len(valid), "failed": [r.id for r in results if not r.valid]},
@@ -291,7 +321,7 @@ def hierarchy_frame(results: DataFrame, layers: tuple[str, str] = ("median", "ss
     at = [F.create_map(*[F.lit(x) for m, p in PLACES.items() for x in (m, p[k])]) for k in range(3)]
     value = F.when(F.abs("value") < float("inf"), F.col("value"))
     placed = results.select(*[F.coalesce(a[F.col("id")], F.lit("other")).alias(n) for a, n in zip(at, ("family", "category", "subcategory"), strict=True)], value.alias("value")).filter("value is not null")
-    first, second = (aggregate_column(name, F.col("value")) for name in layers)
+    first, second = (aggregate_column(name, F.col("value")) for name in layers[:2])
     rolled = placed.rollup("family", "category", "subcategory").agg(first.alias("__first"), second.alias("__second"), F.count("*").alias("count"), F.grouping("category").alias("__whole"))
     score = F.when(F.col("__whole") == 1, F.col("__second")).otherwise(F.col("__first"))
     return rolled.filter("family is not null").select("family", "category", "subcategory", score.alias("score"), "count")

@@ -254,3 +254,32 @@ def test_a_missing_package_is_not_taken_for_a_missing_subpackage(tmp_path):
     assert alone.returncode == 0 and int(alone.stdout) > 50
     (tmp_path / "corpus_pipeline.py").write_text("import a_package_that_is_not_there\n")
     assert run().returncode != 0
+
+
+@pytest.mark.parametrize(
+    "given,low,high,privacy,composite",
+    [
+        (None, "median", "ssd", "ssd", "ssd"),
+        ("mean", "median", "mean", "mean", "mean"),
+        ({"layers_1_2": "max", "layers_3_4": "min"}, "max", "min", "min", "min"),
+        ({"fidelity": {"level_1": "min", "level_2": "max", "level_3": "ssd"}, "privacy": {}, "composite": "mean"}, "max", "mean", "mean", "mean"),
+        ({"fidelity": "mean", "privacy": "max", "composite": "min"}, "median", "ssd", "max", "min"),
+        ({"composite": "max"}, "median", "ssd", "ssd", "max"),
+    ],
+)
+def test_shapes_of_aggregators(given, low, high, privacy, composite):
+    config = {"data": {"real": "-", "synthetic": "-"}, "metrics": ["fidelity.ks"], "aggregation": {} if given is None else {"layers": given}}
+    layers = api.plan_of(config).layers
+    assert (layers.low, layers.high, layers.families.get("privacy", layers.high), layers.composite or layers.high) == (low, high, privacy, composite)
+    results = [MetricResult("privacy.dcr", 0.2, "privacy"), MetricResult("privacy.nnaa", 0.6, "privacy"), MetricResult("fidelity.ks", 0.9, "fidelity")]
+    from tabassay.functions.aggregate import aggregate
+
+    scores = roll_up(results, layers)
+    assert scores["families"]["privacy"] == pytest.approx(aggregate(privacy, [0.2, 0.6]))
+    assert scores["composite"] == pytest.approx(aggregate(composite, scores["families"].values()))
+
+
+def test_settings_are_drawn_by_the_seed():
+    a = learning.settings(40, 3)
+    assert a == learning.settings(40, 3) and a[0] == learning.Setting() and a[:5] == learning.settings(5, 3) and a != learning.settings(40, 4)
+    assert all(3 <= s.depth <= 10 and 1e-5 <= s.rate <= 1 and 0.5 <= s.share <= 1 for s in a)
