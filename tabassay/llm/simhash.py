@@ -173,12 +173,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, *, key: str, text: str, radius: int) -> DataFrame:
-    """``key, same, fp, root`` per row: a hash of its text, its fingerprint and the smallest fingerprint reachable."""
+    """``key, same, fp, best`` per row: a hash of its text, its fingerprint, and the first row of its component.
+
+    First is the smallest key, null ones last, then the least hash of a text. Rows are reduced to one of each
+    fingerprint, and these to one of each component, before anything is joined back, so a large group costs no task its size.
+    """
     prints = checkpointed(fingerprints(docs, key=key, text=text))
-    distinct = checkpointed(prints.select("fp").distinct())
+    row = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("same").alias("same"))
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min(row).alias("first")))
     stars = components(links(distinct, radius))
-    roots = distinct.join(stars, distinct["fp"] == stars["a"], "left").select("fp", F.coalesce("b", "fp").alias("root"))
-    return prints.join(roots, "fp").select("key", "same", "fp", "root")
+    rooted = distinct.join(stars, distinct["fp"] == stars["a"], "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    return prints.join(rooted.join(best, "root").select("fp", "best"), "fp").select("key", "same", "fp", "best")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -188,13 +194,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows keep their row each; null keys are passed over as smallest keys, and a component of only null
     keys has a null one. Empty tables give no rows; other columns of ``docs`` are not read.
     """
-    prints = checkpointed(fingerprints(docs, key=key, text=text).select("key", "fp"))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("key").alias("least")))
-    stars = components(links(distinct, radius))
-    rooted = distinct.join(stars, distinct["fp"] == stars["a"], "left").select("fp", "least", F.coalesce("b", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = grouped(docs, key=key, text=text, radius=radius)
+    return found.select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best.key").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -203,10 +204,8 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius
     Rows are told apart by key and text, so a key that stands on several texts loses only those that go, and a
     row that comes several times stays once. All columns are kept.
     """
-    found = checkpointed(grouped(docs, key=key, text=text, radius=radius))
-    row = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("same").alias("same"))
-    best = found.groupBy("root").agg(F.min(row).alias("best"))
-    marked = found.join(best, "root").withColumn("wins", F.col("key").eqNullSafe(F.col("best.key")) & (F.col("same") == F.col("best.same")))
+    found = grouped(docs, key=key, text=text, radius=radius)
+    marked = found.withColumn("wins", F.col("key").eqNullSafe(F.col("best.key")) & (F.col("same") == F.col("best.same")))
     each = checkpointed(marked.groupBy(F.col("key").alias("__key"), F.col("same").alias("__same"), "wins").count())
     losers = small_side(each.filter(~F.col("wins")).select("__key", "__same"))
     repeated = small_side(each.filter(F.col("wins") & (F.col("count") > 1)).select("__key", "__same"), none=True)
