@@ -16,6 +16,7 @@ from tabassay.operators.caster import quoted
 RANGES = 64
 COPIES = 10_000
 BUCKETS = 1 << 16
+MANY = 500
 
 
 def ranges_of(frame: DataFrame) -> int:
@@ -24,15 +25,18 @@ def ranges_of(frame: DataFrame) -> int:
 
 
 def cuts_below(cuts: Column, value: Column, inclusive: bool = False) -> Column:
-    """How many of the ascending ``cuts`` are less than ``value`` (or equal): a binary search, so many ranges cost little."""
+    """How many of the ascending ``cuts`` are less than ``value`` (or equal): counted, or with many cuts, where that is quicker, by a binary search."""
+
+    lower = lambda c: c <= value if inclusive else c < value
 
     def step(s: Column, _: Column) -> Column:
         mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        less = F.get(cuts, mid) <= value if inclusive else F.get(cuts, mid) < value
+        less = lower(F.get(cuts, mid))
         return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(less, mid + 1).otherwise(s["low"]).alias("low"), F.when(less, s["high"]).otherwise(mid).alias("high")))
 
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts) + 1.0)).cast("int"))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high")), step, lambda s: s["low"])
+    searched = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high")), step, lambda s: s["low"])
+    return F.when(F.size(cuts) <= MANY, F.size(F.filter(cuts, lower))).otherwise(searched)
 
 
 def stacked(real: DataFrame, synth: DataFrame, columns: Sequence[str]) -> DataFrame:

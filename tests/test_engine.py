@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabassay.errors import ConfigError, PreparationError, SchemaError
-from tabassay.operators import caster, knn, marginal, pairs, privacy, whole
+from tabassay.operators import caster, frames, knn, marginal, pairs, privacy, whole
 from tabassay.operators.caster import CastTable, prepare, validate
 from tabassay.operators.frames import at_rank, cumulative, cuts_below, long_numbers, lowest, value_counts
 from tabassay.plans.evaluate import EvalPlan, evaluate, marginal_report, redacted_counts, univariate
@@ -214,10 +214,13 @@ def test_least_rows_without_one_task(spark):
     assert lowest(marked.limit(0), ["id"], 10).count() == 0
 
 
-def test_cuts_by_binary_search(spark):
+@pytest.mark.parametrize("many", [0, 500])
+def test_cuts_by_counting_and_by_binary_search(spark, many, monkeypatch):
+    monkeypatch.setattr(frames, "MANY", many)
     cuts = [-2.0, 0.0, 0.0, 1.5, 9.0]
     rows = spark.createDataFrame([(v, cuts) for v in (-3.0, -2.0, 0.0, 0.1, 9.0, 10.0)], "v double, cuts array<double>")
     assert [r[0] for r in rows.select(cuts_below(F.col("cuts"), F.col("v"))).collect()] == [sum(c < v for c in cuts) for v in (-3.0, -2.0, 0.0, 0.1, 9.0, 10.0)]
+    assert [r[0] for r in rows.select(cuts_below(F.col("cuts"), F.col("v"), True)).collect()] == [sum(c <= v for c in cuts) for v in (-3.0, -2.0, 0.0, 0.1, 9.0, 10.0)]
     assert rows.limit(1).select(cuts_below(F.array().cast("array<double>"), F.col("v"))).first()[0] == 0
 
 
