@@ -224,13 +224,13 @@ def kde_ise(counts: DataFrame) -> DataFrame:
 def numeric_metrics(real: DataFrame, synth: DataFrame, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
     """``metric, column, raw`` for the numeric metrics asked for.
 
-    Where several groups are wanted, the cumulative counts they all use are written once to the checkpoint
+    Where several groups are wanted, or one that uses them twice, the cumulative counts they all use are written once to the checkpoint
     folder, so the tables are scanned for them once and not for every group.
     """
     long = long_numbers(real, synth, columns)
     counts = value_counts(long)
     cum = cumulative(counts)
-    if len({g for g in GROUPS if set(g) & set(names)}) > 1:
+    if len({g for g in GROUPS if set(g) & set(names)}) > 1 or {"delta_mad", "delta_exceedance"} & set(names):
         cum = checkpointed(cum)
         counts = cum.select("column", "value", "nr", "ns")
     made = {}

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabassay.operators import knn
 from tabassay.operators.caster import complete, quoted
 from tabassay.operators.frames import cumulative, flag, row_sample, stacked
+from tabassay.plans.storage import checkpointed
 
 LEAST_ROWS = 10
 MI_BINS = 10
@@ -179,13 +180,16 @@ def point_biserial(real: DataFrame, synth: DataFrame, numeric: Sequence[str], ca
 
 
 def kruskal_epsilon(real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """Tie-corrected Kruskal-Wallis H over groups of more than one row, divided by all rows less one."""
-    cells = grouped(real, synth, numeric, categorical).groupBy("c1", "c2", "group", "value").agg(F.sum(flag()).alias("nr"), F.sum(1 - flag()).alias("ns"))
+    """Tie-corrected Kruskal-Wallis H over groups of more than one row, divided by all rows less one.
+
+    Counts by group and by value are used several times and are written to the checkpoint folder.
+    """
+    cells = checkpointed(grouped(real, synth, numeric, categorical).groupBy("c1", "c2", "group", "value").agg(F.sum(flag()).alias("nr"), F.sum(1 - flag()).alias("ns")))
     sizes = cells.groupBy("c1", "c2", "group").agg(F.sum("nr").alias("gr"), F.sum("ns").alias("gs"))
     alls = sizes.groupBy("c1", "c2").agg(F.sum("gr").alias("ar"), F.sum("gs").alias("as_"))
     kept = cells.join(sizes, ["c1", "c2", "group"]).select("c1", "c2", "group", "value", F.when(F.col("gr") > 1, F.col("nr")).otherwise(0).alias("nr"), F.when(F.col("gs") > 1, F.col("ns")).otherwise(0).alias("ns"))
-    by_value = kept.groupBy("c1", "c2", "value").agg(F.sum("nr").alias("nr"), F.sum("ns").alias("ns"))
-    cum = cumulative(by_value, ("c1", "c2"))
+    by_value = checkpointed(kept.groupBy("c1", "c2", "value").agg(F.sum("nr").alias("nr"), F.sum("ns").alias("ns")))
+    cum = checkpointed(cumulative(by_value, ("c1", "c2")))
     ranks = cum.select("c1", "c2", "value", *[(F.col(f"c{s}") - (F.col(f"n{s}") - 1) / 2).alias(f"rank_{s}") for s in "rs"])
     ties = cum.groupBy("c1", "c2").agg(*[F.sum(F.pow(F.col(f"n{s}").cast("double"), 3.0) - F.col(f"n{s}")).alias(f"tie_{s}") for s in "rs"], F.max("tr").alias("tr"), F.max("ts").alias("ts"))
     sums = kept.join(ranks, ["c1", "c2", "value"]).groupBy("c1", "c2", "group").agg(*[x for s in "rs" for x in (F.sum(F.col(f"n{s}") * F.col(f"rank_{s}")).alias(f"w{s}"), F.sum(f"n{s}").alias(f"k{s}"))])

@@ -14,6 +14,7 @@ from tabassay.operators.caster import complete, quoted
 from tabassay.operators.frames import cumulative, long_numbers, stacked, value_counts
 from tabassay.operators.marginal import BINS, TINY, binned, quartiles
 from tabassay.operators.pairs import sampled
+from tabassay.plans.storage import checkpointed
 
 SAMPLE, HEURISTIC = 2000, 500
 # Weights of the combined scores.
@@ -141,8 +142,8 @@ def energy_distance(real: DataFrame, synth: DataFrame, columns: Sequence[str], a
 
 
 def outlier_parts(real: DataFrame, synth: DataFrame, columns: Sequence[str], method: str = "iqr", factor: float = 1.5, z: float = 3.0) -> DataFrame:
-    """``column, range_coverage, outlier_overlap, density_coverage`` from counts of values; nothing but counts is shuffled."""
-    counts = value_counts(long_numbers(real, synth, columns))
+    """``column, range_coverage, outlier_overlap, density_coverage`` from counts of values, written down once; nothing but counts is shuffled."""
+    counts = checkpointed(value_counts(long_numbers(real, synth, columns)))
     if method == "iqr":
         q = quartiles(cumulative(counts))
         fences = q.select("column", *[x for s in "rs" for x in ((F.col(f"{s}q1") - factor * (F.col(f"{s}q3") - F.col(f"{s}q1"))).alias(f"lo_{s}"), (F.col(f"{s}q3") + factor * (F.col(f"{s}q3") - F.col(f"{s}q1"))).alias(f"hi_{s}"))])
