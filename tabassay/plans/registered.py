@@ -6,6 +6,7 @@ Real and synthetic halves of a table are the even and odd keys; the synthetic ha
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,8 +22,11 @@ from tabassay.plans.benchmark import score_table
 from tabassay.plans.calibrate import bounds_of, place
 from tabassay.plans.evaluate import marginal_report, redacted_counts, univariate
 from tabassay.plans.registry import GENERATORS
+from tabassay.plans.storage import shared_folder
 from tabassay.plans.taxonomy import PLACES
 from tabassay.schema import TableSchema
+from tabassay.sources import loaders
+from tabassay.streaming.drift import monitor
 
 RULE_NAMES = (BOUNDED, UNBOUNDED, SIMILARITY, DELTA, INFORMATION, CLOSEST, LOSS)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -374,10 +378,11 @@ def benchmark_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_halves(spark: SparkSession, sf_dir: str) -> tuple[CastTable, CastTable]:
-    """Customers with a learnable target, for queries that train models."""
+    """Customers with a target that is learnable but for a fifth of them, for queries that train models."""
     r, s = customer_halves(spark, sf_dir)
+    by_chance = F.when(F.pmod(F.xxhash64("c_custkey"), F.lit(5)) == 0, F.pmod(F.xxhash64("c_custkey", F.lit(1)), F.lit(2)) == 0)
     schema = TableSchema.of({"c_acctbal": "continuous", "c_nationkey": "continuous", "c_load": "continuous", "c_mktsegment": "categorical", "c_large": "categorical"})
-    large = lambda t: t.withColumn("c_large", F.when(F.col("c_acctbal") > 4500, "y").otherwise("n")).drop("c_custkey")
+    large = lambda t: t.withColumn("c_large", F.when(F.coalesce(by_chance, F.col("c_acctbal") > 4500), "y").otherwise("n")).drop("c_custkey")
     return prepare(large(r), large(s), schema)
 
 
@@ -468,12 +473,52 @@ def differential_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "n_nationkey int, score double"))
 
 
+def cleaned_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as CSV with spellings of null, blanks around texts, a column and rows of nulls, and read back."""
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.concat(F.lit("  "), F.col("c_name"), F.lit(" ")).alias("c_name"),
+        F.when(F.col("c_nationkey") < 5, F.lit(" N/A ")).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"),
+        F.when(F.col("c_custkey") % 7 == 0, F.lit("nan")).otherwise(F.col("c_acctbal").cast("string")).alias("c_acctbal"),
+        F.lit("null").alias("c_nothing"),
+    )
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.csv"
+    loaders.save_csv(rows.unionByName(rows.limit(3).select(*[F.lit(None).cast(t).alias(n) for n, t in rows.dtypes])), path)
+    return rounded(loaders.load(spark, path))
+
+
+def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers as a stream of one batch, scored against the half with even keys."""
+    wanted = ["c_acctbal", "c_nationkey"]
+    every = table(spark, sf_dir, "customer")
+    stream = spark.readStream.schema(every.schema).option("pathGlobFilter", "customer.parquet").parquet(sf_dir).select(*[F.col(c).cast("double") for c in wanted])
+    found: list[tuple] = []
+    baseline = customer_halves(spark, sf_dir)[0]
+    monitor(stream, baseline, lambda scores, number: found.extend((r["metric"], r["column"], r["raw"], number) for r in scores.collect()), wanted, metrics=("ks", "wasserstein"), checkpoint=f"{shared_folder(spark)}/{uuid.uuid4().hex}").awaitTermination()
+    return rounded(spark.createDataFrame(found, 'metric string, column string, raw double, batch int'))
+
+
+def generator_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of generators with a fixed number of rows: how many they gave, and whether every value lies in what the real table holds."""
+    real, _ = small_halves(spark, sf_dir)
+    levels = {c: real.frame.select(c).distinct() for c in real.categorical}
+    ends = real.frame.agg(*[f(c).alias(f"{n}{k}") for k, c in enumerate(real.numeric) for n, f in (("low", F.min), ("high", F.max))]).first()
+    out = []
+    for name in ("uniform_noise", "smotenc", "gaussian_copula", "bayesian_network"):
+        made = GENERATORS[name](seed=3, **({"target": "c_large"} if name == "smotenc" else {})).fit_generate(real).frame
+        inside = [F.coalesce(F.min(F.col(c).between(ends[f"low{k}"] - 1e-9, ends[f"high{k}"] + 1e-9)), F.lit(False)) for k, c in enumerate(real.numeric)]
+        row = made.agg(F.count("*").alias("n"), *[x.alias(f"i{k}") for k, x in enumerate(inside)]).first()
+        known = all(made.join(seen, c, "left_anti").isEmpty() for c, seen in levels.items())
+        out.append((name, row["n"], all(row[f"i{k}"] for k in range(len(real.numeric))), known))
+    return spark.createDataFrame(out, "generator string, n bigint, inside boolean, known boolean")
+
+
 ORDER_LEVELS = ["1-urgent", "2-high", "3-medium", "4-not specified", "5-low"]
 _TVD = COVERAGE_SQL["tvd"].replace("round(0.5 * sum(abs(p - q)), 6) AS raw", "1 - 0.5 * sum(abs(p - q)) AS v")
 _NOISE = ["uniform_noise", "bootstrap", "delete_zero", "delete_mean", "smotenc", "gaussian_copula", "bayesian_network", "cart", "real_data"]
 
 QUERIES: dict[str, Query] = {
-    **{f.__name__: f for f in (marginal_scores, normalized_columns, aggregated_columns, univariate_statistics, cast_table, frequent_texts, redacted_values, generator_ranks, benchmark_scores, privacy_mia, privacy_inference_attack, utility_ml_efficiency, calibration_noise, normalization_rules, percentile_normalized, rank_tests, run_summaries, calibrated_bounds)},
+    **{f.__name__: f for f in (marginal_scores, normalized_columns, aggregated_columns, univariate_statistics, cast_table, frequent_texts, redacted_values, generator_ranks, benchmark_scores, privacy_mia, privacy_inference_attack, utility_ml_efficiency, calibration_noise, normalization_rules, percentile_normalized, rank_tests, run_summaries, calibrated_bounds, cleaned_csv, stream_drift, generator_ranges)},
     **{f"generator_{n}": generator_query(n) for n in _NOISE},
     **{f"fidelity_{n}": numeric_query(n) for n in NUMERIC_SQL},
     **{f"fidelity_{n}": coverage_query(n) for n in COVERAGE_SQL},
@@ -553,6 +598,12 @@ b AS (SELECT g, median(v) FILTER (own) < median(v) FILTER (NOT own) AS inverted,
 c AS (SELECT g, inverted, m, CASE WHEN inverted THEN hi ELSE ohi END AS low, CASE WHEN inverted THEN olo ELSE lo END AS high FROM b),
 d AS (SELECT *, CASE WHEN abs(high - low) > 1e-10 THEN least(1, greatest(0, (m - low) / (high - low))) WHEN m >= high THEN 1.0 ELSE 0.0 END AS x FROM c)
 SELECT g AS generator, round(low, 6) AS low, round(high, 6) AS high, inverted, round(CASE WHEN inverted THEN 1 - x ELSE x END, 6) AS placed FROM d""",
+    "cleaned_csv": "SELECT c_custkey, trim(c_name) AS c_name, CASE WHEN c_nationkey >= 5 THEN c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 7 <> 0 THEN round(c_acctbal, 6) END AS c_acctbal FROM customer",
+    "stream_drift": """WITH v AS (SELECT 'c_acctbal' AS col, CAST(c_acctbal AS DOUBLE) AS value, c_custkey % 2 = 0 AS even FROM customer UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS DOUBLE), c_custkey % 2 = 0 FROM customer),
+k AS (SELECT col, value, count(*) FILTER (even) AS nr, count(*) AS ns FROM v GROUP BY col, value),
+c AS (SELECT col, abs(sum(nr) OVER w / sum(nr) OVER (PARTITION BY col) - sum(ns) OVER w / sum(ns) OVER (PARTITION BY col)) AS d, lead(value) OVER w - value AS step FROM k WINDOW w AS (PARTITION BY col ORDER BY value))
+SELECT 'fidelity.ks' AS metric, col AS "column", round(max(d), 6) AS raw, 0 AS batch FROM c GROUP BY col UNION ALL SELECT 'fidelity.wasserstein', col, round(sum(d * coalesce(step, 0)), 6), 0 FROM c GROUP BY col""",
+    "generator_ranges": "SELECT g AS generator, count(*) AS n, TRUE AS inside, TRUE AS known FROM customer CROSS JOIN (SELECT unnest(['uniform_noise', 'smotenc', 'gaussian_copula', 'bayesian_network']) AS g) WHERE c_custkey % 2 = 0 GROUP BY g",
     "privacy_differential_privacy": "WITH e AS (SELECT n_nationkey, n_nationkey * 5.0 - 10 AS e, n_regionkey / 1000.0 AS d FROM nation) SELECT n_nationkey, round(least(1, greatest(0, CASE WHEN e <= 0 THEN 1.0 WHEN e >= 100 THEN 0.0 ELSE exp(-e / 2) END - least(0.2, 100 * d))), 6) AS score FROM e",
 }
 ORACLES: dict[str, str] = {
