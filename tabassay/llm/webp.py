@@ -110,7 +110,7 @@ class PrefixCode:
     """A lookup table over as many bits as the longest code has: the symbol, and its length above 32 bits."""
 
     def __init__(self, lengths: bytes | Sequence[int]):
-        codes = Codes(list(lengths))
+        codes = Codes(np.frombuffer(bytes(lengths), np.uint8))
         self.mask = (1 << codes.longest) - 1
         if not codes.longest:
             self.entries = codes.used[:1] if len(codes.used) else np.zeros(1, np.int64)
@@ -118,11 +118,14 @@ class PrefixCode:
             entries = np.repeat(codes.sorted | codes.n[codes.sorted] << 32, codes.width)
             self.entries = entries[reversed_order(codes.longest)]
         self.table = self.entries.tolist()
+        self.moved: dict[int, list[int]] = {}
 
     def shifted(self, shift: int) -> list[int]:
         """The table with every symbol moved to its place in a pixel; symbols beyond 255 are negative."""
-        symbol, length = self.entries & 0xFFFFFFFF, self.entries >> 32
-        return np.where(symbol < 256, symbol << shift | length << 32, -(symbol | length << 32)).tolist() if shift else self.table
+        if shift not in self.moved:
+            symbol, length = self.entries & 0xFFFFFFFF, self.entries >> 32
+            self.moved[shift] = np.where(symbol < 256, symbol << shift | length << 32, -self.entries).tolist()
+        return self.moved[shift]
 
 
 @lru_cache(4096)
@@ -140,6 +143,27 @@ def simple_codes(alphabet: int, *symbols: int) -> Codes:
     return Codes(simple_lengths(alphabet, *symbols))
 
 
+_SEVEN = reversed_order(7).tolist()
+
+
+def length_table(lengths: bytearray) -> tuple[list[int], int]:
+    """Table and mask of the small code that code lengths are written in, as ``PrefixCode`` lays them out."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) < 2:
+        return [used[0][1] if used else 0], 0
+    longest, at = used[-1][0], 0
+    size = 1 << longest
+    table = [0] * size
+    for n, s in used:
+        if at >= size:
+            break
+        table[_SEVEN[at << (7 - longest)] :: 1 << n] = [s | n << 32] * (size >> n)
+        at += size >> n
+    if at != size:
+        raise ValueError("prefix code is not complete")
+    return table, size - 1
+
+
 @lru_cache(64)
 def code_of(lengths: bytes) -> PrefixCode:
     """The table of a code; channels often share one."""
@@ -155,12 +179,14 @@ def read_code(r: Reader, alphabet: int) -> PrefixCode:
             raise ValueError("symbol beyond its alphabet")
         return simple_code(alphabet, *sorted(symbols))
     lengths = [0] * alphabet
-    own = [0] * 19
-    for k in range(4 + r.bits(4)):
-        own[LENGTH_ORDER[k]] = r.bits(3)
-    code = PrefixCode(own)
+    own, n = bytearray(19), 4 + r.bits(4)
+    w = r.word(r.at)  # 57 bits at least: all nineteen lengths
+    r.at += 3 * n
+    for k in LENGTH_ORDER[:n]:
+        own[k] = w & 7
+        w >>= 3
+    table, mask = length_table(own)
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else alphabet
-    table, mask = code.table, code.mask
     if (r.at >> 3) - r.first + 8 * alphabet // 4 > len(r.words):  # a symbol takes 14 bits at most
         r.layout(r.at)
     words, place, base = r.words, r.at - 8 * r.first, 8 * r.first
@@ -475,7 +501,7 @@ class Writer:
         return (low + high).astype(np.uint64).astype("<u4").tobytes()[: (total + 7) // 8]
 
 
-def code_lengths(counts: Sequence[int], longest: int = 11) -> np.ndarray:
+def code_lengths(counts: Sequence[int], longest: int = 10) -> np.ndarray:
     """Lengths of a complete prefix code: the logarithms of the shares rounded up, then shortened from the most frequent on."""
     counts = np.asarray(counts, np.float64)
     used = np.flatnonzero(counts)
