@@ -7,8 +7,11 @@ values on either side.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabassay.operators.frames import at_rank, cumulative, flag, long_numbers, long_texts, value_counts
@@ -190,11 +193,37 @@ def aligned_texts(counts: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(totals), "column").select("column", "nr", "ns", "tr", "ts", F.lit(None).cast("bigint").alias("empty"))
 
 
+def density_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of both sides' kernels on the grid, a row per column and point for each task.
+
+    Values are taken in ascending order, so a stretch of them reaches a few points only; points beyond nine widths get less
+    than 1e-17 of a value's density and are left out.
+    """
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        columns = batch.column(0).to_numpy(zero_copy_only=False)
+        value, nr, ns, start, step, hr, hs = (c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[1:])
+        for name in dict.fromkeys(columns):
+            own = np.flatnonzero(columns == name)
+            own = own[np.argsort(value[own], kind="stable")]
+            at, gap, widths = start[own[0]], step[own[0]], (hr[own[0]], hs[own[0]])
+            total, reach = sums.setdefault(name, np.zeros((2, GRID))), REACH * max(widths)
+            for part in np.array_split(own, -(-len(own) // 512)):
+                v = value[part]
+                first, last = max(math.ceil((v[0] - reach - at) / gap), 0), min(math.floor((v[-1] + reach - at) / gap), GRID - 1)
+                if first > last:
+                    continue
+                apart = at + np.arange(first, last + 1) * gap - v[:, None]
+                for side, n in enumerate((nr, ns)):
+                    total[side, first : last + 1] += n[part] @ np.exp(-0.5 * (apart / widths[side]) ** 2)
+    for name, total in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([name] * GRID), pa.array(range(GRID), pa.int32()), pa.array(total[0]), pa.array(total[1])], names=["column", "k", "fr", "fs"])
+
+
 def kde_ise(counts: DataFrame) -> DataFrame:
     """column, kde_ise: squared distance of Gaussian kernel densities (Scott's width) on a grid of 1000 points.
 
-    Values are first merged into counts, so the work is grid points times distinct values, spread over both; points
-    beyond nine widths get less than 1e-17 of a value's density and are left out.
+    Values are first merged into counts; every task adds its values up on the grid and gives one row per column and point.
     """
     w = lambda c: F.col(c).cast("double")
     var = lambda k, t: (F.sum(w(k) * F.col("value") ** 2) - F.sum(w(k) * F.col("value")) ** 2 / F.sum(w(k))) / (F.sum(w(k)) - 1)
@@ -205,17 +234,10 @@ def kde_ise(counts: DataFrame) -> DataFrame:
     margin = 0.1 * (F.col("high") - F.col("low"))
     span = span.withColumns({"hr": width(F.greatest("vr", F.lit(0.0)), F.col("tr")), "hs": width(F.greatest("vs", F.lit(0.0)), F.col("ts")), "from": F.col("low") - margin, "step": (F.col("high") - F.col("low") + 2 * margin) / (GRID - 1)})
     flat = (F.col("hr") < TINY) | (F.col("hs") < TINY)
-    reach = REACH * F.greatest("hr", "hs")
-    first = F.greatest(F.ceil((F.col("value") - reach - F.col("from")) / F.col("step")), F.lit(0)).cast("int")
-    last = F.least(F.floor((F.col("value") + reach - F.col("from")) / F.col("step")), F.lit(GRID - 1)).cast("int")
-    near = centred.join(F.broadcast(span.filter(~flat)), "column").withColumns({"first": first, "last": last}).filter("first <= last")
-    spread = near.withColumn("k", F.explode(F.sequence("first", "last")))
-    x = F.col("from") + F.col("k") * F.col("step")
-    bell = lambda h: F.exp(-0.5 * ((x - F.col("value")) / F.col(h)) ** 2)
-    points = spread.groupBy("column", "k").agg(
-        (F.sum(F.col("nr") * bell("hr")) / (F.max("tr") * F.max("hr"))).alias("fr"), (F.sum(F.col("ns") * bell("hs")) / (F.max("ts") * F.max("hs"))).alias("fs"), F.max("step").alias("step")
-    )
-    curved = points.groupBy("column").agg((F.sum((F.col("fr") - F.col("fs")) ** 2) * F.max("step") / (2 * F.lit(3.141592653589793))).alias("ise"))
+    near = centred.join(F.broadcast(span.filter(~flat)), "column").select("column", "value", "nr", "ns", "from", "step", "hr", "hs")
+    points = near.mapInArrow(density_batches, "column string, k int, fr double, fs double").groupBy("column", "k").agg(F.sum("fr").alias("fr"), F.sum("fs").alias("fs"))
+    scaled = points.join(F.broadcast(span), "column").withColumns({"fr": F.col("fr") / (F.col("tr") * F.col("hr")), "fs": F.col("fs") / (F.col("ts") * F.col("hs"))})
+    curved = scaled.groupBy("column").agg((F.sum((F.col("fr") - F.col("fs")) ** 2) * F.max("step") / (2 * F.lit(3.141592653589793))).alias("ise"))
     out = span.join(F.broadcast(curved), "column", "left")
     raw = F.when(flat, F.abs(F.col("mr") - F.col("ms"))).otherwise(F.col("ise"))
     return out.select("column", enough(raw, F.col("tr"), F.col("ts")).alias("kde_ise"))
