@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ START = HEAD + BANDS
 OUTPUTS = CLASSES + BANDS
 RATE, ROUNDS = 0.01, (8, 1)
 #: Counts of so many frequent words are broadcast; all others are joined.
-KNOWN = 200_000
+KNOWN = 400_000
 END = b""
 
 
@@ -50,6 +50,13 @@ def band_of(word: bytes) -> int:
     return (min(len(word), LENGTHS) - 1) * ENDINGS + word[-1] % ENDINGS if word else 0
 
 
+def bands_of(words: list[bytes]) -> np.ndarray:
+    """The bands of words that aren't empty."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    last = np.fromiter((w[-1] for w in words), np.int64, len(words))
+    return (np.minimum(lengths, LENGTHS) - 1) * ENDINGS + last % ENDINGS
+
+
 def band_column(word: str) -> Column:
     """The same of a column of words."""
     last = F.conv(F.hex(F.substring(F.col(word).cast("binary"), -1, 1)), 16, 10).cast("int") % ENDINGS
@@ -286,10 +293,10 @@ def encode_batches(batches: Iterator[pa.RecordBatch], lexicon, sums) -> Iterator
         ids[at], known[at] = words.seen_as[places], places >= 0
         logs[at], model[at] = np.where(places >= 0, words.log_count[places], 0.0), np.where(places >= 0, tail[places], 0.0)
         unknown = np.flatnonzero(places < 0)
-        far: list[Counter[bytes]] = [Counter() for _ in own]
-        ids[at[unknown]] = [HEAD + band_of(every[k]) for k in unknown.tolist()]
-        for k, doc in zip(unknown.tolist(), np.searchsorted(np.cumsum(n), unknown, side="right").tolist(), strict=True):
-            far[doc][every[k]] += 1
+        rare = list(map(every.__getitem__, unknown.tolist()))
+        ids[at[unknown]] = HEAD + bands_of(rare)
+        cuts = np.searchsorted(unknown, np.concatenate([[0], np.cumsum(n)])).tolist()
+        far = [Counter(rare[a:b]) if b > a else {} for a, b in pairwise(cuts)]
         data, ends = ids.tobytes(), (starts + n + 1).tolist()
         columns = [
             pa.array(range(row, row + len(own)), pa.int64()),

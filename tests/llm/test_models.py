@@ -159,6 +159,12 @@ def test_state_is_carried_and_rows_are_independent():
         assert all_at_once[k] == pytest.approx(total, rel=1e-4)
 
 
+def test_bands_of_words():
+    words = [b"a", b"Zz", "é".encode(), b"x" * 15, b"x" * 16, b"y" * 400, "日本".encode()]
+    assert rnn.bands_of(words).tolist() == [rnn.band_of(w) for w in words] and rnn.band_of(b"") == 0 and rnn.bands_of([]).tolist() == []
+    assert max(rnn.band_of(bytes([b]) * k) for b in range(1, 256) for k in range(1, 40)) == rnn.BANDS - 1
+
+
 def test_outputs_sum_to_one():
     w = (np.random.default_rng(2).standard_normal(rnn.SIZE)).astype(np.float64)
     h = np.random.default_rng(3).standard_normal((1, rnn.HIDDEN))
