@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabassay.operators.caster import quoted
 
-RANGES = 64
+RANGES = 16
 COPIES = 10_000
 BUCKETS = 1 << 16
 MANY = 500
