@@ -101,40 +101,6 @@ def row_sums(a: DataFrame, columns: Sequence[str], scale: tuple[np.ndarray, np.n
     return packed(a, columns, scale, "q").mapInArrow(sums, "total double").agg(F.sum("total")).first()[0] or 0.0
 
 
-def distance_sums(frame: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Of numbered rows: how many, and for columns a and b the means over all pairs of rows of a's distance and of both
-    distances' product, and the mean over rows of the product of the rows' mean distances.
-
-    Blocks meet blocks; a row's distances are added up by its id, so no row of all pairs is ever kept.
-    """
-    d = len(columns)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        products = np.zeros((d, d))
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                ids, x, y = np.frombuffer(row[0], np.int64), np.frombuffer(row[1]).reshape(-1, d), np.frombuffer(row[3]).reshape(-1, d)
-                near = np.empty((len(x), d))
-                for at in range(0, len(x), 256):
-                    apart = [np.abs(x[at : at + 256, k, None] - y[None, :, k]) for k in range(d)]
-                    near[at : at + 256] = np.column_stack([a.sum(axis=1) for a in apart])
-                    products += [[(a * b).sum() for b in apart] for a in apart]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.tolist(), pa.list_(pa.float64()))], names=["id", "sums"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([products.reshape(-1).tolist()], pa.list_(pa.float64()))], names=["id", "sums"])
-
-    scale = np.zeros(d), np.ones(d)
-    pairs = packed(frame, columns, scale, "q").crossJoin(packed(frame, columns, scale, "t"))
-    found = checkpointed(pairs.mapInArrow(sums, "id bigint, sums array<double>"))
-    add = lambda n: [F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(n)]
-    products = found.filter("id = -1").agg(*add(d * d)).first()
-    rows = found.filter("id >= 0").groupBy("id").agg(*add(d))
-    row = rows.agg(F.count("*").alias("n"), *[F.sum(f"s{k}").alias(f"t{k}") for k in range(d)], *[F.sum(F.col(f"s{j}") * F.col(f"s{k}")).alias(f"m{j}_{k}") for j in range(d) for k in range(d)]).first()
-    n = row["n"]
-    if not n:
-        return 0, np.zeros(d), np.zeros((d, d)), np.zeros((d, d))
-    return n, np.array([row[f"t{k}"] for k in range(d)]) / n**2, np.array(list(products)).reshape(d, d) / n**2, np.array([[row[f"m{j}_{k}"] for k in range(d)] for j in range(d)]) / n**3
-
-
 def numbered(frame: DataFrame, columns: Sequence[str], offset: int = 0, most: int | None = None, seed: int = 42) -> DataFrame:
     """Numeric columns with an ``id``; written down, since ids must not change between uses."""
     rows = frame.select(*[quoted(c) for c in columns])

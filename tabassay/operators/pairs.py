@@ -12,8 +12,8 @@ from itertools import combinations, product
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabassay.operators import knn
 from tabassay.operators.caster import complete, quoted
+from tabassay.operators.distances import distance_sums
 from tabassay.operators.frames import cumulative, flag, row_sample, stacked
 from tabassay.plans.storage import checkpointed
 
@@ -129,9 +129,9 @@ def dcor(real: DataFrame, synth: DataFrame, columns: Sequence[str], most: int |
 
 
 def all_distance_correlations(frame: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
-    """The V-statistics of every pair of columns from sums over all pairs of rows; null for a constant column or few rows."""
+    """The V-statistics of every pair of columns from exact sums over all pairs of rows; null for a constant column or few rows."""
     picks = complete(frame.select(*[quoted(c).cast("double").alias(c) for c in columns]))
-    n, mean, both, rows = knn.distance_sums(knn.numbered(picks, columns), columns)
+    n, mean, both, rows = distance_sums(picks, columns)
     covariance = both - 2 * rows + np.outer(mean, mean)
     out = {}
     for a, b in numeric_pairs(columns):
