@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabassay.operators import distances, pairs
+from tabassay.operators import distances, knn, pairs, privacy
 
 
 def odd_table(spark, seed, n, shift=0.0):
@@ -34,3 +34,36 @@ def test_distance_correlation_by_parts(spark):
     far = pairs.dcor(r.withColumn("a", F.lit(1e9)), s.withColumn("b", F.col("b") * 1e-9 + 1e6), ["a", "b", "c"], most=None).collect()
     assert [g["real_value"] is None for g in far] == [True, True, False]
     assert pairs.dcor(r.limit(0), s, ["a", "b"], most=None).first()["real_value"] is None
+
+
+def apart(x, y):
+    return np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+
+
+def test_neighbours_in_cells(spark, monkeypatch):
+    """Many cells and blocks: distances and the smallest of all tied ids, copies of a row among them, own ids left out."""
+    monkeypatch.setattr(knn, "CELL", 16)
+    (r, _), (s, _) = odd_table(spark, 1, 500), odd_table(spark, 2, 300, 0.5)
+    columns = ["a", "b", "c"]
+    hot = r.limit(1).crossJoin(spark.range(40)).drop("id")
+    far = spark.createDataFrame([(900.0, 0.0, 0.0), (float("nan"), 1.0, 1.0)], "a double, b double, c double")
+    t, q = knn.numbered(r.unionByName(hot).unionByName(far), columns), knn.numbered(s.unionByName(hot.limit(3)).unionByName(far), columns, 1 << 40)
+    scale = (np.zeros(3), np.ones(3))
+    for queries in (q, t):
+        x, y = (f.orderBy("id").toPandas() for f in (queries, t))
+        gaps = apart(x[columns].to_numpy(), y[columns].to_numpy())
+        gaps[(x["id"].to_numpy()[:, None] == y["id"].to_numpy()) | np.isnan(gaps)] = np.inf
+        want = {int(i): (float(g.min()), int(y["id"].iloc[int(g.argmin())])) for i, g in zip(x["id"], gaps, strict=True) if np.isfinite(g).any()}
+        got = {n["id"]: (n["distance"], n["neighbour"]) for n in knn.nearest(queries, t, columns, scale).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i][0] == pytest.approx(want[i][0]) and got[i][1] == want[i][1] for i in want)
+    assert knn.nearest(q, t.limit(0), columns, scale).count() == 0
+    assert "Cross" not in knn.nearest(q, t, columns, scale)._jdf.queryExecution().toString()
+
+
+def test_record_linkage_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL", 16)
+    (r, x), (s, y) = odd_table(spark, 3, 400), odd_table(spark, 4, 250, 0.5)
+    gaps = apart((y - x.mean(axis=0)) / x.std(axis=0), (x - x.mean(axis=0)) / x.std(axis=0)).min(axis=1)
+    got = privacy.record_linkage(r, s, ["a", "b", "c"], 0.2).first()
+    assert got["linkage_rate"] == pytest.approx((gaps <= 0.2).mean()) and got["mean_distance"] == pytest.approx(gaps.mean())
