@@ -67,3 +67,11 @@ def test_record_linkage_in_cells(spark, monkeypatch):
     gaps = apart((y - x.mean(axis=0)) / x.std(axis=0), (x - x.mean(axis=0)) / x.std(axis=0)).min(axis=1)
     got = privacy.record_linkage(r, s, ["a", "b", "c"], 0.2).first()
     assert got["linkage_rate"] == pytest.approx((gaps <= 0.2).mean()) and got["mean_distance"] == pytest.approx(gaps.mean())
+
+
+def test_closest_records_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL", 16)
+    (r, x), (s, y) = odd_table(spark, 3, 400), odd_table(spark, 4, 250, 0.5)
+    gaps = apart((y - x.mean(axis=0)) / x.std(axis=0), (x - x.mean(axis=0)) / x.std(axis=0)).min(axis=1)
+    got = privacy.dcr(r, s, ["a", "b", "c"]).first()
+    assert got["median"] == pytest.approx(np.median(gaps)) and got["p5"] == pytest.approx(np.quantile(gaps, 0.05)) and got["copies"] == pytest.approx((gaps < 0.1).mean())
