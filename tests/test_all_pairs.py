@@ -75,3 +75,14 @@ def test_closest_records_in_cells(spark, monkeypatch):
     gaps = apart((y - x.mean(axis=0)) / x.std(axis=0), (x - x.mean(axis=0)) / x.std(axis=0)).min(axis=1)
     got = privacy.dcr(r, s, ["a", "b", "c"]).first()
     assert got["median"] == pytest.approx(np.median(gaps)) and got["p5"] == pytest.approx(np.quantile(gaps, 0.05)) and got["copies"] == pytest.approx((gaps < 0.1).mean())
+
+
+def test_adversarial_accuracy_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL", 16)
+    (r, x), (s, y) = odd_table(spark, 5, 300), odd_table(spark, 6, 200, 0.5)
+    u, v = ((t - x.mean(axis=0)) / x.std(axis=0) for t in (x, y))
+    own = lambda t: (apart(t, t) + np.diag(np.full(len(t), np.inf))).min(axis=1)
+    got = privacy.nnaa(r, s, ["a", "b", "c"]).first()
+    # Distances that are equal but for rounding may fall to either side.
+    assert got["accuracy"] == pytest.approx((apart(v, u).min(axis=1) <= own(v)).mean(), abs=0.02)
+    assert got["reverse_accuracy"] == pytest.approx((apart(u, v).min(axis=1) < own(u)).mean(), abs=0.02)
