@@ -230,22 +230,6 @@ def nearest(queries: DataFrame, targets: DataFrame, columns: Sequence[str], scal
     return found.groupBy("id").agg(F.min(F.struct("distance", "neighbour")).alias("n")).select("id", F.col("n.distance").alias("distance"), F.col("n.neighbour").alias("neighbour"))
 
 
-def pair_sums(a: DataFrame, b: DataFrame, columns: Sequence[str], scale: tuple[np.ndarray, np.ndarray], value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> float:
-    """The sum of ``value`` over all pairs of a row of ``a`` and a row of ``b``, blocks meeting blocks; only sums leave a task."""
-    d = len(columns)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0.0
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                x, y = np.frombuffer(row[1]).reshape(-1, d), np.frombuffer(row[3]).reshape(-1, d)
-                total += math.fsum(float(value(x[at : at + 256], y).sum()) for at in range(0, len(x), 256))
-        yield pa.RecordBatch.from_arrays([pa.array([total])], names=["total"])
-
-    pairs = packed(a, columns, scale, "q").crossJoin(packed(b, columns, scale, "t"))
-    return pairs.mapInArrow(sums, "total double").agg(F.sum("total")).first()[0] or 0.0
-
-
 def row_sums(a: DataFrame, columns: Sequence[str], scale: tuple[np.ndarray, np.ndarray], value: Callable[[np.ndarray], np.ndarray]) -> float:
     """The sum of ``value`` over rows."""
     d = len(columns)

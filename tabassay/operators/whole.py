@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabassay.operators import knn
+from tabassay.operators import kernels, knn
 from tabassay.operators.caster import complete, quoted
 from tabassay.operators.frames import cumulative, long_numbers, stacked, value_counts
 from tabassay.operators.marginal import BINS, TINY, binned, quartiles
@@ -97,8 +97,15 @@ KERNELS: dict[str, Callable[[np.ndarray, np.ndarray, float], np.ndarray]] = {
 }
 
 
-def every_pair(real: DataFrame, synth: DataFrame, columns: Sequence[str], value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[float, float, float] | None:
-    """Means of ``value`` over all pairs within either side, rows with themselves left out, and over pairs of both sides; None if a side has one row."""
+#: Kernels that are polynomials: their degree, and whether one is added to the product.
+POLYNOMIALS = {"linear": (1, False), "polynomial": (3, True)}
+
+
+def every_pair(real: DataFrame, synth: DataFrame, columns: Sequence[str], kernel: str | kernels.Radial | kernels.Power) -> tuple[float, float, float] | None:
+    """Means of a kernel over all pairs within either side, rows with themselves left out, and over pairs of both sides; None if a side has one row.
+
+    ``kernel`` is the name of a polynomial, or a kernel of distances.
+    """
     columns = sorted(columns)
     x, y = knn.numbered(complete(real.select(*map(quoted, columns))), columns), knn.numbered(complete(synth.select(*map(quoted, columns))), columns)
     n, m = x.count(), y.count()
@@ -106,20 +113,25 @@ def every_pair(real: DataFrame, synth: DataFrame, columns: Sequence[str], value:
         return None
     mean, deviation = knn.scale_of(x, columns)
     scale = mean, np.where(deviation > 0, deviation, 0.0) + 1e-10
-    own = lambda t: knn.row_sums(t, columns, scale, lambda a: np.array([value(a[k : k + 1], a[k : k + 1])[0, 0] for k in range(len(a))]))
-    within = lambda t, k: (knn.pair_sums(t, t, columns, scale, value) - own(t)) / (k * (k - 1))
-    return within(x, n), within(y, m), knn.pair_sums(x, y, columns, scale, value) / (n * m)
+    if isinstance(kernel, str):
+        degree, one = POLYNOMIALS[kernel]
+        a, b = (kernels.moment_sums(t, columns, scale, degree, one) for t in (x, y))
+        own = [knn.row_sums(t, columns, scale, lambda r: ((r * r).sum(axis=1) + one) ** degree) for t in (x, y)]
+        sums = np.array([[a @ a, a @ b], [a @ b, b @ b]])
+    else:
+        sums, self_ = kernels.pair_sums(x, y, columns, scale, kernel), float(kernel.of(np.zeros(1))[0])
+        own = [n * self_, m * self_]
+    return float(sums[0, 0] - own[0]) / (n * (n - 1)), float(sums[1, 1] - own[1]) / (m * (m - 1)), float(sums[0, 1]) / (n * m)
 
 
 def mmd(real: DataFrame, synth: DataFrame, columns: Sequence[str], kernel: str = "rbf", gamma: float | None = None, most: int | None = SAMPLE, seed: int = 42) -> dict[str, float]:
-    """On ``most`` rows a side, or with None on all of them in blocks; the width still follows from HEURISTIC rows a side."""
+    """On ``most`` rows a side, or with None on all of them; the width still follows from HEURISTIC rows a side."""
     if most is not None:
         raw = mmd_value(*samples(real, synth, columns, most, seed), kernel, gamma)
     else:
         if kernel == "rbf" and gamma is None:
             gamma = median_width(*samples(real, synth, columns, HEURISTIC, seed))
-        made = KERNELS[kernel]
-        means = every_pair(real, synth, columns, lambda a, b: made(a, b, gamma))
+        means = every_pair(real, synth, columns, kernels.Radial(gamma) if kernel == "rbf" else kernel)
         raw = 0.0 if means is None else math.sqrt(max(0.0, means[0] + means[1] - 2 * means[2]))
     return {"score": 1 - min(raw, 1.0), "raw": raw}
 
@@ -132,11 +144,11 @@ def energy_value(x: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> float:
 
 
 def energy_distance(real: DataFrame, synth: DataFrame, columns: Sequence[str], alpha: float = 1.0, most: int | None = SAMPLE, seed: int = 42) -> dict[str, float]:
-    """On ``most`` rows a side, or with None on all of them in blocks."""
+    """On ``most`` rows a side, or with None on all of them."""
     if most is not None:
         raw = energy_value(*samples(real, synth, columns, most, seed), alpha)
     else:
-        means = every_pair(real, synth, columns, lambda a, b: squared_distances(a, b) ** (alpha / 2))
+        means = every_pair(real, synth, columns, kernels.Power(alpha))
         raw = 0.0 if means is None else max(0.0, 2 * means[2] - means[0] - means[1])
     return {"score": 1 - min(raw / 4, 1.0), "raw": raw}
 

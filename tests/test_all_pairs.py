@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabassay.operators import distances, knn, pairs, privacy
+from tabassay.operators import distances, kernels, knn, pairs, privacy, whole
 
 
 def odd_table(spark, seed, n, shift=0.0):
@@ -40,6 +40,30 @@ def apart(x, y):
     return np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
 
 
+def test_boxes_that_are_far_apart():
+    """Weights on nodes give the sums over pairs, also for a box without width in a column and for boxes of boxes."""
+    rng = np.random.default_rng(7)
+    x, y = rng.random((700, 3)) * [1.0, 0.0, 0.5], rng.random((600, 3)) * 0.9 + [2.1, 0.3, 0.0]
+    sx, sy = kernels.sides(np.arange(700)), kernels.sides(np.arange(600))
+    for kernel, y_ in ((kernels.Power(1.0), y), (kernels.Power(0.5), y), (kernels.Radial(0.4), y - [2.0, 0.0, 0.0])):
+        a, b = (kernels.nodes_of(t.min(axis=0), t.max(axis=0), kernel.nodes) for t in (x, y_))
+        half = [kernels.nodes_of(t.min(axis=0), t.max(axis=0), kernel.nodes) for t in (x[:300], x[300:])]
+        weights = kernels.lifted(kernels.spread(half[0], x[:300], sx[:300]), half[0], a) + kernels.lifted(kernels.spread(half[1], x[300:], sx[300:]), half[1], a)
+        want = kernels.met(kernel, x, sx, y_, sy, False)
+        np.testing.assert_allclose(want, sx.T @ kernel.of(whole.squared_distances(x, y_)) @ sy)
+        np.testing.assert_allclose(kernels.by_nodes(kernel, a, weights, b, kernels.spread(b, y_, sy)), want, rtol=1e-8)
+
+
+def test_radial_kernel_by_boxes(spark, monkeypatch):
+    """All kernels over many cells, far rows and copies among them, against numpy."""
+    monkeypatch.setattr(knn, "CELL", 64)
+    monkeypatch.setattr(kernels, "Radial", lambda gamma, made=kernels.Radial: made(gamma, 6, 0.1))
+    (r, x), (s, y) = odd_table(spark, 1, 900), odd_table(spark, 2, 700, 0.5)
+    u, v = whole.standardised(x, y)
+    for kernel in whole.KERNELS:
+        assert whole.mmd(r, s, ["a", "b", "c"], kernel, 0.05, most=None)["raw"] == pytest.approx(whole.mmd_value(u, v, kernel, 0.05), abs=1e-7)
+
+
 def test_neighbours_in_cells(spark, monkeypatch):
     """Many cells and blocks: distances and the smallest of all tied ids, copies of a row among them, own ids left out."""
     monkeypatch.setattr(knn, "CELL", 16)
