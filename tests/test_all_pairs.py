@@ -64,6 +64,18 @@ def test_radial_kernel_by_boxes(spark, monkeypatch):
         assert whole.mmd(r, s, ["a", "b", "c"], kernel, 0.05, most=None)["raw"] == pytest.approx(whole.mmd_value(u, v, kernel, 0.05), abs=1e-7)
 
 
+def test_energy_distance_by_boxes(spark, monkeypatch):
+    """Boxes far apart and near, rows far from all others, a frequent row; a sharper bound on boxes keeps nodes in use on few rows."""
+    monkeypatch.setattr(knn, "CELL", 64)
+    monkeypatch.setattr(kernels, "Power", lambda alpha, made=kernels.Power: made(alpha, 5, 3.0))
+    (r, x), (s, y) = odd_table(spark, 1, 900), odd_table(spark, 2, 700, 0.5)
+    hot, far = [(1.0, 3.0, 5.0)] * 200, [(400.0, 3.0, -9.0)] * 3
+    r, s = (t.unionByName(spark.createDataFrame(hot + far, "a double, b double, c double")) for t in (r, s))
+    u, v = whole.standardised(*(np.vstack([t, hot + far]) for t in (x, y)))
+    for alpha in (1.0, 0.5):
+        assert whole.energy_distance(r, s, ["a", "b", "c"], alpha, most=None)["raw"] == pytest.approx(whole.energy_value(u, v, alpha), abs=1e-6)
+
+
 def test_neighbours_in_cells(spark, monkeypatch):
     """Many cells and blocks: distances and the smallest of all tied ids, copies of a row among them, own ids left out."""
     monkeypatch.setattr(knn, "CELL", 16)
