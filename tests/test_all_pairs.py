@@ -1,10 +1,13 @@
 """Sums and neighbours over all pairs of rows that do not meet all pairs: against numpy, with frequent values, ties and constants."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabassay.operators import distances, kernels, knn, pairs, privacy, whole
+from tabassay.operators import distances, kernels, knn, learning, pairs, privacy, whole
+from tabassay.operators.caster import CastTable
 
 
 def odd_table(spark, seed, n, shift=0.0):
@@ -122,3 +125,12 @@ def test_adversarial_accuracy_in_cells(spark, monkeypatch):
     # Distances that are equal but for rounding may fall to either side.
     assert got["accuracy"] == pytest.approx((apart(v, u).min(axis=1) <= own(v)).mean(), abs=0.02)
     assert got["reverse_accuracy"] == pytest.approx((apart(u, v).min(axis=1) < own(u)).mean(), abs=0.02)
+
+
+def test_columns_are_attacked_side_by_side(spark, monkeypatch):
+    """Two attacks wait for each other; rows keep the order of columns."""
+    together = threading.Barrier(2, timeout=30)
+    monkeypatch.setattr(learning, "attribute_attack", lambda real, synth, c, trees, seed: (together.wait(), {"column": c, "score": 0.5})[1])
+    table = CastTable(spark.range(1).selectExpr("1.0D AS a", "2.0D AS b"), [], ["a", "b"])
+    out = learning.inference_attack(table, table)
+    assert [r["column"] for r in out["columns"]] == table.columns and out["score"] == 0.5
