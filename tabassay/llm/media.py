@@ -8,18 +8,21 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabassay.llm import webp
+from tabassay.llm import webp, webp_many
 from tabassay.llm.common import by_bytes
 
 #: Sixteen pixels of four samples make a row of 64 bytes; a longer payload goes to further images.
 WIDTH, UNIT = 16, 64
 ROWS = webp.MOST
+#: Bytes of text whose images are written and read together.
+BATCH = 1 << 22
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -27,13 +30,25 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return data + b"\0" * (max(-(-len(data) // UNIT), 1) * UNIT - len(data)), len(data)
 
 
+def store_many(payloads: Sequence[bytes]) -> list[bytes]:
+    parts = [np.frombuffer(p, np.uint8).reshape(-1, WIDTH, 4) for p in payloads]
+    counts = [-(-len(rows) // ROWS) for rows in parts]
+    files = iter(webp_many.encode([rows[at : at + ROWS] for rows in parts for at in range(0, len(rows), ROWS)]))
+    return [b"".join(islice(files, n)) for n in counts]
+
+
+def load_many(media: Sequence[bytes]) -> list[np.ndarray]:
+    parts = [webp.streams_of(m) for m in media]
+    images = iter(webp_many.decode([s for streams in parts for s in streams]))
+    return [np.concatenate(list(islice(images, len(streams)))) for streams in parts]
+
+
 def store(payload: bytes) -> bytes:
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 4)
-    return b"".join(webp.encode_by_content(rows[at : at + ROWS]) for at in range(0, len(rows), ROWS))
+    return store_many([payload])[0]
 
 
 def load(media: bytes) -> np.ndarray:
-    return np.concatenate(webp.images(media))
+    return load_many([media])[0]
 
 
 def feature(pixels: np.ndarray) -> str:
@@ -45,12 +60,11 @@ def feature(pixels: np.ndarray) -> str:
 
 
 def media_batches(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
-    for batch in by_bytes(batches, 1):
+    for batch in by_bytes(batches, 1, BATCH):
         rows = []
-        for text in batch.column(1).to_pylist():
-            payload, n = payload_of(text)
-            media = store(payload)
-            pixels = load(media)
+        payloads, sizes = zip(*map(payload_of, batch.column(1).to_pylist()), strict=True)
+        stored = store_many(payloads)
+        for n, media, pixels in zip(sizes, stored, load_many(stored), strict=True):
             back = pixels.tobytes()
             rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels), *([media, back] if keep else [])))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.binary(), pa.binary()] if keep else [])]

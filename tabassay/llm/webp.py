@@ -230,9 +230,9 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     return read_symbols(r, groups, group_of, group_bits, width, height, cache_bits)
 
 
-def read_symbols(r: Reader, groups: list[list[PrefixCode]], group_of: list[int] | None, group_bits: int, width: int, height: int, cache_bits: int) -> np.ndarray:
-    """Runs of literal pixels in a tight loop, as far as one group of codes reaches; other symbols one by one."""
-    n, pixels, slots, cached = width * height, [], [0] * (1 << cache_bits), 0
+def read_symbols(r: Reader, groups: list[list[PrefixCode]], group_of: list[int] | None, group_bits: int, width: int, height: int, cache_bits: int, known: Sequence[int] = ()) -> np.ndarray:
+    """Runs of literal pixels in a tight loop, as far as one group of codes reaches; other symbols one by one. ``known``: the pixels before the place of ``r``."""
+    n, pixels, slots, cached = width * height, list(known), [0] * (1 << cache_bits), 0
     if len(groups) == 1 and not any(c.mask for c in groups[0][:4]) and groups[0][0].table[0] < 256:
         return np.full(n, sum(c.table[0] << shift for c, shift in zip(groups[0], (8, 16, 0, 24), strict=False)), np.uint32)
     across, down = blocks(width, group_bits), 32 - cache_bits
@@ -459,12 +459,17 @@ def decode_stream(data: bytes) -> np.ndarray:
 
 def images(data: bytes) -> list[np.ndarray]:
     """The images of one or more lossless WebP files, one after another."""
+    return [decode_stream(stream) for stream in streams_of(data)]
+
+
+def streams_of(data: bytes) -> list[bytes]:
+    """The VP8L data of one or more files, one after another."""
     out, at = [], 0
     while at < len(data):
         if data[at : at + 4] != b"RIFF" or data[at + 8 : at + 16] != b"WEBPVP8L":
             raise ValueError("no lossless WebP file")
         size, n = struct.unpack_from("<I", data, at + 4)[0], struct.unpack_from("<I", data, at + 16)[0]
-        out.append(decode_stream(data[at + 20 : at + 20 + n]))
+        out.append(data[at + 20 : at + 20 + n])
         at += 8 + size + (size & 1)
     return out
 
