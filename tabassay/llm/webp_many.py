@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -16,6 +17,8 @@ from tabassay.llm import webp
 WIDTH = 16
 #: Below so many streams side by side the rest is read one by one.
 SIDE_BY_SIDE = 48
+#: Pixels whose colours are counted first.
+FIRST = 400
 TURNED = webp.reversed_order(15)
 ORDER = np.array(webp.LENGTH_ORDER)
 
@@ -139,19 +142,30 @@ def streams(sections: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], d: in
     return [data[8 * b : 8 * b + n] for b, n in zip(base.tolist(), ((total + 7) >> 3).tolist(), strict=True)]
 
 
+@lru_cache(4096)
+def small_image(argb: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Values and sizes of an image a pixel wide."""
+    w = webp.Writer()
+    webp.write_image(w, np.frombuffer(argb, np.uint32), 1, False)
+    w.many(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    values, sizes = (np.concatenate(v) for v in zip(*w.parts, strict=True))
+    return values, sizes
+
+
 def small_images(argb: np.ndarray, first: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The images of modes or factors, a pixel a tile, as a section."""
-    one = np.flatnonzero(high == 1)
+    ends = first + high
+    alike = np.minimum.reduceat(argb, first) == np.maximum.reduceat(argb, first)  # five codes of a lone symbol
+    one = np.flatnonzero(alike)
     pixel, value = argb[first[one]].astype(np.int64), np.zeros(len(one), np.int64)
     for k, shift in enumerate((8, 16, 0, 24)):
         value |= (5 | (pixel >> shift & 255) << 3) << (1 + 11 * k)
     rows, values, sizes = [one], [value | 5 << 45], [np.full(len(one), 56)]
-    for row in np.flatnonzero(high > 1).tolist():
-        w = webp.Writer()
-        webp.write_image(w, argb[first[row] : first[row] + high[row]], 1, False)
-        w.many(np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for v, n in w.parts:
-            rows.append(np.full(len(v), row)), values.append(v), sizes.append(n)
+    for row in np.flatnonzero(~alike).tolist():
+        v, n = small_image(argb[first[row] : ends[row]].tobytes())
+        rows.append(np.full(len(v), row))
+        values.append(v)
+        sizes.append(n)
     rows, values, sizes = (np.concatenate(v) for v in (rows, values, sizes))
     order = np.argsort(rows.astype(np.uint16), kind="stable")
     return rows[order], values[order], sizes[order]
@@ -201,8 +215,7 @@ def encode(images: Sequence[np.ndarray]) -> list[bytes]:
     out: list[bytes] = [b""] * len(images)
     many, at = [], 0
     for k, image in enumerate(images):
-        colours = len(np.unique(np.ascontiguousarray(image).view(np.uint32)))
-        if image.shape[1] != WIDTH or colours <= 256 and 2 * colours <= image.shape[0] * WIDTH:
+        if image.shape[1] != WIDTH or few_colours(image):
             out[k] = webp.encode_by_content(image)
         else:
             many.append(k)
@@ -216,6 +229,16 @@ def encode(images: Sequence[np.ndarray]) -> list[bytes]:
     return out
 
 
+def few_colours(image: np.ndarray) -> bool:
+    """Whether ``webp.encode_by_content`` takes a palette; the first pixels alone may have too many colours for it."""
+    pixels = np.ascontiguousarray(image).view(np.uint32).reshape(-1)
+    for some in (pixels[:FIRST], pixels) if len(pixels) > FIRST else (pixels,):
+        colours = len(np.unique(some))
+        if colours > 256 or 2 * colours > len(pixels):
+            return False
+    return True
+
+
 def chosen_modes(p: np.ndarray, n: np.ndarray, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each tile the predictor of least cost, and what the predictors leave."""
     around = webp.neighbours(p, WIDTH)
@@ -229,7 +252,10 @@ def chosen_modes(p: np.ndarray, n: np.ndarray, tile: np.ndarray) -> tuple[np.nda
         guess[top] = p[top - 1]
         guess[first] = webp.BLACK
         left.append(p - guess)
-    costs = [np.bincount(tile, webp.COST[r].sum(axis=1)) for r in left]
+    costs = []
+    for r in left:
+        a, b, c, e = (webp.COST[r[:, k]] for k in range(4))
+        costs.append(np.bincount(tile, a + b + c + e))
     which = np.argmin(costs, axis=0)
     out, own = left[0], which[tile]
     for k in range(1, len(left)):
@@ -329,7 +355,7 @@ def predicted(images: Sequence[np.ndarray]) -> list[bytes]:
 
 # ---- reading ----
 
-#: What an image of one pixel without a cache has at the place of its five codes: each a lone symbol of eight bits.
+#: What an image of equal pixels without a cache has at the place of its five codes: each a lone symbol of eight bits.
 LONE = sum(7 << (1 + 11 * k) for k in range(5)) | 1
 LONE_IS = sum(5 << (1 + 11 * k) for k in range(5))
 #: Of prefixes of lengths and distances: what they begin at, and how many bits follow.
@@ -339,7 +365,7 @@ NEAR = np.array([0, *[max(dx + dy * WIDTH, 1) for dx, dy in webp.NEAR]])
 
 
 def lone_pixel(v: int) -> int | None:
-    """The pixel of an image of one, from its bits."""
+    """The pixel of an image of equal ones, from its bits."""
     if v & LONE != LONE_IS:
         return None
     green, red, blue, alpha = (v >> (4 + 11 * k) & 255 for k in range(4))
@@ -368,11 +394,11 @@ class Front:
                 return
             high = webp.blocks(self.height, bits)
             r.at += 3
-            pixel = lone_pixel(v >> 3) if high == 1 else None
+            pixel = lone_pixel(v >> 3)
             if pixel is None:
                 image = webp.read_image(r, 1, high, False)
             else:
-                image, r.at = [pixel], r.at + 56
+                image, r.at = [pixel] * high, r.at + 56
             self.images.append((bits, image))
         v = int.from_bytes(data[r.at >> 3 : (r.at >> 3) + 2], "little") >> (r.at & 7)
         self.cache_bits = v >> 2 & 15 if v & 2 else 0
