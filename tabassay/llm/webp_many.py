@@ -17,6 +17,8 @@ from tabassay.llm import webp
 WIDTH = 16
 #: Below so many streams side by side the rest is read one by one.
 SIDE_BY_SIDE = 48
+#: Rows of pixels that are held at a time; a taller image is alone. More images than 16 bits number never meet.
+MOST_ROWS = 1 << 16
 #: Pixels whose colours are counted first.
 FIRST = 400
 TURNED = webp.reversed_order(15)
@@ -221,7 +223,7 @@ def encode(images: Sequence[np.ndarray]) -> list[bytes]:
             many.append(k)
     while at < len(many):
         size, upto = 0, at
-        while upto < len(many) and (upto == at or size + len(images[many[upto]]) <= 1 << 16):
+        while upto < len(many) and (upto == at or size + len(images[many[upto]]) <= MOST_ROWS):
             size, upto = size + len(images[many[upto]]), upto + 1
         for k, file in zip(many[at:upto], predicted([images[k] for k in many[at:upto]]), strict=True):
             out[k] = file
@@ -616,10 +618,21 @@ def decode(data: Sequence[bytes]) -> list[np.ndarray]:
     for k, f in enumerate(fronts):
         if f.at is None:
             out[k] = webp.decode_stream(data[k])
-    if not order:
-        return out
-    some = [fronts[k] for k in order]
-    argb = np.concatenate(read_pixels([data[k] for k in order], some))
+    at = 0
+    while at < len(order):
+        size, upto = 0, at
+        while upto < len(order) and (upto == at or size + fronts[order[upto]].height <= MOST_ROWS):
+            size, upto = size + fronts[order[upto]].height, upto + 1
+        some = order[at:upto]
+        for k, image in zip(some, restored([data[k] for k in some], [fronts[k] for k in some]), strict=True):
+            out[k] = image
+        at = upto
+    return out
+
+
+def restored(data: list[bytes], some: list[Front]) -> list[np.ndarray]:
+    """The images of streams that ``predicted`` could have written, the tallest first."""
+    argb = np.concatenate(read_pixels(data, some))
     p = webp.planes(argb)
     high = np.array([f.height for f in some])
     doc, row = np.repeat(np.arange(len(some)), high), np.arange(int(high.sum())) - np.repeat(np.cumsum(high) - high, high)
@@ -630,11 +643,7 @@ def decode(data: Sequence[bytes]) -> list[np.ndarray]:
         tiles.append(pixels[(np.cumsum(count) - count)[doc] + (row >> bits[doc])])
     p = webp.cross_colour(p, 1, np.repeat(webp.planes(tiles[1])[:, [3, 2, 1]], WIDTH, axis=0), 0, True)
     rows = unpredicted(p.reshape(-1, WIDTH, 4), high, (tiles[0] >> 8 & 255).astype(np.int64), some)
-    at = 0
-    for k, f in zip(order, some, strict=True):
-        out[k] = np.ascontiguousarray(rows[at : at + f.height][:, :, [1, 2, 3, 0]])
-        at += f.height
-    return out
+    return [np.ascontiguousarray(image[:, :, [1, 2, 3, 0]]) for image in np.split(rows, np.cumsum(high)[:-1])]
 
 
 def unpredicted(rest: np.ndarray, high: np.ndarray, modes: np.ndarray, fronts: list[Front]) -> np.ndarray:

@@ -34,6 +34,14 @@ def test_same_files_and_pixels(side):
     assert webp_many.encode([]) == [] and webp_many.decode([]) == []
 
 
+def test_more_than_are_held_at_a_time(monkeypatch):
+    monkeypatch.setattr(webp_many, "MOST_ROWS", 150)
+    images = [np.frombuffer(p, np.uint8).reshape(-1, 16, 4) for p in payloads()]
+    files = webp_many.encode(images)
+    assert files == [webp.encode_by_content(i) for i in images]
+    assert all(np.array_equal(b, i) for b, i in zip(webp_many.decode([s for f in files for s in webp.streams_of(f)]), images, strict=True))
+
+
 def test_files_of_other_settings(side):
     """Streams with all predictors, smaller tiles, other caches, other widths and orders among the usual ones."""
     rng = np.random.default_rng(5)
